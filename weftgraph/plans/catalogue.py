@@ -1,10 +1,461 @@
-"""The driver's queries: each operator on proxy tables, with the same query for a second engine."""
+"""The driver's queries: each operator on proxy tables, with the same query for a second engine.
+
+An article is an order, an entity a part's brand, a part or a supplier, a relation a return flag, a weight a function
+of the order's price.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftgraph.functions import relations as rel
+from weftgraph.functions import text as tx
+from weftgraph.operators import chatlog, communities, edges, mentions, paths, prune, resolve, retrieval, search, weights
+from weftgraph.operators.components import connected_components
+from weftgraph.session import table
+from weftgraph.streaming import daily_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# --- proxies -------------------------------------------------------------------------------------------------------
+
+BRANDS = "brands AS (SELECT DISTINCT l_orderkey a, p_brand n FROM lineitem JOIN part ON l_partkey = p_partkey)"
+PAIRS = f"{BRANDS}, pairs AS (SELECT x.n u, y.n v, x.a FROM brands x JOIN brands y ON x.a = y.a AND x.n < y.n), e AS (SELECT u, v, COUNT(DISTINCT a)::BIGINT c FROM pairs GROUP BY u, v)"
+FREQ = f"{PAIRS}, w AS (SELECT u, v, c, ROUND(GREATEST(c * LEAST(20::DOUBLE / MAX(c) OVER (), 1::DOUBLE), 0::DOUBLE), 2) edge_weight FROM e)"
+WEIGHTS = "wt AS (SELECT o_orderkey a, ROUND(o_totalprice / 100000, 2) weight FROM orders WHERE o_orderkey % 3 <> 0)"
+
+
+def brands(spark: SparkSession, d: str) -> DataFrame:
+    """(article_seq, node_id): the brands of each order."""
+    li, p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "part").select("p_partkey", "p_brand")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("article_seq"), F.col("p_brand").alias("node_id")).distinct()
+
+
+def brand_edges(spark: SparkSession, d: str) -> DataFrame:
+    return edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False).groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+
+
+def weighted_edges_(spark: SparkSession, d: str) -> DataFrame:
+    return weights.set_weights(brand_edges(spark, d), "freq", "num_relations")
+
+
+def price_weights(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("pmid"), F.round(F.col("o_totalprice") / 100000, 2).alias("weight"))
+
+
+# --- mentions and edges --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PAIRS} SELECT u, v, c AS num_relations FROM e")
+def comention_edges(spark, d):
+    return brand_edges(spark, d)
+
+
+@query(f"WITH {FREQ} SELECT u, v, edge_weight, GREATEST(edge_weight, 1::DOUBLE) AS edge_width FROM w ORDER BY edge_weight DESC, u, v LIMIT 50")
+def comention_freq_weight(spark, d):
+    return prune.top_edges(weighted_edges_(spark, d), 50).select("u", "v", "edge_weight", "edge_width")
+
+
+@query(f"""WITH {PAIRS}, deg AS (SELECT n, COUNT(*)::BIGINT c FROM brands GROUP BY n), t AS (SELECT COUNT(*)::DOUBLE n FROM orders),
+r AS (SELECT e.u, e.v, x.c cx, y.c cy, e.c cxy, t.n FROM e JOIN deg x ON e.u = x.n JOIN deg y ON e.v = y.n, t)
+SELECT u, v, ROUND(CASE WHEN cxy / n = 1 THEN 1 ELSE (LN(cx / n) + LN(cy / n)) / LN(cxy / n) - 1 END, 6) AS npmi FROM r""")
+def comention_npmi(spark, d):
+    deg = brands(spark, d).groupBy("node_id").agg(F.count("*").cast("double").alias("weighted_num_articles"))
+    e = brand_edges(spark, d).withColumn("weighted_num_relations", F.col("num_relations").cast("double"))
+    n = table(spark, d, "orders").agg(F.count("*").cast("double").alias("n"))
+    return weights.add_npmi(e.crossJoin(F.broadcast(n)), deg, F.col("n")).select("u", "v", F.round("npmi", 6).alias("npmi"))
+
+
+@query(f"WITH {BRANDS}, {WEIGHTS} SELECT n AS node_id, ROUND(SUM(COALESCE(weight, 1)), 2) AS weighted FROM brands LEFT JOIN wt USING (a) GROUP BY n")
+def weighted_node_articles(spark, d):
+    return mentions.weighted_count(brands(spark, d).withColumnRenamed("article_seq", "pmid"), ["node_id"], price_weights(spark, d))
+
+
+@query(f"WITH {PAIRS}, {WEIGHTS} SELECT u, v, ROUND(SUM(COALESCE(weight, 1)), 2) AS weighted FROM (SELECT DISTINCT u, v, a FROM pairs) LEFT JOIN wt USING (a) GROUP BY u, v")
+def weighted_edges(spark, d):
+    p = edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False).withColumnRenamed("article_seq", "pmid")
+    return mentions.weighted_count(p, ["u", "v"], price_weights(spark, d))
+
+
+@query("SELECT o_orderkey, ROUND(LOG10(o_orderkey % 500 / GREATEST(2026 - YEAR(o_orderdate) + 1, 1)::DOUBLE + 1.1::DOUBLE) + 1, 3) AS weight FROM orders")
+def citation_weight(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", weights.citation_weight(F.col("o_orderkey") % 500, F.date_format("o_orderdate", "yyyy-MM-dd"), 2026).alias("weight"))
+
+
+@query("SELECT l_partkey::VARCHAR AS u, l_suppkey::VARCHAR AS v, STRING_AGG(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS relations, COUNT(DISTINCT l_orderkey)::BIGINT AS num_relations FROM lineitem GROUP BY 1, 2")
+def relation_edges(spark, d):
+    li = table(spark, d, "lineitem")
+    e = li.groupBy(F.col("l_partkey").cast("string").alias("u"), F.col("l_suppkey").cast("string").alias("v"))
+    return e.agg(F.concat_ws(",", F.array_sort(F.collect_set("l_returnflag"))).alias("relations"), F.countDistinct("l_orderkey").alias("num_relations"))
+
+
+@query("""WITH m AS (SELECT l_suppkey u, l_partkey v, l_returnflag r, ROUND(AVG(l_discount), 6) c FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY c DESC, r) k FROM m)
+SELECT u, v, r AS relation, c AS confidence FROM k WHERE k = 1""")
+def primary_relation(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_returnflag").alias("relation")).agg(F.round(F.avg("l_discount"), 6).alias("confidence"))
+    return edges.primary_relation(li)
+
+
+@query(f"WITH {PAIRS} SELECT a AS pmid, STRING_AGG(u || '-' || v, ';' ORDER BY u, v) AS edges FROM pairs GROUP BY a")
+def edges_by_article(spark, d):
+    p = edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False)
+    e = p.groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct(F.col("article_seq").alias("pmid"), F.array(F.lit("co-mention")).alias("r")))).alias("relations"))
+    return edges.edges_of_articles(e).select("pmid", F.concat_ws(";", F.transform("edges", lambda x: F.concat_ws("-", x["source"], x["target"]))).alias("edges"))
+
+
+# --- pruning -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FREQ} SELECT u, v, edge_weight FROM w WHERE GREATEST(edge_weight, 1::DOUBLE) BETWEEN 10 AND 16")
+def edge_cutoff_range(spark, d):
+    return prune.cut(weighted_edges_(spark, d), 10, 16).select("u", "v", "edge_weight")
+
+
+@query(f"WITH {FREQ} SELECT u, v, edge_weight FROM w ORDER BY edge_weight DESC, u, v LIMIT 100")
+def edges_topk(spark, d):
+    return prune.top_edges(weighted_edges_(spark, d), 100).select("u", "v", "edge_weight")
+
+
+@query(f"WITH {FREQ}, k AS (SELECT * FROM w ORDER BY edge_weight DESC, u, v LIMIT 12) SELECT DISTINCT n AS node_id FROM brands WHERE n IN (SELECT u FROM k UNION SELECT v FROM k)")
+def drop_isolates(spark, d):
+    return prune.drop_isolates(brands(spark, d).select("node_id").distinct(), prune.top_edges(weighted_edges_(spark, d), 12))
+
+
+@query(f"""WITH {FREQ}, k AS (SELECT * FROM w ORDER BY edge_weight DESC, u, v LIMIT 60), g AS (SELECT n, COUNT(*) c FROM (SELECT u n FROM k UNION ALL SELECT v FROM k) GROUP BY n HAVING COUNT(*) >= 5)
+SELECT u, v FROM k WHERE u IN (SELECT n FROM g) AND v IN (SELECT n FROM g)""")
+def min_degree(spark, d):
+    e = prune.top_edges(weighted_edges_(spark, d), 60)
+    return prune.min_degree(brands(spark, d).select("node_id").distinct(), e, 5)[1].select("u", "v")
+
+
+@query(f"""WITH {FREQ}, k AS (SELECT * FROM w ORDER BY edge_weight DESC, u, v LIMIT 60), g AS (SELECT n FROM (SELECT u n FROM k UNION ALL SELECT v FROM k) GROUP BY n ORDER BY COUNT(*) DESC, n LIMIT 10),
+b AS (SELECT u, v FROM k WHERE u IN (SELECT n FROM g) AND v IN (SELECT n FROM g)) SELECT u AS node_id FROM b UNION SELECT v FROM b""")
+def node_topn_degree(spark, d):
+    e = prune.top_edges(weighted_edges_(spark, d), 60)
+    return prune.top_nodes(brands(spark, d).select("node_id").distinct(), e, 10)[0]
+
+
+@query(f"WITH {PAIRS} SELECT (SELECT COUNT(DISTINCT n) FROM brands)::BIGINT AS nodes, (SELECT COUNT(*) FROM e)::BIGINT AS edges, (SELECT COUNT(DISTINCT a) FROM brands)::BIGINT AS articles")
+def network_stats(spark, d):
+    b = brands(spark, d)
+    n = b.groupBy("node_id").agg(F.collect_set("article_seq").alias("pmids"))
+    e = edges.pairs_within(b, "article_seq", "node_id", distinct=False).groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct("article_seq", F.lit(1)))).alias("relations"))
+    return prune.statistics(n, e)
+
+
+@query("""WITH k AS (SELECT p_partkey n FROM part WHERE split_part(p_type, ' ', 1) IN ('ECONOMY', 'PROMO')), s AS (SELECT DISTINCT l_orderkey a, l_partkey n FROM lineitem)
+SELECT x.n AS u, y.n AS v, COUNT(*)::BIGINT AS num_relations FROM s x JOIN s y ON x.a = y.a AND x.n < y.n WHERE x.n IN (SELECT n FROM k) AND y.n IN (SELECT n FROM k) GROUP BY 1, 2""")
+def type_visibility(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_partkey").alias("node_id"))
+    # visibility of nodes first: hidden ones make no pairs
+    seen = rows.join(nodes.where(F.col("type").isin("ECONOMY", "PROMO")), "node_id", "left_semi")
+    return edges.pairs_within(seen, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+
+
+@query("SELECT l_suppkey AS u, l_partkey AS v, CASE WHEN l_returnflag = 'A' THEN 'semantic' ELSE 'node' END AS type, l_orderkey FROM lineitem WHERE l_returnflag <> 'A' OR l_discount >= 0.05::DOUBLE")
+def confidence_filter(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.when(F.col("l_returnflag") == "A", "semantic").otherwise("node").alias("type"), "l_orderkey", "l_discount")
+    return prune.min_confidence(e, F.col("l_discount"), 0.05).drop("l_discount")
+
+
+@query("SELECT DISTINCT p_size::VARCHAR AS id, ROW_NUMBER() OVER (ORDER BY p_size)::BIGINT AS place FROM (SELECT DISTINCT p_size FROM part)")
+def numeric_id_order(spark, d):
+    ids = table(spark, d, "part").select(F.col("p_size").cast("string").alias("id")).distinct()
+    return ids.select("id", F.row_number().over(Window.orderBy(*prune.numeric_first(F.col("id")))).cast("long").alias("place"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+STRONG = f"{FREQ}, k AS (SELECT u, v, edge_weight FROM w ORDER BY edge_weight DESC, u, v LIMIT 40)"
+
+
+def strong(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
+    return prune.top_edges(weighted_edges_(spark, d), k).select("u", "v", "edge_weight")
+
+
+@query(f"""WITH {STRONG}, s AS (SELECT u, v, edge_weight / MAX(edge_weight) OVER () * 0.3::DOUBLE + 0.5::DOUBLE * 0.4::DOUBLE + 0.15::DOUBLE s FROM k), h AS (SELECT u src, v dst, s FROM s UNION ALL SELECT v, u, s FROM s), p AS (
+SELECT src a, dst b, NULL c, s score FROM h UNION ALL SELECT x.src, x.dst, y.dst, LEAST(x.s, y.s) * 0.8::DOUBLE FROM h x JOIN h y ON x.dst = y.src AND y.dst <> x.src)
+SELECT a, b, COALESCE(c, '') AS c, ROUND(score, 6) AS score FROM p ORDER BY p.score DESC, a, b, p.c NULLS FIRST LIMIT 20""")
+def two_hop_paths(spark, d):
+    e = strong(spark, d)
+    e = e.crossJoin(F.broadcast(e.agg(F.max("edge_weight").alias("largest"))))
+    s = paths.edge_score(F.col("edge_weight"), F.col("largest"), F.lit(0.5), F.array(F.lit("co-mention")), F.lit(1), F.lit(0.5), F.lit(1.0))
+    p = paths.two_hop_paths(e.withColumn("score", s), prune.endpoints(e), None, 20)
+    return p.select("a", "b", F.coalesce("c", F.lit("")).alias("c"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {STRONG} SELECT u, v, edge_weight FROM k WHERE u IN ('Brand#12', 'Brand#34') OR v IN ('Brand#12', 'Brand#34')")
+def neighbourhood(spark, d):
+    return paths.neighbourhood(strong(spark, d), spark.createDataFrame([("Brand#12",), ("Brand#34",)], "node_id string"))
+
+
+@query(f"""WITH RECURSIVE {STRONG}, h AS (SELECT u src, v dst, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) c FROM k UNION ALL SELECT v, u, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) FROM k),
+best0 AS (SELECT MIN(n) a FROM (SELECT u n FROM k UNION SELECT v FROM k)), r(a, node, cost, hops) AS (
+SELECT a, a, 0::DOUBLE, 0 FROM best0 UNION SELECT r.a, h.dst, ROUND(r.cost + h.c, 9), r.hops + 1 FROM r JOIN h ON r.node = h.src WHERE r.hops < 4)
+SELECT a, node AS b, ROUND(MIN(cost), 6) AS cost FROM r WHERE node > a GROUP BY a, node""")
+def shortest_path_cost(spark, d):
+    e = strong(spark, d).withColumn("cost", paths.edge_cost(F.col("edge_weight")))
+    p = paths.shortest_paths(e, prune.endpoints(e).distinct(), 4)
+    first = prune.endpoints(e).agg(F.min("node_id").alias("a"))
+    return p.join(first, "a", "left_semi").select("a", "b", F.round("cost", 6).alias("cost"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT v.vec_id a, v.vec_id + 3 b FROM embeddings v WHERE v.label % 2 = 0), h AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM h UNION SELECT h.b, r.m FROM r JOIN h ON r.n = h.a)
+SELECT n AS node, MIN(m)::BIGINT AS component FROM r GROUP BY n""")
+def components(spark, d):
+    e = table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("u"), (F.col("vec_id") + 3).alias("v"))
+    return connected_components(e)
+
+
+NATIONS = """s AS (SELECT DISTINCT l_orderkey a, l_suppkey n FROM lineitem), p AS (SELECT x.n u, y.n v, COUNT(*)::DOUBLE w FROM s x JOIN s y ON x.a = y.a AND x.n < y.n GROUP BY 1, 2),
+q AS (SELECT LEAST(a.s_nationkey, b.s_nationkey) c1, GREATEST(a.s_nationkey, b.s_nationkey) c2, w FROM p JOIN supplier a ON u = a.s_suppkey JOIN supplier b ON v = b.s_suppkey WHERE a.s_nationkey <> b.s_nationkey)"""
+
+
+def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_suppkey").alias("node_id"))
+    return edges.pairs_within(rows, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").cast("double").alias("edge_weight"))
+
+
+@query(f"WITH {NATIONS} SELECT c1, c2, SUM(w) AS total, ROUND(GREATEST(0, LN(SUM(w)) * 5), 6) AS edge_weight FROM q GROUP BY c1, c2")
+def community_edges(spark, d):
+    m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("community"))
+    return communities.community_edges(supplier_edges(spark, d), m).select("c1", "c2", "total", F.round("edge_weight", 6).alias("edge_weight"))
+
+
+@query(f"""WITH {NATIONS}, g AS (SELECT n, SUM(w) w FROM (SELECT u n, w FROM p UNION ALL SELECT v, w FROM p) GROUP BY n),
+k AS (SELECT s_nationkey, s_suppkey, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY COALESCE(w, 0) DESC, s_suppkey) k FROM supplier LEFT JOIN g ON n = s_suppkey) SELECT s_nationkey AS community, s_suppkey AS node_id FROM k WHERE k = 1""")
+def community_representatives(spark, d):
+    m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("community"))
+    return communities.representatives(m, supplier_edges(spark, d))
+
+
+@query()
+def louvain_membership(spark, d):
+    return communities.louvain(strong(spark, d, 80))
+
+
+@query(f"WITH {PAIRS}, g AS (SELECT u n, c FROM e UNION ALL SELECT v, c FROM e) SELECT n AS node_id, COUNT(*)::BIGINT AS degree, SUM(c)::BIGINT AS weighted_degree FROM g GROUP BY n")
+def degrees(spark, d):
+    return prune.degrees(brand_edges(spark, d), "num_relations")
+
+
+# --- names and ids -------------------------------------------------------------------------------------------------
+
+STEM = """CASE WHEN regexp_extract(w, '[^ ]*$') = 'species' THEN w WHEN regexp_matches(w, 'ies$') AND NOT regexp_matches(w, '[ea]ies$') THEN LEFT(w, LENGTH(w) - 3) || 'y'
+WHEN regexp_matches(w, 'es$') AND NOT regexp_matches(w, '[aeo]es$') THEN LEFT(w, LENGTH(w) - 1) WHEN regexp_matches(w, 's$') AND NOT regexp_matches(w, '[ius]s$') THEN LEFT(w, LENGTH(w) - 1) ELSE w END"""
+
+
+@query(f"WITH t AS (SELECT DISTINCT UNNEST(string_split(text, ' ')) x FROM documents), s AS (SELECT x, LOWER(TRIM(x)) w FROM t) SELECT x AS word, {STEM} AS stem FROM s WHERE x <> ''")
+def stem_tokens(spark, d):
+    w = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
+    return w.select("word", tx.standard_name(F.col("word")).alias("stem"))
+
+
+@query("""WITH c AS (SELECT l_orderkey o, l_shipdate::DATE::VARCHAR || l_returnflag AS name, COUNT(*) n, MIN(l_linenumber) f FROM lineitem GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o ORDER BY n DESC, f) k FROM c)
+SELECT o AS l_orderkey, name FROM k WHERE k = 1""")
+def name_mode(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.to_date("l_shipdate").cast("string"), "l_returnflag").alias("name"), "l_linenumber")
+    return mentions.frequent_name(li, ["l_orderkey"], "name", "l_linenumber").select("l_orderkey", "name")
+
+
+@query("""WITH c AS (SELECT p_name, p_type, COUNT(*) n, MIN(p_partkey) f FROM part GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_name ORDER BY n DESC, f) k FROM c) SELECT p_name AS name, p_type AS node_id, n::BIGINT AS n FROM k WHERE k = 1""")
+def type_conflict(spark, d):
+    c = table(spark, d, "part").groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("node_id")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seq"))
+    return mentions.settle_types(c, []).select("name", "node_id", "n")
+
+
+@query("""WITH g AS (SELECT l_orderkey o, STRING_AGG(DISTINCT l_suppkey::VARCHAR, ';' ORDER BY l_suppkey::VARCHAR) ids FROM lineitem GROUP BY 1) SELECT o AS l_orderkey, UNNEST(CASE WHEN o % 2 = 0 THEN string_split(ids, ';') ELSE [ids] END) || CASE WHEN o % 2 = 0 THEN '_Gene' ELSE '_Disease' END AS node_id FROM g""")
+def gene_id_explode(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(";", F.array_sort(F.collect_set(F.col("l_suppkey").cast("string")))).alias("ids"))
+    return g.select("l_orderkey", F.explode(mentions.node_ids(F.col("ids"), F.when(F.col("l_orderkey") % 2 == 0, "Gene").otherwise("Disease"))).alias("node_id"))
+
+
+@query(f"WITH {PAIRS} SELECT u, v, SHA1('node_' || u) AS u_id, SHA1('edge_' || u || '_' || v) AS edge_id, SHA1('node_' || u || '_comm') AS comm_id FROM e")
+def stable_ids(spark, d):
+    e = brand_edges(spark, d)
+    return e.select("u", "v", mentions.stable_id("node", F.col("u")).alias("u_id"), mentions.stable_id("edge", F.col("u"), F.col("v")).alias("edge_id"), mentions.stable_id("node", F.col("u"), suffix="_comm").alias("comm_id"))
+
+
+def part_nodes(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Gene").when(F.col("p_partkey") % 3 == 1, "Disease").otherwise("Chemical")
+    mesh = F.when(F.col("p_partkey") % 4 == 0, "-").otherwise(F.concat(F.lit("M"), (F.col("p_partkey") % 97).cast("string")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), kind.alias("type"), mesh.alias("mesh"))
+
+
+PART_NODES = "n AS (SELECT p_partkey id, p_name nm, CASE p_partkey % 3 WHEN 0 THEN 'Gene' WHEN 1 THEN 'Disease' ELSE 'Chemical' END ty, CASE WHEN p_partkey % 4 = 0 THEN '-' ELSE 'M' || (p_partkey % 97) END ms FROM part)"
+NAME_MERGE = f"{PART_NODES}, nm AS (SELECT id, FIRST_VALUE(id) OVER (PARTITION BY LOWER(TRIM(nm)), CASE WHEN ty = 'Gene' THEN ty ELSE '*' END ORDER BY ms = '-', id) t FROM n)"
+
+
+@query(f"WITH {NAME_MERGE} SELECT id AS node_id, t AS target FROM nm WHERE id <> t")
+def case_merge(spark, d):
+    return resolve.merge_names(part_nodes(spark, d))
+
+
+@query(f"WITH {NAME_MERGE}, r AS (SELECT n.* FROM n WHERE ms <> '-' AND id NOT IN (SELECT id FROM nm WHERE id <> t)), f AS (SELECT id, FIRST_VALUE(id) OVER (PARTITION BY ms, ty ORDER BY LENGTH(nm) DESC, id) t FROM r) SELECT id AS node_id, t AS target FROM f WHERE id <> t")
+def id_merge(spark, d):
+    n = part_nodes(spark, d)
+    return resolve.merge_identifiers(n, resolve.merge_names(n))
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, ROUND(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.3")
+def cosine_pairs(spark, d):
+    return resolve.similar_pairs(table(spark, d, "embeddings"), 0.3, "label", "vec_id").select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+
+def first_vector(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+DISTANCE = "v AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) dist FROM embeddings)"
+
+
+@query(f"WITH {DISTANCE} SELECT vec_id, ROUND(dist, 6) AS distance, ROUND(1 / (1 + dist), 6) AS similarity FROM v ORDER BY dist, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    n = retrieval.nearest(table(spark, d, "embeddings"), first_vector(spark, d), 10)
+    return n.select("vec_id", F.round("distance", 6).alias("distance"), F.round(retrieval.similarity(F.col("distance")), 6).alias("similarity"))
+
+
+@query(f"WITH {DISTANCE}, p AS (SELECT * FROM v ORDER BY dist, vec_id LIMIT 50) SELECT vec_id, ROUND(1 / (1 + dist) * (1 + label / 10::DOUBLE) * CASE WHEN vec_id % 7 = 0 THEN 1.5 ELSE 1 END, 6) AS score FROM p ORDER BY 1 / (1 + dist) * (1 + label / 10::DOUBLE) * CASE WHEN vec_id % 7 = 0 THEN 1.5 ELSE 1 END DESC, vec_id LIMIT 8")
+def hybrid_rank(spark, d):
+    e = table(spark, d, "embeddings")
+    h = retrieval.hybrid(e.withColumn("weight", F.col("label") / 10 + 1), first_vector(spark, d), 8, preferred=e.where("vec_id % 7 = 0"))
+    return h.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey o, p_brand || ' - ' || p_type x FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o ORDER BY x) k FROM l) SELECT o AS l_orderkey, STRING_AGG(x, '; ' ORDER BY x) AS context FROM k WHERE k <= 4 GROUP BY o""")
+def doc_context(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return retrieval.context_lines(li.select("l_orderkey", F.concat_ws(" - ", "p_brand", "p_type").alias("line")), "l_orderkey", "line", 4)
+
+
+@query(r"SELECT doc_id, (FLOOR(LEN(LIST_FILTER(regexp_split_to_array(COALESCE(text, ''), '\s+'), lambda x: x <> '')) / 0.75::DOUBLE) + 1)::BIGINT AS n_tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def token_batches(spark, d):
+    return retrieval.batches(table(spark, d, "documents").select("doc_id", "text"), "doc_id", tokens=20_000, rows=50).select("shard", "doc_id", "n_tokens", "batch")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[぀-ゟ゠-ヿ]') THEN 'Japanese' WHEN regexp_matches(text, '[가-힯]') THEN 'Korean' WHEN regexp_matches(text, '[一-鿿]') THEN 'Traditional Chinese' ELSE 'English' END AS language FROM documents")
+def lang_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.language_of(F.col("text")).alias("language"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(\d{7,10})', 1))), ',') AS ids FROM documents WHERE regexp_matches(text, '\d{7,10}')")
+def pmid_citations(spark, d):
+    t = table(spark, d, "documents").withColumn("all", F.regexp_extract_all("text", F.lit(r"(\d{7,10})"), F.lit(1))).where(F.size("all") > 0)
+    marked = t.withColumn("cited", tx.cited_ids(F.concat(F.lit("["), F.concat_ws("] [", "all"), F.lit("]"))))
+    return marked.select("doc_id", F.concat_ws(",", chatlog.sources(F.array_sort(F.array_distinct("all")), F.col("cited"))).alias("ids"))
+
+
+@query("WITH k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) k FROM conversations) SELECT conv_id, turn, role FROM k WHERE k <= 6")
+def history_window(spark, d):
+    return chatlog.history_window(table(spark, d, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+@query("WITH k AS (SELECT *, SUM(LENGTH(COALESCE(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) u FROM conversations) SELECT conv_id, turn, u::BIGINT AS used FROM k WHERE u <= 1800")
+def memory_budget(spark, d):
+    return chatlog.memory_budget(table(spark, d, "conversations")).select("conv_id", "turn", "used")
+
+
+@query("SELECT conv_id, COUNT(*)::BIGINT AS messages, COUNT(*) FILTER (role = 'user')::BIGINT AS questions, COUNT(*) FILTER (role = 'assistant')::BIGINT AS answers FROM conversations GROUP BY conv_id")
+def session_stats(spark, d):
+    return chatlog.session_statistics(table(spark, d, "conversations"))
+
+
+@query("""WITH g AS (SELECT DISTINCT p_name n, l_orderkey::VARCHAR o FROM part JOIN lineitem ON l_partkey = p_partkey), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n ORDER BY o) k, COUNT(*) OVER (PARTITION BY n) c FROM g)
+SELECT n AS name, STRING_AGG(o, ', ' ORDER BY o) || CASE WHEN MAX(c) > 3 THEN ' +' || (MAX(c) - 3) || ' more' ELSE '' END AS shown FROM k WHERE k <= 3 GROUP BY n""")
+def entity_listing(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = li.groupBy(F.col("p_name").alias("name")).agg(F.collect_set(F.col("l_orderkey").cast("string")).alias("pmids")).withColumn("type", F.lit("Gene"))
+    return chatlog.listing(n, "mrna").select("name", "shown")
+
+
+@query("""WITH t AS (SELECT doc_id, text, LEFT(text, 250) h, INSTR(REVERSE(LEFT(text, 250)), ' .') i FROM documents)
+SELECT doc_id, MD5(CASE WHEN LENGTH(text) <= 250 THEN text ELSE TRIM(CASE WHEN i = 0 OR LENGTH(h) - i - 1 < 125 THEN h ELSE LEFT(h, LENGTH(h) - i) END, ' ') END) AS short FROM t""")
+def sentence_truncate(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.cut_at_sentence(F.col("text"), 250)).alias("short"))
+
+
+@query("""WITH n AS (SELECT p_partkey id, p_name nm, split_part(p_type, ' ', 1) ty, p_size s FROM part), t AS (SELECT id FROM n WHERE LOWER(ty) = 'economy' ORDER BY s DESC, id LIMIT 20),
+w AS (SELECT id FROM n WHERE len(list_filter(regexp_split_to_array(lower(nm), '[^a-z0-9]+'), lambda x: starts_with(x, 'ivory'))) > 0 OR contains(regexp_replace(lower(nm), '[^a-z0-9]', '', 'g'), 'ivory')),
+y AS (SELECT id FROM n WHERE LOWER(ty) = 'promo' AND len(list_filter(regexp_split_to_array(lower(nm), '[^a-z0-9]+'), lambda x: starts_with(x, 'red'))) > 0)
+SELECT id AS node_id, 0 AS term FROM t UNION ALL SELECT id, 1 FROM w UNION ALL SELECT id, 2 FROM y""")
+def search_nodes(spark, d):
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type"), F.lit("").alias("mesh"), F.col("p_size").alias("num_articles"))
+    return search.search(n, "@Economy, ivory, @Promo:red")
+
+
+CONFIDENCES = [(1, "78%"), (2, "0.4"), (3, "12"), (4, ""), (5, None), (6, "high"), (7, "250"), (8, "-1")]
+RELATION_WORDS = [(1, "inhibition"), (2, "INHIBITS"), (3, "interacts with"), (4, " Treatment "), (5, "co-mention"), (6, "upregulation"), (7, "binds to"), (8, "unheard of")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"({k}, {'NULL' if v is None else repr(v)})" for k, v in rows)
+
+
+@query(f"""WITH v(id, raw) AS (VALUES {_values(CONFIDENCES)}), x AS (SELECT id, TRY_CAST(replace(trim(raw), '%', '') AS DOUBLE) c FROM v)
+SELECT id, LEAST(GREATEST(CASE WHEN c IS NULL THEN 0.5::DOUBLE WHEN c > 1 AND c <= 100 THEN c / 100 ELSE c END, 0::DOUBLE), 1::DOUBLE) AS confidence FROM x""")
+def confidence_norm(spark, d):
+    return spark.createDataFrame(CONFIDENCES, "id int, raw string").select("id", rel.confidence(F.col("raw")).alias("confidence"))
+
+
+@query("""WITH v(id, name, directional) AS (VALUES (1, 'inhibits', true), (2, 'inhibits', true), (3, 'interacts_with', false), (4, 'treats', true), (5, 'co-mention', false), (6, 'upregulates', true), (7, 'binds_to', false), (8, 'unheard_of', false)) SELECT * FROM v""")
+def relation_norm(spark, d):
+    return spark.createDataFrame(RELATION_WORDS, "id int, raw string").select("id", rel.relation_name(F.col("raw")).alias("name"), rel.is_directional(F.col("raw")).alias("directional"))
+
+
+@query("""SELECT DISTINCT p_brand AS brand, '("' || p_brand || '") NOT "Editorial" NOT "Letter" NOT "Published Erratum" NOT "Congress" NOT "News" NOT "Comment" NOT "Retraction of Publication"' AS query FROM part""")
+def pubtype_query(spark, d):
+    b = table(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct()
+    return b.select("brand", search.without_publication_types(F.concat(F.lit('"'), "brand", F.lit('"'))).alias("query"))
+
+
+@query("""WITH s AS (SELECT user_id u, event_type q, MAX(ts) t FROM events GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u ORDER BY t DESC, q) k FROM s) SELECT u AS user_id, q AS event_type, k::BIGINT AS rank FROM k WHERE k <= 8""")
+def recent_searches(spark, d):
+    r = chatlog.recent_searches(table(spark, d, "events"), "user_id", "event_type", "ts")
+    return r.select("user_id", "event_type", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT DISTINCT ts::DATE AS day, user_id, event_type t FROM events) SELECT x.day::VARCHAR AS day, x.t AS t1, y.t AS t2, COUNT(*)::BIGINT AS users FROM s x JOIN s y ON x.day = y.day AND x.user_id = y.user_id AND x.t < y.t GROUP BY 1, 2, 3""")
+def events_incremental(spark, d):
+    return daily_pairs(table(spark, d, "events")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH i AS (SELECT doc_id, UNNEST(string_split(array_to_string([doc_id::VARCHAR, lang, ' ' || (doc_id % 10)::VARCHAR, ''], ','), ',')) x FROM documents)
+SELECT DISTINCT TRIM(x) AS pmid FROM i WHERE TRY_CAST(TRIM(x) AS BIGINT) IS NOT NULL""")
+def id_list(spark, d):
+    from weftgraph.sources.ids import parse_ids
+
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.col("doc_id").cast("string"), F.lit(","), "lang", F.lit(", "), (F.col("doc_id") % 10).cast("string"), F.lit(",")).alias("value"))
+    return parse_ids(lines).select("pmid")
+
+
+@query("""SELECT s.s_suppkey::VARCHAR AS pmid, COALESCE(c.n, 0)::BIGINT AS citation_count FROM supplier s LEFT JOIN (SELECT l_suppkey k, COUNT(*) n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 2 = 0 GROUP BY 1) c ON s.s_suppkey = c.k""")
+def citation_counts(spark, d):
+    from weftgraph.sources.ids import with_citations
+
+    c = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").cast("string").alias("pmid")).agg(F.count("*").alias("citation_count"))
+    return with_citations(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("pmid")), c)
+

@@ -1 +1,22 @@
+"""Incremental counts of pairs that occur together, over a stream of events (an addition)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def event_stream(spark: SparkSession, path: str, schema: str = "event_id long, ts timestamp, user_id long, event_type string, value double, props string") -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def windowed_counts(events: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
+    """(start, event_type, n): counts by event-time window; events later than the watermark are left out."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def daily_pairs(events: DataFrame) -> DataFrame:
+    """(day, t1, t2, users): users who have events of both types on a day."""
+    sets = events.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
+    a = sets.select("day", "user_id", "types", F.explode("types").alias("t1")).select("day", "user_id", "t1", F.explode(F.filter("types", lambda t: t > F.col("t1"))).alias("t2"))
+    return a.groupBy("day", "t1", "t2").agg(F.count("*").alias("users"))
