@@ -29,9 +29,9 @@ def settle_types(counts: DataFrame, by: list[str], name: str = "name", node: str
 
 
 def frequent_name(rows: DataFrame, by: list[str], name: str, order: str) -> DataFrame:
-    """The most frequent name of each group, ties to the one seen first."""
+    """The most frequent name of each group, ties to the one seen first, then to the larger name."""
     c = rows.groupBy(*by, name).agg(F.count("*").alias("n"), F.min(order).alias("first_seq"))
-    return c.groupBy(*by).agg(F.max_by(name, F.struct("n", -F.col("first_seq"))).alias(name), F.min("first_seq").alias("first_seq"))
+    return c.groupBy(*by).agg(F.max_by(name, F.struct("n", -F.col("first_seq"), name)).alias(name), F.min("first_seq").alias("first_seq"))
 
 
 def article_nodes(mentions: DataFrame, articles: DataFrame | None = None, mesh_only: bool = False) -> DataFrame:

@@ -267,7 +267,7 @@ def stem_tokens(spark, d):
     return w.select("word", tx.standard_name(F.col("word")).alias("stem"))
 
 
-@query("""WITH c AS (SELECT l_orderkey o, l_shipdate::DATE::VARCHAR || l_returnflag AS name, COUNT(*) n, MIN(l_linenumber) f FROM lineitem GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o ORDER BY n DESC, f) k FROM c)
+@query("""WITH c AS (SELECT l_orderkey o, l_shipdate::DATE::VARCHAR || l_returnflag AS name, COUNT(*) n, MIN(l_linenumber) f FROM lineitem GROUP BY 1, 2), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o ORDER BY n DESC, f, name DESC) k FROM c)
 SELECT o AS l_orderkey, name FROM k WHERE k = 1""")
 def name_mode(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.to_date("l_shipdate").cast("string"), "l_returnflag").alias("name"), "l_linenumber")
