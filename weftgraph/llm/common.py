@@ -12,7 +12,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 U64 = np.uint64
 #: Rows of one Arrow batch; bounds what a Python worker holds of long texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -112,6 +112,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield carry
 
 
+def whole_groups_many(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, many at a time, from batches sorted by key (a long)."""
+    carry = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([carry, t]) if carry is not None else t
+        if t.num_rows:
+            k = t.column(key).to_numpy()
+            change = np.flatnonzero(k != k[-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield t.slice(0, cut)
+            carry = t.slice(cut)
+    if carry is not None and carry.num_rows:
+        yield carry
+
+
 def block_pairs(members: DataFrame, rows: int, size: int) -> DataFrame:
     """members (node, component, bytes) with the tasks that compare a component's members: columns i, j and side.
 

@@ -5,14 +5,15 @@ similarity reaches the threshold.
 
 1. Entry. Sets of sizes a and b that link differ in at most (a + b)(1 - t) / (1 + t) shingles. Shingles are hashed
    into one band more than that, for size classes that hold both partners, so at least one band is equal in both.
-   Documents with an equal band become candidates of each other, chained to the smallest id of the band: no pairs
-   within a band are made. Components of these chains hold all links.
-2. R-tree. Within a component, shingles hashed into 64 groups give each set a vector of counts. The vectors are packed
-   into a tree of bounding boxes; a set's overlap with any set below a node is at most the sum over coordinates of
-   the smaller of its own count and the box's upper edge. Nodes and vectors below the needed overlap are left out.
-3. The rest is verified on the shingles themselves; links give the final components.
-
-Components above a bounded size are compared block by block (`block_pairs`), so no task holds an unbounded group.
+   Documents with an equal band meet in a bucket; buckets with the same members count once.
+2. Bound. Shingles hashed into groups give each set a vector of counts. The overlap of two sets is at most the sum over
+   groups of the smaller count. Within a bucket, documents whose bound reaches the needed overlap are chained (no
+   pairs are made of those that are connected anyway). Components of the chains hold all links.
+3. R-tree. The count vectors of a component are packed into a tree of bounding boxes; a set's overlap with any set below
+   a node is at most the sum over coordinates of the smaller of its own count and the box's upper edge. What is left
+   is verified on the shingles themselves; links give the final components.
+
+Buckets and components above a bounded size are compared block by block, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, column, mix64, small_batches, whole_groups
+from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, column, mix64, small_batches, whole_groups, whole_groups_many
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
-GROUPS = 64
+GROUPS, FINE_GROUPS, FINE_FROM = 64, 256, 800
+BUCKET_ROWS = 4000
 LEAF = 16
 CHUNK_BYTES = 4_000_000
 BLOCK_ROWS, BLOCK_BYTES = 2000, 32_000_000
@@ -59,7 +61,7 @@ def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
     word = _roll.spans(_roll.prefix(data), start, end)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     cut = np.searchsorted(start, bounds + 1)
-    mult = [U64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(words)]
+    mult = mix64(np.arange(1, words + 1, dtype=np.uint64)) | U64(1)
     n = len(word) - words + 1
     full = mix64(sum((word[k : k + n] * mult[k] for k in range(1, words)), word[:n] * mult[0])) if n > 0 else np.zeros(0, U64)
     out = []
@@ -103,15 +105,16 @@ class Bands:
 
 def _bands_of(words: int, threshold: Fraction):
     def run(batches):
-        bands, first_of, first_set = Bands(threshold), {}, {}
+        bands, first_set = Bands(threshold), {}
         for b in batches:
-            ids, key, doc, other, count = column(b, "doc_id").to_pylist(), [], [], [], []
+            ids, key, doc, other, count, vec = column(b, "doc_id").to_pylist(), [], [], [], [], []
             for d, s in zip(ids, shingle_sets(column(b, "text").to_pylist(), words)):
                 n = len(s)
                 key.append(hash(d) % (1 << 60))
                 doc.append(d)
                 other.append(None)
                 count.append(n)
+                vec.append(None)
                 if d is None or not n:
                     continue
                 fingerprint = s.tobytes() if n < 3 else (n, int(s.sum()), int((s * s).sum()))
@@ -120,47 +123,116 @@ def _bands_of(words: int, threshold: Fraction):
                     doc.append(d)
                     other.append(f)
                     count.append(None)
+                    vec.append(None)
                     continue
-                for k in as_long(bands.keys(s)).tolist():
-                    f = first_of.setdefault(k, d)
-                    key.append(k)
-                    doc.append(d)
-                    other.append(None if f == d else f)  # met in this task: a chain, no further row for the band
-                    count.append(None)
-            if len(first_of) > 1_000_000:
-                first_of.clear()
+                vec[-1] = _vector(s)
+                keys = as_long(bands.keys(s)).tolist()
+                key += keys
+                doc += [d] * len(keys)
+                other += [None] * len(keys)
+                count += [None] * len(keys)
+                vec += [None] * len(keys)
+            if len(first_set) > 1_000_000:
                 first_set.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(count, pa.int64())], ["key", "doc", "other", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(count, pa.int64()), pa.array(vec, pa.binary())], ["key", "doc", "other", "n", "vec"])
 
     return run
 
 
-def _chain(batches):
-    """Of rows sorted by key and doc: band rows become (doc, other: first doc of the band), all others pass."""
-    last_key = last_doc = None
+def _vector(s: np.ndarray) -> bytes:
+    """Counts by group, more groups for large sets; if a count does not fit, all are the largest, which bounds nothing out."""
+    c = np.bincount((s % U64(FINE_GROUPS if len(s) >= FINE_FROM else GROUPS)).astype(np.int64), minlength=FINE_GROUPS if len(s) >= FINE_FROM else GROUPS)
+    return (c if c.max() < 65535 else np.full(len(c), 65535)).astype("<u2").tobytes()
+
+
+def _buckets(batches):
+    """Of rows sorted by key: band rows become (bucket, doc) for every band with several documents; all others pass.
+
+    The bucket's number is made of its members. A bucket of more than BUCKET_ROWS members is cut into blocks, and each
+    pair of blocks is a bucket.
+    """
+    names = ["bucket", "doc", "other", "n", "vec"]
+    key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def made(k, d):
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(k)))
+        if not (size > 1).any():
+            return
+        number = as_long(mix64(np.add.reduceat(mix64(d.astype(U64)), at) + size.astype(U64)))
+        small = np.repeat((size > 1) & (size <= BUCKET_ROWS), size)
+        out = [(np.repeat(number, size)[small], d[small])]
+        for g in np.flatnonzero(size > BUCKET_ROWS):
+            members = d[at[g] : at[g] + size[g]]
+            block = (mix64(members.astype(U64)) % U64(-(-2 * size[g] // BUCKET_ROWS))).astype(np.int64)
+            for i in range(block.max() + 1):
+                for j in range(i, block.max() + 1):
+                    part = members[(block == i) | (block == j)]
+                    out.append((np.full(len(part), hash((int(number[g]), i, j)) >> 1), part))
+        k, d = (np.concatenate(c) for c in zip(*out))
+        n = len(k)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+
     for b in batches:
-        if not b.num_rows:
-            continue
-        doc, other, n = column(b, "doc"), column(b, "other"), column(b, "n")
+        other, n = column(b, "other"), column(b, "n")
         band = np.asarray(other.is_null()) & np.asarray(n.is_null())
-        passed = b.filter(pa.array(~band)).select(["doc", "other", "n"])
-        if passed.num_rows:
-            yield passed
-        k, d = column(b, "key").to_numpy()[band], doc.filter(pa.array(band)).to_numpy()
-        if not len(k):
-            continue
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        carried = k[0] == last_key
-        new[0] = not carried
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        lead = np.where(at >= 0, d[np.maximum(at, 0)], last_doc if carried else 0)
-        last_key, last_doc = k[-1], lead[-1]
-        hit = lead != d
-        if hit.any():
-            u, v = d[hit], lead[hit]
-            pair = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], ["doc", "other", "n"])
+        p = b.filter(pa.array(~band))
+        if p.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(p.num_rows, pa.int64()), *(column(p, c) for c in names[1:])], names)
+        key = np.concatenate([key, column(b, "key").to_numpy()[band]])
+        doc = np.concatenate([doc, column(b, "doc").filter(pa.array(band)).to_numpy()])
+        if len(key) and key[0] != key[-1]:
+            last = np.searchsorted(key, key[-1])
+            yield from made(key[:last], doc[:last])
+            key, doc = key[last:], doc[last:]
+    yield from made(key, doc)
+
+
+def _matrix(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows, finer ones folded where others are coarse."""
+    size = {len(v) for v in vectors}
+    if len(size) == 1:
+        return np.frombuffer(b"".join(vectors), "<u2").reshape(len(vectors), -1).astype(np.int32)
+    return np.array([np.frombuffer(v, "<u2").reshape(-1, GROUPS).sum(0) for v in vectors], np.int32)
+
+
+def _bounded(threshold: Fraction):
+    """Chains of documents that share a bucket and whose bound reaches what they need."""
+    t = float(threshold)
+
+    def near(c, n, i, j):
+        need = t / (1 + t) * (n[i] + n[j]) - 1e-9
+        return (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(c[i], c[j]).sum(-1) >= need)
+
+    def run(batches):
+        for g in whole_groups_many(batches, "bucket"):
+            key, doc, n, vec = g.column("bucket").to_numpy(), g.column("doc").to_numpy(), g.column("n").to_numpy(), g.column("vec").to_pylist()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(at, len(key)))
+            c, us, vs = _matrix(vec), [], []
+            for m in np.unique(size[(size > 1) & (size <= 16)]):
+                lo, (p, q) = at[size == m], np.triu_indices(m, 1)
+                i, j = (lo[:, None] + p).ravel(), (lo[:, None] + q).ravel()
+                for k in range(0, len(i), 100_000):
+                    hit = near(c, n, i[k : k + 100_000], j[k : k + 100_000])
+                    us.append(doc[i[k : k + 100_000][hit]])
+                    vs.append(doc[j[k : k + 100_000][hit]])
+            for s in np.flatnonzero(size > 16):
+                rows = np.arange(at[s], at[s] + size[s])
+                while len(rows) > 1:  # grow one component at a time; a row is compared with those not yet in any
+                    wave, rows = rows[:1], rows[1:]
+                    while len(wave) and len(rows):
+                        hit = near(c, n, rows, np.full(len(rows), wave[0]))
+                        us.append(doc[rows[hit]])
+                        vs.append(np.full(hit.sum(), doc[wave[0]]))
+                        wave, rows = np.concatenate([wave[1:], rows[hit]]), rows[~hit]
+            if us and len(u := np.concatenate(us)):
+                v = np.concatenate(vs)
+                pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    return run
 
 
 class RTree:
@@ -248,16 +320,20 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bands = rows.mapInArrow(_bands_of(words, threshold), "key long, doc long, other long, n long")
-    chained = bands.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_chain, "doc long, other long, n long")
-    chained = materialize(chained, "bands")
-    candidates = connected_components(chained.where("other is not null"), "doc", "other")
+    bands = rows.mapInArrow(_bands_of(words, threshold), "key long, doc long, other long, n long, vec binary")
+    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "bucket long, doc long, other long, n long, vec binary")
+    met = materialize(met, "buckets")
+    vectors = met.where("vec is not null").groupBy("doc").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"))
+    members = met.where("bucket is not null").select("bucket", "doc").distinct().join(vectors, "doc")
+    chains = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bounded(threshold), "u long, v long")
+    same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
+    candidates = connected_components(chains.unionByName(same))
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
     tasks = materialize(block_pairs(sized, BLOCK_ROWS, BLOCK_BYTES), "blocks")
     texts = tasks.join(packed(rows.where("text is not null")), F.col("node") == F.col("doc_id")).drop("doc_id")
     texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     links = texts.mapInArrow(_verify(words, threshold), "u long, v long")
     found = connected_components(links)
-    counts = chained.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
+    counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = counts.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
