@@ -45,9 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source with the token ids, their number, and a digest of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    made = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path)
-    return made.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    return made.select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256")
 
 
 STAGES = [("language", language_stage), ("ngram_join", dedup_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("byte_bpe", tokens_stage)]

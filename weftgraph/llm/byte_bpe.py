@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import append_columns, column, small_batches
 
 #: Distinct words kept by a Python worker before the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Rows of an Arrow batch; their new words are merged together.
+BATCH = 500
 #: Words of more bytes are merged through a heap and not cached.
 LONG_WORD = 64
 NONE = 1 << 62
@@ -84,6 +86,7 @@ class Merger:
         self.ranks = ranks
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
+        del pairs
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         bits = max(4, int(len(rank)).bit_length() + 2)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -229,7 +232,7 @@ def codec(shared) -> Codec:
 
 
 def _share(df: DataFrame, ranks_path: str, pattern: str):
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH)
     return _Shared(df.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern)))  # the vocabulary file, of fixed size
 
 
@@ -277,19 +280,17 @@ def decode_documents(tokens: DataFrame, ranks_path: str, ids: str = "token_ids")
     return append_columns(tokens, "decoded binary", run)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256; encodes and decodes in one pass, without keeping the ids."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if asked for; encodes and decodes in one pass."""
     shared = _share(docs, ranks_path, pattern)
 
     def run(b: pa.RecordBatch) -> list:
-        c, out = codec(shared), ([], [], [])
-        for ids in c.encode_all(column(b, text).to_pylist()):
-            out[0].append(len(ids) // 4)
-            out[1].append(hashlib.sha256(ids).hexdigest())
-            out[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return list(out)
-
-    return append_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+        c = codec(shared)
+        ids = c.encode_all(column(b, text).to_pylist())
+        out = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]]
+        return [*out, ids] if keep_ids else out
+
+    return append_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * keep_ids, run)
 
 
 #: Parts of the literal rank map; a lookup in a Spark map reads the map through, so it is dealt out by key.
