@@ -207,7 +207,7 @@ def neighbourhood(spark, d):
 
 @query(f"""WITH RECURSIVE {STRONG}, h AS (SELECT u src, v dst, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) c FROM k UNION ALL SELECT v, u, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) FROM k),
 best0 AS (SELECT MIN(n) a FROM (SELECT u n FROM k UNION SELECT v FROM k)), r(a, node, cost, hops) AS (
-SELECT a, a, 0::DOUBLE, 0 FROM best0 UNION SELECT r.a, h.dst, ROUND(r.cost + h.c, 9), r.hops + 1 FROM r JOIN h ON r.node = h.src WHERE r.hops < 4)
+SELECT a, a, 0::DOUBLE, 0 FROM best0 UNION ALL SELECT r.a, h.dst, r.cost + h.c, r.hops + 1 FROM r JOIN h ON r.node = h.src WHERE r.hops < 4)
 SELECT a, node AS b, ROUND(MIN(cost), 6) AS cost FROM r WHERE node > a GROUP BY a, node""")
 def shortest_path_cost(spark, d):
     e = strong(spark, d).withColumn("cost", paths.edge_cost(F.col("edge_weight")))
