@@ -93,7 +93,7 @@ def test_bioc(spark, tmp_path):
 
 
 def test_text_rules(spark):
-    words = {"species": "species", "studies": "study", "eies": "eie", "genes": "gene", "shoes": "shoes", "cells": "cell", "virus": "virus", "mouse species": "mouse species", "B Cells": "b cell"}
+    words = {"species": "species", "studies": "study", "eies": "eie", "genes": "gene", "shoes": "shoe", "cells": "cell", "virus": "virus", "mouse species": "mouse species", "B Cells": "b cell"}
     df = spark.createDataFrame(list(words.items()), "a string, b string")
     assert [tuple(r) for r in df.where(tx.standard_name(F.col("a")) != F.col("b")).collect()] == []
     one = lambda c: spark.range(1).select(c).first()[0]
