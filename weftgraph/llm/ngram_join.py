@@ -4,9 +4,10 @@ A document is the set of its distinct word shingles, hashed to 64 bits. Two docu
 similarity reaches the threshold.
 
 1. Entry. Sets of sizes a and b that link differ in at most (a + b)(1 - t) / (1 + t) shingles. Shingles are hashed
-   into one band more than that, for size classes that hold both partners, so at least one band is equal in both.
+   into more bands than that, for size classes that hold both partners, so at least one band is equal in both. Where a
+   set fills more bands than it can differ in, an equal one is among those, and its empty bands are left out.
    Documents with an equal band meet in a bucket; buckets with the same members count once.
-2. Bound. Shingles hashed into groups give each set a vector of counts. The overlap of two sets is at most the sum over
+2. Bound. Shingles hashed into groups, the more the larger the set, give each set a vector of counts. The overlap of two sets is at most the sum over
    groups of the smaller count. Within a bucket, documents whose bound reaches the needed overlap are chained (no
    pairs are made of those that are connected anyway). Components of the chains hold all links.
 3. R-tree. The count vectors of a component are packed into a tree of bounding boxes; a set's overlap with any set below
@@ -22,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,10 @@ from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
-GROUPS, FINE_GROUPS, FINE_FROM = 64, 256, 800
+GROUPS = 64
+#: Sizes from which a count vector has four times as many groups, so that a group holds few shingles and bounds tightly.
+FINER_FROM = (400, 1600, 6400)
+PAIR_CELLS = 4_000_000
 BUCKET_ROWS = 4000
 LEAF = 16
 CHUNK_BYTES = 4_000_000
@@ -85,11 +90,20 @@ class Bands:
         while self.upper[-1] < n:
             top = int((self.upper[-1] + 1) / self.t)
             self.upper.append(top)
-            self.count.append(int(2 * top * (1 - self.t) / (1 + self.t)) + 1)
+            most = self.differ(top, top)
+            self.count.append(most + most // 8 + 2)  # some more than needed, so that enough are filled
         return int(np.searchsorted(self.upper, n))
 
+    def differ(self, a: int, b: int) -> int:
+        """The most shingles in which linked sets of these sizes differ."""
+        return int((a + b) * (1 - self.t) / (1 + self.t))
+
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """A hash for each band of the set's own class, and of the next, where larger partners are."""
+        """A hash for each band of the set's own class, and of the next, where larger partners are.
+
+        If the filled bands outnumber the most shingles in which a linked set differs, one of them is equal in both,
+        and the empty ones, which unlike sets share, are left out.
+        """
         c, out = self.of(len(s)), []
         self.of(self.upper[c] + 1)
         for k in (c, c + 1):
@@ -99,7 +113,9 @@ class Bands:
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(s[order])])
             cut = np.searchsorted(band[order], np.arange(bands + 1))
             tag = (np.arange(bands, dtype=np.uint64) + U64(k << 32)) * U64(0xD6E8FEB86659FD93)
-            out.append(mix64((sums[cut[1:]] - sums[cut[:-1]]) ^ tag))
+            hashes, filled = mix64((sums[cut[1:]] - sums[cut[:-1]]) ^ tag), cut[1:] > cut[:-1]
+            most = self.differ(len(s), min(int(len(s) / self.t), self.upper[k]))
+            out.append(hashes[filled] if filled.sum() > most else hashes)
         return np.concatenate(out)
 
 
@@ -140,8 +156,9 @@ def _bands_of(words: int, threshold: Fraction):
 
 
 def _vector(s: np.ndarray) -> bytes:
-    """Counts by group, more groups for large sets; if a count does not fit, all are the largest, which bounds nothing out."""
-    c = np.bincount((s % U64(FINE_GROUPS if len(s) >= FINE_FROM else GROUPS)).astype(np.int64), minlength=FINE_GROUPS if len(s) >= FINE_FROM else GROUPS)
+    """Counts by group; if a count does not fit, all are the largest, which bounds nothing out."""
+    groups = GROUPS * 4 ** sum(len(s) >= k for k in FINER_FROM)
+    c = np.bincount((s % U64(groups)).astype(np.int64), minlength=groups)
     return (c if c.max() < 65535 else np.full(len(c), 65535)).astype("<u2").tobytes()
 
 
@@ -189,12 +206,11 @@ def _buckets(batches):
     yield from made(key, doc)
 
 
-def _matrix(vectors: list[bytes]) -> np.ndarray:
-    """Count vectors as rows, finer ones folded where others are coarse."""
-    size = {len(v) for v in vectors}
-    if len(size) == 1:
-        return np.frombuffer(b"".join(vectors), "<u2").reshape(len(vectors), -1).astype(np.int32)
-    return np.array([np.frombuffer(v, "<u2").reshape(-1, GROUPS).sum(0) for v in vectors], np.int32)
+def _matrix(vectors: list[bytes], groups: int) -> np.ndarray:
+    """Count vectors as rows of so many groups; finer ones are folded."""
+    if all(len(v) == 2 * groups for v in vectors):
+        return np.frombuffer(b"".join(vectors), "<u2").reshape(len(vectors), groups).astype(np.int32)
+    return np.array([np.frombuffer(v, "<u2").reshape(-1, groups).sum(0) for v in vectors], np.int32)
 
 
 def _bounded(threshold: Fraction):
@@ -205,28 +221,38 @@ def _bounded(threshold: Fraction):
         need = t / (1 + t) * (n[i] + n[j]) - 1e-9
         return (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(c[i], c[j]).sum(-1) >= need)
 
+    def chained(doc, n, c, at, size):
+        """Pairs within the buckets of sizes `size` that start at `at`."""
+        us, vs, step = [], [], max(1, PAIR_CELLS // c.shape[1])
+        for m in np.unique(size[(size > 1) & (size <= 16)]):
+            lo, (p, q) = at[size == m], np.triu_indices(m, 1)
+            i, j = (lo[:, None] + p).ravel(), (lo[:, None] + q).ravel()
+            for k in range(0, len(i), step):
+                hit = near(c, n, i[k : k + step], j[k : k + step])
+                us.append(doc[i[k : k + step][hit]])
+                vs.append(doc[j[k : k + step][hit]])
+        for s in np.flatnonzero(size > 16):
+            rows = np.arange(at[s], at[s] + size[s])
+            while len(rows) > 1:  # grow one component at a time; a row is compared with those not yet in any
+                wave, rows = rows[:1], rows[1:]
+                while len(wave) and len(rows):
+                    hit = np.concatenate([near(c, n, rows[k : k + step], wave[:1]) for k in range(0, len(rows), step)])
+                    us.append(doc[rows[hit]])
+                    vs.append(np.full(hit.sum(), doc[wave[0]]))
+                    wave, rows = np.concatenate([wave[1:], rows[hit]]), rows[~hit]
+        return us, vs
+
     def run(batches):
         for g in whole_groups_many(batches, "bucket"):
-            key, doc, n, vec = g.column("bucket").to_numpy(), g.column("doc").to_numpy(), g.column("n").to_numpy(), g.column("vec").to_pylist()
+            key, doc, n, vec = g.column("bucket").to_numpy(), g.column("doc").to_numpy(), g.column("n").to_numpy(), g.column("vec")
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(at, len(key)))
-            c, us, vs = _matrix(vec), [], []
-            for m in np.unique(size[(size > 1) & (size <= 16)]):
-                lo, (p, q) = at[size == m], np.triu_indices(m, 1)
-                i, j = (lo[:, None] + p).ravel(), (lo[:, None] + q).ravel()
-                for k in range(0, len(i), 100_000):
-                    hit = near(c, n, i[k : k + 100_000], j[k : k + 100_000])
-                    us.append(doc[i[k : k + 100_000][hit]])
-                    vs.append(doc[j[k : k + 100_000][hit]])
-            for s in np.flatnonzero(size > 16):
-                rows = np.arange(at[s], at[s] + size[s])
-                while len(rows) > 1:  # grow one component at a time; a row is compared with those not yet in any
-                    wave, rows = rows[:1], rows[1:]
-                    while len(wave) and len(rows):
-                        hit = near(c, n, rows, np.full(len(rows), wave[0]))
-                        us.append(doc[rows[hit]])
-                        vs.append(np.full(hit.sum(), doc[wave[0]]))
-                        wave, rows = np.concatenate([wave[1:], rows[hit]]), rows[~hit]
+            size, us, vs = np.diff(np.append(at, len(key))), [], []
+            groups = np.minimum.reduceat(pc.binary_length(vec).to_numpy() // 2, at)
+            for k in np.unique(groups):  # a bucket is compared as finely as all its members allow
+                rows, own = np.flatnonzero(np.repeat(groups == k, size)), size[groups == k]
+                made = chained(doc[rows], n[rows], _matrix(vec.take(pa.array(rows)).to_pylist(), int(k)), np.cumsum(own) - own, own)
+                us += made[0]
+                vs += made[1]
             if us and len(u := np.concatenate(us)):
                 v = np.concatenate(vs)
                 pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
