@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_DIR = "weftgraph.shared.dir"
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -28,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    # a core setting: fixed when the context starts, so a folder of our own is kept under a key of our own
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(OWN_DIR, found)
     return found.rstrip("/")
 
 
