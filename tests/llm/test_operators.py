@@ -189,6 +189,13 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_copies_fill_no_list(spark):
+    a, b = [1.0] + [0.0] * 15, [0.985, (1 - 0.985**2) ** 0.5] + [0.0] * 14
+    rows = [(k, a if k % 2 else b, 0) for k in range(80)] + [(k, a, 0) for k in (3, 5)]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 82 and {(r.n_links, r.component_id) for r in got} == {(79, 0)}
+
+
 def test_url_filter(spark):
     link = '<a href="http://bad.io/x">'
     rows = [(1, "http://A.example.net/en/x?q", None), (2, "http://b.example.net/de", link), (3, "http://x.example.com/de/", ""), (4, "https://y.org/fr/1#a", '<a href="//good.io/">'), (5, None, None), (6, "nourl", None), (7, "http://net", None), (8, "http://good.io/", ""), (9, "http://bad.io", '<a href="http://b.example.net/de">'), (10, "http://other.io/a", None)]

@@ -1,12 +1,13 @@
 """Near-duplicates among embeddings by NN-descent.
 
+0. Copies: rows of one label with equal vectors are one node with a weight, by a hash of 128 bits.
 1. Start: vectors that share a label and the signs of random projections are sorted by one more projection, and each is
    joined with the next few; several such tables give every vector a first list of neighbours.
 2. Descent: neighbours of a common neighbour are compared, and each list keeps its best. A list whose members all reach
    the threshold is saturated and doubles its length. Lists only hold vectors within `slack` of the threshold, as
    no others lead to a link.
-3. Threshold edges: components of the lists are compared exactly, block by block, which counts every link of a dense
-   group without a row for each pair.
+3. Threshold edges: components of all links met in 1 and 2, also of those that a list had no room for, are compared
+   exactly, block by block, which counts every link of a dense group without a row for each pair.
 4. Audit: for a bounded sample of vectors, links found are held against brute force over all rows; if the recall falls
    short, more tables are added and the descent goes on.
 """
@@ -92,6 +93,7 @@ def _exact(threshold: float):
     def run(batches):
         for g in whole_groups(batches, ["component", "i", "j"]):
             ids, side, v = g.column("node").to_numpy(), g.column("side").to_numpy(), matrix(g.column("v"))
+            weight = g.column("weight").to_numpy().astype(np.float64)
             u = unit(v)
             s = u @ u.T
             near = s >= threshold
@@ -112,7 +114,7 @@ def _exact(threshold: float):
                 if (low == label).all():
                     break
                 label = low
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(1)), pa.array(ids[order][label])], ["node", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near @ weight).astype(np.int64)), pa.array(near.sum(1)), pa.array(ids[order][label])], ["node", "n", "m", "root"])
 
     return run
 
@@ -127,35 +129,51 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("long").alias("label"))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
     dims = common_length(good, "v")
-    good = good.where(F.size("v") == dims)
-    floor, found, n_tables = threshold - slack, None, TABLES
-    probe = good.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(AUDIT).toArrow()
+    members, nodes = _copies(good.where(F.size("v") == dims))
+    points = nodes.select(F.col("node").alias("vec_id"), "v", "label")
+    floor, found, near, n_tables = threshold - slack, None, None, TABLES
+    probe = points.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(AUDIT).toArrow()
     for attempt in range(rounds):
-        dealt = good.mapInArrow(_tables(31 + attempt, n_tables, max(1, dims)), "key long, place double, vec_id long, v " + dict(rows.dtypes)["v"])
-        first = dealt.repartition("key").sortWithinPartitions("key", "place", "vec_id").mapInArrow(_neighbours(floor), "u long, v long, s double")
-        edges = first if found is None else found.unionByName(first)
-        found = materialize(_best(edges, threshold, LIST), "lists")
-        for _ in range(descents):
-            lists = found.select(F.col("u").alias("mid"), F.col("v").alias("vec_id"))
-            members = lists.join(good.select("vec_id", "v"), "vec_id").repartition("mid").sortWithinPartitions("mid", "vec_id")
-            met = members.select("mid", "vec_id", "v").mapInArrow(_compare(floor), "u long, v long, s double")
-            found = materialize(_best(found.unionByName(met), threshold, LIST), "lists")
-        groups = connected_components(found)
+        dealt = points.mapInArrow(_tables(31 + attempt, n_tables, max(1, dims)), "key long, place double, vec_id long, v " + dict(rows.dtypes)["v"])
+        met = dealt.repartition("key").sortWithinPartitions("key", "place", "vec_id").mapInArrow(_neighbours(floor), "u long, v long, s double")
+        for step in range(descents + 1):
+            if step:
+                lists = found.select(F.col("u").alias("mid"), F.col("v").alias("vec_id"))
+                mids = lists.join(points.select("vec_id", "v"), "vec_id").repartition("mid").sortWithinPartitions("mid", "vec_id")
+                met = mids.select("mid", "vec_id", "v").mapInArrow(_compare(floor), "u long, v long, s double")
+            met = materialize(met, "met")
+            link = met.where(F.col("s") >= threshold - 1e-9).select("u", "v")
+            near = link if near is None else near.unionByName(link)
+            found = materialize(_best(met if found is None else found.unionByName(met), threshold, LIST), "lists")
+        groups = connected_components(near)
         sized = groups.withColumn("bytes", F.lit(8 * max(1, dims)))
-        tasks = block_pairs(sized, 2000, 32_000_000).join(good.select("vec_id", "v"), F.col("node") == F.col("vec_id"))
+        tasks = block_pairs(sized, 2000, 32_000_000).join(nodes.select("node", "v", "weight"), "node")
         tasks = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-        seen = materialize(tasks.select("component", "i", "j", "side", "node", "v").mapInArrow(_exact(threshold), "node long, n long, root long"), "links")
-        links = seen.groupBy("node").agg(F.sum("n").alias("n_links"))
-        if _recall(good, probe, links, threshold) >= recall:
+        tasks = tasks.select("component", "i", "j", "side", "node", "v", "weight")
+        seen = materialize(tasks.mapInArrow(_exact(threshold), "node long, n long, m long, root long"), "links")
+        links = seen.groupBy("node").agg(F.sum("n").alias("n_others"), F.sum("m").alias("n_links"))
+        if _recall(points, probe, links, threshold) >= recall:
             break
         n_tables *= 2
     roots = connected_components(seen, "node", "root")
-    known = links.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n_links", "component")
-    out = rows.join(known, F.col("vec_id") == F.col("node"), "left")
+    known = members.join(links, "node", "left").join(roots, "node", "left")
+    known = known.select(F.col("vec_id").alias("id"), (F.col("weight") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    out = rows.join(known, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+def _copies(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, node, weight) for every id and (node, v, label, weight) for every distinct vector of a label; node is its smallest id."""
+    keyed = good.withColumn("g", F.xxhash64("label", "v")).withColumn("h", F.xxhash64(F.lit(7), "v", "label"))
+    ids = materialize(keyed.groupBy("vec_id").agg(F.min(F.struct("g", "h")).alias("k")).select("vec_id", "k.g", "k.h"), "ids")
+    same = ids.groupBy("g", "h").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
+    members = materialize(ids.join(same, ["g", "h"]).select("vec_id", "node", "weight"), "members")
+    firsts = same.withColumnRenamed("node", "vec_id")
+    nodes = keyed.join(firsts, ["vec_id", "g", "h"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("node"), "v", "label", "weight")
+    return members, materialize(nodes, "nodes")
+
+
 def _recall(good: DataFrame, probe: pa.Table, links: DataFrame, threshold: float) -> float:
     """The share of the audited vectors' links, counted by brute force over all rows, that were found."""
     if not probe.num_rows:
