@@ -6,6 +6,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -196,6 +197,18 @@ def test_embedding_dedup_copies_fill_no_list(spark):
     assert len(got) == 82 and {(r.n_links, r.component_id) for r in got} == {(79, 0)}
 
 
+def test_embedding_dedup_finds_pairs_alone_in_a_large_label(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((60_000, 16))
+    side = r.standard_normal((300, 16))
+    a = x[:300] / np.linalg.norm(x[:300], axis=1)[:, None]
+    side -= (side * a).sum(1)[:, None] * a
+    x[300:600] = 0.981 * a + (1 - 0.981**2) ** 0.5 * side / np.linalg.norm(side, axis=1)[:, None]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.zeros(len(x), np.int32)}))
+    got = embedding_dedup.dedup(df).where("vec_id >= 300 and vec_id < 600").collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id - 300) for r in got) and len(got) == 300
+
+
 def test_url_filter(spark):
     link = '<a href="http://bad.io/x">'
     rows = [(1, "http://A.example.net/en/x?q", None), (2, "http://b.example.net/de", link), (3, "http://x.example.com/de/", ""), (4, "https://y.org/fr/1#a", '<a href="//good.io/">'), (5, None, None), (6, "nourl", None), (7, "http://net", None), (8, "http://good.io/", ""), (9, "http://bad.io", '<a href="http://b.example.net/de">'), (10, "http://other.io/a", None)]

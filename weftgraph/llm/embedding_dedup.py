@@ -1,19 +1,23 @@
 """Near-duplicates among embeddings by NN-descent.
 
 0. Copies: rows of one label with equal vectors are one node with a weight, by a hash of 128 bits.
-1. Start: vectors that share a label and the signs of random projections are sorted by one more projection, and each is
-   joined with the next few; several such tables give every vector a first list of neighbours.
+1. Start: vectors that share a label and the signs of random projections are compared, at most AHEAD apart in the order
+   of one more projection. The number of signs grows with the label, so that a bucket keeps within that window; the
+   number of tables grows with the signs, so that a pair at the threshold shares a bucket with a chance of 1 - MISS.
 2. Descent: neighbours of a common neighbour are compared, and each list keeps its best. A list whose members all reach
-   the threshold is saturated and doubles its length. Lists only hold vectors within `slack` of the threshold, as
-   no others lead to a link.
+   the threshold is saturated and doubles its length. Lists only hold vectors within `slack` of the threshold: they
+   fill in dense places, and pairs far from all others are left to the tables.
 3. Threshold edges: components of all links met in 1 and 2, also of those that a list had no room for, are compared
    exactly, block by block, which counts every link of a dense group without a row for each pair.
-4. Audit: for a bounded sample of vectors, links found are held against brute force over all rows; if the recall falls
-   short, more tables are added and the descent goes on.
+4. Audit: for a bounded sample of vectors, links found are held against brute force over all rows; if the mean recall
+   of a vector falls short, more tables are added and the descent goes on, and it is an error if it stays short.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,57 +28,98 @@ from weftgraph.llm.vectors import common_length, cosine, matrix, unit, usable
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
-BITS, TABLES, AHEAD, LIST, AUDIT = 10, 8, 6, 8, 128
+AHEAD, LIST, AUDIT, MISS, MOST = 128, 8, 512, 1e-4, 40
+
 
+def _needed(bits: int, threshold: float) -> int:
+    """Tables after which a pair at the threshold has shared a bucket of so many signs, but for a chance of MISS."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if agree >= 1 else math.ceil(math.log(MISS) / math.log1p(-agree))
 
-def _tables(seed: int, tables: int, dims: int):
-    plane = np.random.default_rng(seed).standard_normal((tables, BITS + 1, dims))
 
+def _tables(seed: int, times: int, dims: int, threshold: float):
     def run(batches):
+        planes = []
         for b in batches:
-            u, label = unit(matrix(column(b, "v"))), column(b, "label").cast(pa.int64()).to_numpy()
-            for t in range(tables):
-                p = u @ plane[t].T
-                key = ((p[:, :BITS] > 0) @ (1 << np.arange(BITS))) + (t << BITS) + label * (tables << BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(p[:, BITS]), column(b, "vec_id"), column(b, "v")], ["key", "place", "vec_id", "v"])
+            if not b.num_rows:
+                continue
+            u, bits = unit(matrix(column(b, "v"))), column(b, "bits").to_numpy()
+            need = np.array([times * _needed(k, threshold) for k in range(int(bits.max()) + 1)])[bits]
+            for t in range(int(need.max())):
+                if t == len(planes):
+                    planes.append(np.random.default_rng([seed, t]).standard_normal((MOST + 1, dims)))
+                pick = np.flatnonzero(need > t)
+                p = u[pick] @ planes[t][: int(bits[pick].max()) + 1].T
+                signs = ((p[:, 1:] > 0) & (np.arange(p.shape[1] - 1) < bits[pick, None])) @ (1 << np.arange(p.shape[1] - 1))
+                rows = b.take(pa.array(pick))
+                yield pa.RecordBatch.from_arrays([pa.array(signs.astype(np.int64) * (1 << 16) + t), column(rows, "label"), pa.array(p[:, 0]), column(rows, "vec_id"), column(rows, "v")], ["key", "label", "place", "vec_id", "v"])
 
     return run
 
 
-def _neighbours(floor: float):
-    """Pairs of rows at most AHEAD apart, of one key, in rows sorted by key and place."""
+def _kept(s: np.ndarray, ids: np.ndarray, floor: float, threshold: float):
+    """Of the scores s of the first rows of ids with all of them (-1 where not compared): the best of each row as (u, v, score), and links that join what the threshold joins, as (u, v, NaN)."""
+    near, hit = s >= threshold - 1e-9, s >= floor
+    if s.shape[1] > LIST and hit.sum() > len(s) * LIST:
+        best = np.zeros_like(hit)
+        np.put_along_axis(best, np.argpartition(-s, LIST - 1, axis=1)[:, :LIST], True, axis=1)
+        hit &= best
+    a, b = np.nonzero(hit)
+    c, d = np.nonzero(near)
+    if len(c) > len(ids):
+        both = np.zeros((len(ids), len(ids)), bool)
+        both[: len(s)] = near
+        both |= both.T
+        d = np.arange(len(ids))
+        while True:
+            low = np.minimum(d, np.where(both, d, len(ids)).min(1))
+            low = low[low]
+            if (low == d).all():
+                break
+            d = low
+        c = np.flatnonzero(d != np.arange(len(ids)))
+        d = d[c]
+    return np.concatenate([ids[a], ids[c]]), np.concatenate([ids[b], ids[d]]), np.concatenate([s[a, b], np.full(len(c), np.nan)])
+
+
+def _neighbours(floor: float, threshold: float):
+    """Pairs of rows of one key and label in one block of AHEAD rows, or in two that adjoin, in rows sorted by key, label and place."""
 
     def run(batches):
-        key = ids = v = None
-        for b in batches:
-            k, i, x = column(b, "key").to_numpy(), column(b, "vec_id").to_numpy(), unit(matrix(column(b, "v")))
-            if not len(k):
+        rest = None
+        for b in itertools.chain(batches, (None,)):
+            if b is not None:
+                new = column(b, "key").to_numpy(), column(b, "label").to_numpy(), column(b, "vec_id").to_numpy(), unit(matrix(column(b, "v")))
+                if not b.num_rows:
+                    continue
+                rest = new if rest is None else tuple(np.concatenate(x) for x in zip(rest, new))
+            if rest is None:
                 continue
-            old = 0 if key is None else len(key)
-            if old:
-                k, i, x = np.concatenate([key, k]), np.concatenate([ids, i]), np.concatenate([v, x])
-            out = []
-            for step in range(1, AHEAD + 1):
-                lo = np.arange(max(0, old - step), len(k) - step)
-                lo = lo[k[lo] == k[lo + step]]
-                s = (x[lo] * x[lo + step]).sum(1)
-                hit = s >= floor
-                out.append((i[lo[hit]], i[lo[hit] + step], s[hit]))
-            key, ids, v = k[-AHEAD:], i[-AHEAD:], x[-AHEAD:]
-            u, w, s = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(s)], ["u", "v", "s"])
+            key, label, ids, x = rest
+            done, out = 0, []
+            while done < len(ids) and (b is None or done + 2 * AHEAD <= len(ids)):
+                one, two = slice(done, done + AHEAD), slice(done, done + 2 * AHEAD)
+                s = x[one] @ x[two].T
+                s[(key[one, None] != key[two]) | (label[one, None] != label[two])] = -1
+                s[np.tril_indices(s.shape[0], 0, s.shape[1])] = -1
+                if (s >= floor).any():
+                    out.append(_kept(s, ids[two], floor, threshold))
+                done += AHEAD
+            rest = tuple(y[done:] for y in rest)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out)], ["u", "v", "s"])
 
     return run
 
 
-def _compare(floor: float):
+def _compare(floor: float, threshold: float):
     def run(batches):
         for g in whole_groups(batches, ["mid"]):
             ids, x = g.column("vec_id").to_numpy(), unit(matrix(g.column("v")))
             s = x @ x.T
-            a, b = np.nonzero(np.triu(s >= floor, 1))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(s[a, b])], ["u", "v", "s"])
+            s[np.tril_indices(len(s))] = -1
+            if (s >= floor).any():
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in _kept(s, ids, floor, threshold)], ["u", "v", "s"])
 
     return run
 
@@ -131,20 +176,24 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
     dims = common_length(good, "v")
     members, nodes = _copies(good.where(F.size("v") == dims))
     points = nodes.select(F.col("node").alias("vec_id"), "v", "label")
-    floor, found, near, n_tables = threshold - slack, None, None, TABLES
+    large = points.groupBy("label").count().where(F.col("count") > AHEAD)  # at most a row for each AHEAD vectors
+    large = large.select("label", F.least(F.ceil(F.log2(F.col("count") * 2 / AHEAD)), F.lit(MOST)).cast("int").alias("bits"))
+    signed = points.join(F.broadcast(large), "label", "left").select("vec_id", "v", "label", F.coalesce("bits", F.lit(0)).alias("bits"))
+    floor, found, near, times = threshold - slack, None, None, 1
     probe = points.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(AUDIT).toArrow()
     for attempt in range(rounds):
-        dealt = points.mapInArrow(_tables(31 + attempt, n_tables, max(1, dims)), "key long, place double, vec_id long, v " + dict(rows.dtypes)["v"])
-        met = dealt.repartition("key").sortWithinPartitions("key", "place", "vec_id").mapInArrow(_neighbours(floor), "u long, v long, s double")
+        dealt = signed.mapInArrow(_tables(31 + attempt, times, max(1, dims), threshold), "key long, label long, place double, vec_id long, v " + dict(rows.dtypes)["v"])
+        met = dealt.repartition("key", "label").sortWithinPartitions("key", "label", "place", "vec_id").mapInArrow(_neighbours(floor, threshold), "u long, v long, s double")
         for step in range(descents + 1):
             if step:
                 lists = found.select(F.col("u").alias("mid"), F.col("v").alias("vec_id"))
                 mids = lists.join(points.select("vec_id", "v"), "vec_id").repartition("mid").sortWithinPartitions("mid", "vec_id")
-                met = mids.select("mid", "vec_id", "v").mapInArrow(_compare(floor), "u long, v long, s double")
+                met = mids.select("mid", "vec_id", "v").mapInArrow(_compare(floor, threshold), "u long, v long, s double")
             met = materialize(met, "met")
-            link = met.where(F.col("s") >= threshold - 1e-9).select("u", "v")
+            link = met.where(F.isnan("s")).select("u", "v")
             near = link if near is None else near.unionByName(link)
-            found = materialize(_best(met if found is None else found.unionByName(met), threshold, LIST), "lists")
+            scored = met.where(~F.isnan("s"))
+            found = materialize(_best(scored if found is None else found.unionByName(scored), threshold, LIST), "lists")
         groups = connected_components(near)
         sized = groups.withColumn("bytes", F.lit(8 * max(1, dims)))
         tasks = block_pairs(sized, 2000, 32_000_000).join(nodes.select("node", "v", "weight"), "node")
@@ -152,9 +201,12 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
         tasks = tasks.select("component", "i", "j", "side", "node", "v", "weight")
         seen = materialize(tasks.mapInArrow(_exact(threshold), "node long, n long, m long, root long"), "links")
         links = seen.groupBy("node").agg(F.sum("n").alias("n_others"), F.sum("m").alias("n_links"))
-        if _recall(points, probe, links, threshold) >= recall:
+        share = _recall(points, probe, links, threshold)
+        if share >= recall:
             break
-        n_tables *= 2
+        times *= 2
+    else:
+        raise RuntimeError(f"recall {share:.4f} after {rounds} rounds, below {recall}")
     roots = connected_components(seen, "node", "root")
     known = members.join(links, "node", "left").join(roots, "node", "left")
     known = known.select(F.col("vec_id").alias("id"), (F.col("weight") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
@@ -175,7 +227,7 @@ def _copies(good: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _recall(good: DataFrame, probe: pa.Table, links: DataFrame, threshold: float) -> float:
-    """The share of the audited vectors' links, counted by brute force over all rows, that were found."""
+    """The mean, over audited vectors with links, of the share of a vector's links, counted by brute force over all rows, that were found."""
     if not probe.num_rows:
         return 1.0
     spark = good.sparkSession
@@ -187,10 +239,11 @@ def _recall(good: DataFrame, probe: pa.Table, links: DataFrame, threshold: float
         for b in batches:
             x = unit(matrix(column(b, "v")))
             if len(x):
-                near = (unit(v) @ x.T >= threshold) & (label[:, None] == column(b, "label").to_numpy()) & (ids[:, None] != column(b, "vec_id").to_numpy())
+                near = (unit(v) @ x.T > threshold + 1e-9) & (label[:, None] == column(b, "label").to_numpy()) & (ids[:, None] != column(b, "vec_id").to_numpy())
                 total += near.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["vec_id", "n"])
 
     true = good.mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    row = true.join(links, F.col("vec_id") == F.col("node"), "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+    part = F.least("n", F.coalesce("n_links", F.lit(0))) / F.col("n")
+    row = true.where("n > 0").join(links, F.col("vec_id") == F.col("node"), "left").agg(F.avg(part).alias("share")).first()
+    return 1.0 if row["share"] is None else row["share"]
