@@ -102,6 +102,21 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_are_taken_whole(spark):
+    r = random.Random(6)
+    key = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(700))
+    spans = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert spans(f"token = {key} end") == [key]
+    assert spans("password=Tr0ub4dor&longtail then") == ["Tr0ub4dor&longtail"] and spans("pwd: a$b#c%d&e*f then") == ["a$b#c%d&e*f"]
+    assert spans("password = 'correct horse, #9' then") == ["correct horse, #9"] and spans('{"password": "ab\\"cdefgh", "x": 1}') == ['ab\\"cdefgh']
+    assert spans('{"a":"token=abcdefgh1","b":"clean text"}') == ["abcdefgh1"]
+    assert spans("token=secret=abcdef12345 clean text") == ["secret=abcdef12345"]
+    assert spans('token=secret="abcdef 12345" clean') == ['secret="abcdef 12345']
+    rows = [(1, f"token = {key} end", "a"), (2, "token=secret=abcdef1234567890abcd clean text after it", "a")]
+    got = {x.doc_id: x.redacted for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: "token = [SECRET] end", 2: "token=[SECRET] clean text after it"}
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)

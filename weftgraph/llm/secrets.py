@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.common import append_columns, column, small_batches
 
 NAME = re.compile(r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}$""")
-VALUE = re.compile(r"""\s{0,3}["']?([^\s"'#$%&*]{8,512})""")
+QUOTED = re.compile(r"""\s{0,3}(["'])((?:(?!\1)[^\\\r\n]|\\.)*)\1""")
+BARE = re.compile(r"""\s{0,3}["']?((?:[^\s"']|["'](?![\s,;:)\]}>]|$))*)""")
 MARK, DIGIT, RUN = re.compile("[=:]"), re.compile("[0-9]"), re.compile(r"[A-Za-z0-9+/_-]*={0,2}")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
-LEAST = 16
+LEAST, LEAST_NAMED = 16, 8
 NEAR = 40
 #: Words beside a finding.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "login")
@@ -34,14 +35,23 @@ FEATURES = 18
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of values given to a telling name, and of runs of at least 16 key characters with a digit; none overlap.
+    """Spans of values given to a telling name, and of runs of at least 16 key characters with a digit; spans that overlap are one.
 
+    A quoted value runs to the closing quote of its line, another to white space or a quote that closes around it.
     Scans for rare characters (= : and digits) and looks around those, so that plain prose costs little.
     """
-    found = []
+    found, last = [], 0
     for m in MARK.finditer(text):
-        if NAME.search(text, max(0, m.start() - 24), m.start()) and (v := VALUE.match(text, m.end())):
-            found.append(v.span(1))
+        if NAME.search(text, max(0, m.start() - 24), m.start()):
+            if v := QUOTED.match(text, m.end()):
+                span = v.span(2)
+            elif m.end() >= last:
+                span = BARE.match(text, m.end()).span(1)
+            else:
+                continue  # a bare value inside another ends with it
+            if span[1] - span[0] >= LEAST_NAMED:
+                found.append(span)
+                last = max(last, span[1])
     end = 0
     for m in DIGIT.finditer(text):
         s = m.start()
@@ -49,9 +59,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
             while s > end and text[s - 1] in RUN_CHARS:
                 s -= 1
             end = RUN.match(text, m.start()).end()
-            if end - s >= LEAST and not any(a < end and s < b for a, b in found):
+            if end - s >= LEAST:
                 found.append((s, end))
-    return sorted(found)
+    whole: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if whole and s < whole[-1][1]:
+            whole[-1] = whole[-1][0], max(e, whole[-1][1])
+        else:
+            whole.append((s, e))
+    return whole
 
 
 def _dictionary_share(s: str, words: frozenset[str]) -> float:
