@@ -128,6 +128,12 @@ def test_paths(spark):
     assert [(r.a, r.b, r.c, r.score) for r in two][0] == ("a", "c", None, 5.0) and all(r.c != "a" for r in two)
 
 
+def test_shortest_paths_of_many_hops(spark):
+    e = [(f"n{k}", f"n{k + 1}", 1.0) for k in range(8)] + [("n0", "n8", 20.0), ("n8", "x", 1.0)]
+    got = paths.shortest_paths(spark.createDataFrame(e, "u string, v string, cost double"), spark.createDataFrame([("n0",), ("n8",), ("x",)], "node_id string"))
+    assert {(r.a, r.b): r.cost for r in got.collect()} == {("n0", "n8"): 8.0, ("n0", "x"): 9.0, ("n8", "x"): 1.0}
+
+
 def test_resolution(spark):
     rows = [("1", "Aspirin", "Chemical", "-"), ("2", "aspirin", "Drug", "M1"), ("3", "TP53", "Gene", "7157"), ("4", "tp53", "Disease", "-"), ("5", "p53 protein", "Gene", "7157")]
     n = spark.createDataFrame(rows, "node_id string, name string, type string, mesh string").withColumn("pmids", F.array(F.col("node_id"))).withColumn("num_articles", F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +95,17 @@ def edge_cost(weight: Column) -> Column:
     return F.lit(1.0) / F.greatest(F.coalesce(F.nullif(weight, F.lit(0.0)), F.lit(1.0)), F.lit(0.1))
 
 
-def shortest_paths(edges: DataFrame, anchors: DataFrame, max_hops: int = 6, cost: str = "cost") -> DataFrame:
-    """(a, b, cost, path) for every pair a < b of anchors (node_id) that is connected within max_hops; ties to the smaller path.
+def shortest_paths(edges: DataFrame, anchors: DataFrame, max_hops: int | None = None, cost: str = "cost") -> DataFrame:
+    """(a, b, cost, path) for every pair a < b of anchors (node_id) that is connected, within max_hops if given; ties to the smaller path.
 
-    Relaxation from all anchors at once: a round is one join and one aggregation, and only what got better goes on.
+    Relaxation from all anchors at once: a round is one join and one aggregation, and only what got better goes on,
+    until nothing does. Costs must not be negative.
     """
     step = materialize(both_ways(edges, cost), "ways")
     start = anchors.select(F.col("node_id").alias("a")).distinct()
     best = start.select("a", F.col("a").alias("node"), F.lit(0.0).alias("cost"), F.array("a").alias("path"))
     wave = best
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         reached = wave.withColumnRenamed("cost", "so_far").join(step, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         reached = reached.select("a", F.col("dst").alias("node"), (F.col("so_far") + F.col(cost)).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
         new = reached.groupBy("a", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("a", "node", "m.cost", "m.path")
