@@ -1,5 +1,6 @@
 """Sources, cleaning, edges, weights and the fluent surface on small hand-made input."""
 
+import dataclasses
 import json
 import math
 
@@ -176,3 +177,21 @@ def test_sinks(spark, tables, tmp_path):
     a = spark.createDataFrame([("1", "T", ["A B"], "2020-01-02", "J", "1", None, "3-9", "10.1/x", "abs", 4)], "pmid string, title string, authors array<string>, date string, journal string, volume string, issue string, pages string, doi string, abstract string, citation_count int")
     assert writers.ris(a).first().value.split("\n")[:5] == ["TY  - JOUR", "TI  - T", "AU  - A B", "PY  - 2020", "JO  - J"]
     assert edges.edge_rows(g.edges).count() == 2
+
+
+def test_pages_above_the_bound_are_whole(spark, tables, tmp_path):
+    g = Graph.from_articles(tables, node_type="all", edge_method="co-occurrence").weighted("freq")
+    one = lambda df: spark.createDataFrame(df.limit(1).collect(), df.schema)
+    pairs = spark.range(3200)
+    nodes = one(g.nodes).drop("node_id").crossJoin(pairs.select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("node_id")))
+    node = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 5, "0"))
+    links = one(g.edges).drop("u", "v").crossJoin(pairs.where("id > 0").select(node(F.col("id") - 1).alias("u"), node(F.col("id")).alias("v")))
+    big = dataclasses.replace(g, nodes=nodes, edges=links)
+    for kind, first, other in (("xgmml", "<node ", "<edge "), ("html", '"node_type"', '"edge_type"')):
+        big.write(str(tmp_path / kind), kind)
+        text = "".join(p.read_text() for p in sorted((tmp_path / kind).glob("part-*")))
+        assert (text.count(first), text.count(other)) == (3200, 3199) and text.rindex(first) < text.index(other)
+        assert text.startswith("<?xml" if kind == "xgmml" else "<!DOCTYPE") and text.endswith("</graph>\n" if kind == "xgmml" else "</html>\n")
+    for make in (writers.xgmml, writers.html_page):
+        with pytest.raises(ValueError):
+            make(nodes, links)

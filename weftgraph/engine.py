@@ -109,7 +109,6 @@ class Graph:
         elif format == "json":
             writers.write_elements(self.nodes, self.edges, path)
         elif format in ("html", "xgmml"):
-            text = (writers.html_page if format == "html" else writers.xgmml)(self.nodes, self.edges)
-            self.nodes.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+            (writers.write_html if format == "html" else writers.write_xgmml)(self.nodes, self.edges, path)
         else:
             raise ValueError(f"unknown format {format}")

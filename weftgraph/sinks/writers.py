@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.edges import primary_relation, edge_rows
@@ -67,31 +67,79 @@ def write_elements(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edge_elements(edges, nodes).select("element").write.text(f"{path}/edges")
 
 
+def _bounded(rows: DataFrame, most: int) -> list:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} nodes or edges for one text; write_html and write_xgmml write any number")
+    return found
+
+
+def _script(element: str) -> str:
+    return element.replace("</", "<\\/")
+
+
+HTML_HEAD = '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title></head><body><div id="graph"></div><script>const elements = ['
+HTML_END = "];</script></body></html>"
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, most: int = 3000) -> str:
-    """A page that shows up to `most` nodes and edges; for graphs after the display cap."""
-    elements = [r[0] for df in (node_elements(nodes, edges), edge_elements(edges, nodes)) for r in df.select("element").limit(most).collect()]
-    body = ",\n".join(x.replace("</", "<\\/") for x in elements)
-    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Graph</title></head><body><div id=\"graph\"></div><script>const elements = [{body}];</script></body></html>"
+    """A page that shows the graph; an error if it has more than `most` nodes or edges."""
+    shown = node_elements(nodes, edges).orderBy("id"), edge_elements(edges, nodes).orderBy("u", "v")
+    body = ",\n".join(_script(r["element"]) for df in shown for r in _bounded(df, most))
+    return HTML_HEAD + body + HTML_END
+
+
+def _attributes(row: dict) -> list[str]:
+    lines = []
+    for k, x in row.items():
+        if x is not None:
+            kind = "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "real" if isinstance(x, float) else "string"
+            text = json.dumps(x, ensure_ascii=False, default=str) if isinstance(x, (list, dict)) else str(x)
+            lines.append(f'    <att name={quoteattr(k)} type="{kind}" value={quoteattr(text)}/>')
+    return lines
+
+
+def _node_text(r: Row) -> str:
+    return "\n".join([f'  <node id={quoteattr(r["node_id"])} label={quoteattr(r["name"] or "")}>', *_attributes(r.asDict(recursive=True)), "  </node>"])
+
+
+def _edge_text(r: Row) -> str:
+    return "\n".join([f'  <edge source={quoteattr(r["u"])} target={quoteattr(r["v"])} label={quoteattr(r["u"] + " - " + r["v"])}>', *_attributes(r.asDict(recursive=True)), "  </edge>"])
+
+
+def _xgmml_head(title: str) -> str:
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<graph label={quoteattr(title)} directed="0" xmlns="http://www.cs.rpi.edu/XGMML">'
 
 
 def xgmml(nodes: DataFrame, edges: DataFrame, most: int = 3000, title: str = "graph") -> str:
-    """XGMML of up to `most` nodes and edges; for graphs after the display cap."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<graph label={quoteattr(title)} directed="0" xmlns="http://www.cs.rpi.edu/XGMML">']
-
-    def attributes(row: dict) -> list[str]:
-        lines = []
-        for k, x in row.items():
-            if x is not None:
-                kind = "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "real" if isinstance(x, float) else "string"
-                text = json.dumps(x, ensure_ascii=False, default=str) if isinstance(x, (list, dict)) else str(x)
-                lines.append(f'    <att name={quoteattr(k)} type="{kind}" value={quoteattr(text)}/>')
-        return lines
-
-    for r in nodes.orderBy("node_id").limit(most).collect():
-        out += [f'  <node id={quoteattr(r["node_id"])} label={quoteattr(r["name"] or "")}>', *attributes(r.asDict(recursive=True)), "  </node>"]
-    for r in edges.orderBy("u", "v").limit(most).collect():
-        out += [f'  <edge source={quoteattr(r["u"])} target={quoteattr(r["v"])} label={quoteattr(r["u"] + " - " + r["v"])}>', *attributes(r.asDict(recursive=True)), "  </edge>"]
-    return "\n".join([*out, "</graph>\n"])
+    """XGMML of the graph; an error if it has more than `most` nodes or edges."""
+    body = [*map(_node_text, _bounded(nodes.orderBy("node_id"), most)), *map(_edge_text, _bounded(edges.orderBy("u", "v"), most))]
+    return "\n".join([_xgmml_head(title), *body, "</graph>\n"])
+
+
+ORDERED = "section int, a string, b string, value string"
+
+
+def _write_ordered(body: DataFrame, head: str, end: str, path: str) -> None:
+    """Text files under path that, joined in the order of their names, are head, body (ORDERED, sections 1 and 2) and end."""
+    ends = body.sparkSession.createDataFrame([(0, "", "", head), (3, "", "", end)], ORDERED)
+    rows = body.unionByName(ends).repartitionByRange("section", "a", "b").sortWithinPartitions("section", "a", "b")
+    rows.select("value").write.text(path)
+
+
+def write_html(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The page of a graph of any size, as text parts under path, to be joined in the order of their names."""
+    shown = F.concat(F.replace("element", F.lit("</"), F.lit("<\\/")), F.lit(",")).alias("value")
+    body = node_elements(nodes, edges).select(F.lit(1).alias("section"), F.col("id").alias("a"), F.lit("").alias("b"), shown)
+    body = body.unionByName(edge_elements(edges, nodes).select(F.lit(2).alias("section"), F.col("u").alias("a"), F.col("v").alias("b"), shown))
+    _write_ordered(body, HTML_HEAD, HTML_END, path)
+
+
+def write_xgmml(nodes: DataFrame, edges: DataFrame, path: str, title: str = "graph") -> None:
+    """XGMML of a graph of any size, as text parts under path, to be joined in the order of their names."""
+    n = nodes.rdd.map(lambda r: (1, r["node_id"], "", _node_text(r)))
+    e = edges.rdd.map(lambda r: (2, r["u"], r["v"], _edge_text(r)))
+    _write_ordered(nodes.sparkSession.createDataFrame(n.union(e), ORDERED), _xgmml_head(title), "</graph>", path)
 
 
 def ris(articles: DataFrame) -> DataFrame:
