@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two equi-joins; labels never leave the
-executors, and the driver sees only a row count and a checksum per round.
+Edges lead from the larger to the smaller id. A round looks up, for an end of each edge, the smallest neighbour
+of that end. The lookup is dealt by the end and a salt made of the edge's other end, so that the edges of a hub, such as the
+smallest node of a large component, are spread over SALTS tasks (and AQE may split those). Labels never leave the
+executors; the driver sees a row count and a checksum per round.
 """
 
 from __future__ import annotations
@@ -11,17 +13,26 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import materialize
 
+SALTS = 8
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    e = edges.select("a", "b")
-    if large:
-        e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = e.join(low, "a")
-    if large:
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    down = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+def _lowest(edges: DataFrame, end: str, other: str) -> DataFrame:
+    """edges with m, the smallest neighbour that is smaller than the node in column `end`; null if it has none."""
+    low = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    low = low.select("node", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = edges.withColumn("own", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    met = salted.join(low, (F.col(end) == F.col("node")) & (F.col("own") == F.col("salt")), "left")
+    return met.select("a", "b", "m")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    # large star: every larger neighbour of a node goes to the node's smallest neighbour, or to the node itself
+    large = _lowest(edges, "b", "a").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    # small star: a node and its smaller neighbours go to the smallest of these
+    low = _lowest(large, "a", "b").where("m is not null")
+    moved = low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    own = low.where("b <> m").select("a", F.col("m").alias("b"))
+    return moved.unionByName(own).distinct()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 50) -> DataFrame:
@@ -33,7 +44,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     e = materialize(e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        e = materialize(_star(_star(e, large=True), large=False), "stars")
+        e = materialize(_round(e), "stars", replaces=e)
         mark = tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
         if mark == seen or mark[0] == 0:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,9 +41,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Of each session: the tables written since the innermost open scratch() began; none is kept outside of one.
+_open: dict[int, list[list[str]]] = {}
+
+
+def materialize(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    replaces: a table made by this function that nothing will read again; it is deleted after the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None and (old := getattr(replaces, "_written", None)):
+        delete(spark, old)
+    for paths in _open.get(id(spark), [])[-1:]:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that materialize() wrote within. Results must have been written or collected by then."""
+    opened = _open.setdefault(id(spark), [])
+    opened.append([])
+    try:
+        yield
+    finally:
+        for path in opened.pop():
+            delete(spark, path)
+        if not opened:
+            del _open[id(spark)]
