@@ -12,8 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,10 @@ CACHE_WORDS = 150_000
 BATCH = 500
 #: Words of more bytes are merged through a heap and not cached.
 LONG_WORD = 64
+#: Words folded together.
+FOLD_ROWS = 8192
 NONE = 1 << 62
-#: Two white-space characters together, or one at either end: such a text is split as a whole.
-GAPS = re.compile(r"\s\s|\A\s|\s\Z")
+NO_RANK = np.iinfo(np.int32).max
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,22 +81,33 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Merger:
-    """Folds the ranked merges over many words at once: in each round every word merges its pair of lowest rank."""
+    """Folds the ranked merges over many words at once: in each round every word merges its pair of lowest rank.
+
+    Words lie in rows of equal width. A merge writes the new symbol at the left place, takes the right place out of the
+    row by its neighbours' links, and looks up the two pairs that the new symbol takes part in.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-        pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        self.ranks, get = ranks, ranks.get
+        pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
         left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
         del pairs
-        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
-        bits = max(4, int(len(rank)).bit_length() + 2)
+        #: Stands where a row has no symbol; no pair holds it.
+        self.gap = max(ranks.values(), default=-1) + 1
+        self.wide = 16 if self.gap < 1 << 16 else 32
+        kind = np.uint32 if self.wide == 16 else np.uint64
+        self.byte = np.array([get(bytes([i]), self.gap) for i in range(256)], np.int32)
+        self.two = np.full(1 << 16, NO_RANK, np.int32)
+        for k, r in ranks.items():
+            if len(k) == 2:
+                self.two[k[0] << 8 | k[1]] = r
+        bits = max(4, int(len(rank)).bit_length() + 1)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64)
-        key, self.probes = left << 32 | right, 0
+        self.keys, self.to = np.zeros(1 << bits, kind), np.full(1 << bits, -1, np.int32)
+        key = (left << self.wide | right).astype(kind)
         slot, todo = self._slot(key), np.arange(len(key))
         while len(todo):  # open addressing, a round for each further probe
-            self.probes += 1
-            free = self.keys[slot[todo]] < 0
+            free = self.to[slot[todo]] < 0
             at, first = np.unique(slot[todo][free], return_index=True)
             won = todo[free][first]
             self.keys[at], self.to[at] = key[won], rank[won]
@@ -106,67 +118,72 @@ class Merger:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key, out = left << 32 | right, np.full(len(left), NONE, np.int64)
-        todo = np.flatnonzero((left >= 0) & (right >= 0))
-        slot = self._slot(key[todo])
-        for _ in range(self.probes):
-            there = self.keys[slot]
-            hit = there == key[todo]
-            out[todo[hit]] = self.to[slot[hit]]
-            go = ~hit & (there >= 0)
-            todo, slot = todo[go], (slot[go] + 1) & self.mask
+        """Of pairs of symbols; NO_RANK where they do not merge."""
+        key = left.astype(self.keys.dtype) << self.keys.dtype.type(self.wide) | right.astype(self.keys.dtype)
+        slot = self._slot(key)
+        out, there = self.to[slot], self.keys[slot]
+        todo = np.flatnonzero((there != key) & (out >= 0))
+        out[there != key] = NO_RANK
+        out[out < 0] = NO_RANK
+        slot, key = slot[todo], key[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            to, hit = self.to[slot], self.keys[slot] == key
+            done = hit & (to >= 0)
+            out[todo[done]] = to[done]
+            go = ~hit & (to >= 0)
+            todo, slot, key = todo[go], slot[go], key[go]
         return out
 
     def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(words)
-        todo: dict[int, list[int]] = {}
+        todo: dict[int, list[int]] = {8: [], 16: [], 32: [], LONG_WORD: []}
+        get = self.ranks.get
         for i, w in enumerate(words):
-            if (r := self.ranks.get(w)) is not None:
+            if (r := get(w)) is not None:
                 out[i] = r.to_bytes(4, "little")
-            elif len(w) > LONG_WORD:
+            elif (n := len(w)) > LONG_WORD:
                 out[i] = np.array(_merge_long(w, self.ranks), "<u4").tobytes()
             else:
-                todo.setdefault(max(8, (len(w) - 1).bit_length() and 1 << (len(w) - 1).bit_length()), []).append(i)
+                todo[8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else LONG_WORD].append(i)
         for width, rows in todo.items():
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
+            for k in range(0, len(rows), FOLD_ROWS):
+                part = rows[k : k + FOLD_ROWS]
                 for i, ids in zip(part, self._fold([words[i] for i in part], width)):
                     out[i] = ids
         return out
 
     def _fold(self, words: list[bytes], width: int) -> list[bytes]:
-        n = len(words)
+        n, row = len(words), width + 2  # after the last place one that ends the row, and one that comes before the first
         size = np.fromiter(map(len, words), np.int64, n)
         data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
-        columns = np.arange(width)
-        symbol = np.where(columns < size[:, None], self.byte[data], -1)
-        pair = self.rank(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, width - 1)
-        done: list = [None] * n
-        row = np.arange(n)
-        while len(row):
-            at = pair.argmin(1)
-            all_rows = np.arange(len(row))
-            best = pair[all_rows, at]
-            if (best == NONE).any():
-                for r, s in zip(row[best == NONE], symbol[best == NONE]):
-                    done[r] = s[s >= 0].astype("<u4").tobytes()
-                go = best != NONE
-                row, at, best, symbol, pair = row[go], at[go], best[go], symbol[go], pair[go]
-                all_rows = np.arange(len(row))
-                if not len(row):
-                    break
-            take = np.minimum(columns + (columns > at[:, None]), width - 1)
-            symbol = np.take_along_axis(symbol, take, 1)
-            symbol[:, -1] = -1
-            symbol[all_rows, at] = best
-            pair = np.take_along_axis(pair, np.minimum(take[:, :-1], width - 2), 1)
-            pair[:, -1] = NONE
-            after = np.where(at + 1 < width, symbol[all_rows, np.minimum(at + 1, width - 1)], -1)
-            inner = at < width - 1
-            pair[all_rows[inner], at[inner]] = self.rank(best, after)[inner]
-            first = at > 0
-            pair[all_rows[first], at[first] - 1] = self.rank(symbol[all_rows, at - 1][first], best[first])
-        return done
+        inside = np.arange(width) < size[:, None]
+        symbol = np.full((n, row), self.gap, np.int32)
+        symbol[:, :width] = np.where(inside, self.byte[data], self.gap)
+        pair = np.full((n, row), NO_RANK, np.int32)
+        pair[:, : width - 1] = np.where(inside[:, 1:], self.two[data[:, :-1].astype(np.int32) << 8 | data[:, 1:]], NO_RANK)
+        after = np.arange(1, n * row + 1, dtype=np.int32)
+        before = np.arange(-1, n * row - 1, dtype=np.int32).reshape(n, row)
+        before[:, 0] += row
+        flat, flat_pair, before, start = symbol.ravel(), pair.ravel(), before.ravel(), np.arange(n) * row
+        live = np.arange(n)
+        while len(live):
+            at = start[live] + pair[live, :width].argmin(1)
+            best = flat_pair[at]
+            go = best != NO_RANK
+            live, at, best = live[go], at[go], best[go]
+            right = after[at]
+            flat[at], flat[right], flat_pair[right] = best, self.gap, NO_RANK
+            right = after[right]
+            after[at], before[right] = right, at
+            left = before[at]
+            flat_pair[at] = self.rank(best, flat[right])
+            flat_pair[left] = self.rank(flat[left], best)
+        kept = symbol != self.gap
+        ends = np.cumsum(kept.sum(1) * 4).tolist()
+        made = symbol[kept].astype("<u4").tobytes()
+        return [made[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -177,40 +194,69 @@ class Codec:
         for k, v in ranks.items():
             self.pieces[v] = k
 
-    def _split(self, runs: list[str]) -> list[bytes]:
-        """Ids of each run; words met for the first time are merged together."""
-        found = [self.split(r) for r in runs]
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; those met for the first time are merged together."""
         known = self.words
-        new = list({w for words in found for w in words if w not in known})
-        made = dict(zip(new, self.merger.encode([w.encode("utf-8", "surrogatepass") for w in new])))
-        known.update({w: x for w, x in made.items() if len(w) <= LONG_WORD})
-        return [b"".join([known.get(w) or made[w] for w in words]) for words in found]
+        if len(known) >= CACHE_WORDS:
+            known.clear()
+        new = [w for w in set(words) if w not in known]
+        long = {}
+        for w, x in zip(new, self.merger.encode([w.encode("utf-8", "surrogatepass") for w in new])):
+            (known if len(w) <= LONG_WORD else long)[w] = x
+        return [known.get(w) or long[w] for w in words] if long else list(map(known.__getitem__, words))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self.split, texts))
+        ids = iter(self._ids([w for words in found for w in words]))
+        return [b"".join(itertools.islice(ids, len(words))) for words in found]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that follow a space, taken with it. They are split as one text: only a run's start holds a space."""
+        if not runs:
+            return []
+        words = self.split(" " + " ".join(runs))
+        ids = self._ids(words)
+        if len(words) == len(runs):
+            return ids
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(words)])]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        A single space before a visible character starts a match of the pattern, whatever stands before it. So
-        where no two white-space characters meet, the runs between spaces are encoded one by one, and kept.
+        A single space before a visible character starts a match of the pattern, whatever stands before it: white space
+        in front of the space is a match of its own. So the runs between spaces are encoded one by one, and kept, except
+        in texts where a space comes before white space or the end.
         """
-        whole = [i for i, x in enumerate(texts) if x and (not self.by_run or GAPS.search(x))]
-        cut = set(whole)
-        parts = [x.split(" ") if x and i not in cut else [] for i, x in enumerate(texts)]
-        if len(self.runs) >= CACHE_WORDS:
-            self.runs.clear()
+        if not self.by_run:
+            return self._whole([x or "" for x in texts])
         known = self.runs
-        new = list({r for p in parts for r in p[1:] if r not in known})
-        first = [p[0] for p in parts if p]
-        made = self._split([texts[i] for i in whole] + first + [" " + r for r in new])
-        fresh = dict(zip(new, made[len(whole) + len(first) :]))
-        known.update({r: x for r, x in fresh.items() if len(r) <= LONG_WORD and "\n" not in r})
-        starts, out = iter(made[len(whole) :]), [b""] * len(texts)
-        for i, p in enumerate(parts):
-            if p:
-                out[i] = next(starts) + b"".join([known.get(r) or fresh[r] for r in p[1:]])
-        for i, x in zip(whole, made):
+        if len(known) >= CACHE_WORDS:
+            known.clear()
+        parts = [x.split(" ") if x else [""] for x in texts]
+        heads, get = [p.pop(0) for p in parts], known.get
+        got = [list(map(get, p)) for p in parts]
+        new: set[str] = set()
+        gaps = []
+        for i, (p, g) in enumerate(zip(parts, got)):
+            if None in g:
+                missing = [k for k, x in enumerate(g) if x is None]
+                new.update([p[k] for k in missing])
+                gaps.append((i, missing))
+        split = {r for r in new if not r or r[0].isspace()}
+        whole = [i for i, missing in gaps if any(parts[i][k] in split for k in missing)] if split else []
+        runs = list(new - split)
+        fresh = dict(zip(runs, self._runs(runs)))
+        for i, missing in gaps:
+            p, g = parts[i], got[i]
+            for k in missing:
+                g[k] = fresh.get(p[k])
+        for i in whole:
+            heads[i], got[i] = "", []
+        out = [h + b"".join(g) for h, g in zip(self._whole(heads), got)]
+        for i, x in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = x
+        known.update(fresh if max(map(len, runs), default=0) <= LONG_WORD else {r: x for r, x in fresh.items() if len(r) <= LONG_WORD})
         return out
 
     def encode(self, text: str) -> bytes:
