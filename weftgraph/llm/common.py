@@ -7,30 +7,57 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
 
 U64 = np.uint64
-#: Rows of one Arrow batch; bounds what a Python worker holds of long texts.
-BATCH_ROWS = 4000
+#: Rows and bytes of one Arrow batch; bounds what a Python worker holds of long texts.
+BATCH_ROWS, BATCH_BYTES = 8000, 4_000_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at the end of a task gives freed memory back, as idle workers would keep it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def append_columns(df: DataFrame, ddl: str, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """df with the columns of ddl, computed by fn for each Arrow batch. A column of df with a clashing name is replaced."""
+    """df with the columns of ddl, computed by fn for each Arrow batch. A column of df whose name clashes, in whatever case, is replaced."""
     new = _parse_datatype_string(ddl)
-    df = df.drop(*[f.name for f in new if f.name in df.columns])
+    made = {f.name.lower() for f in new}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in made])
     names, kinds = [f.name for f in df.schema] + [f.name for f in new], [_arrow(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fn(b), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
+            out = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fn(b), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, *new.fields]))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -136,8 +163,6 @@ def block_pairs(members: DataFrame, rows: int, size: int) -> DataFrame:
     hash, and every pair of blocks i <= j is a task, so that no task ever holds more than two blocks. side says
     which of the two blocks a row belongs to.
     """
-    from pyspark.sql import functions as F
-
     sums = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     blocks = sums.select("component", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("b") / size), F.lit(1)).alias("blocks"))
     m = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))

@@ -19,6 +19,7 @@ Buckets and components above a bounded size are compared block by block, so no t
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, column, mix64, small_batches, whole_groups, whole_groups_many
+from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, column, lean, mix64, small_batches, whole_groups, whole_groups_many
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
@@ -38,25 +39,31 @@ FINER_FROM = (400, 1600, 6400)
 PAIR_CELLS = 4_000_000
 BUCKET_ROWS = 4000
 LEAF = 16
-CHUNK_BYTES = 4_000_000
-BLOCK_ROWS, BLOCK_BYTES = 2000, 32_000_000
+CHUNK_BYTES = 500_000
+#: Sets that a map task remembers to find exact copies.
+KNOWN_SETS = 100_000
+BLOCK_ROWS, BLOCK_BYTES = 2000, 8_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _roll = Roll(7)
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; with fewer words the whole sequence is one; without words none."""
-    out, todo, size = [np.zeros(0, U64)] * len(texts), [], 0
+def chunks(texts: Iterable[str | bytes | None], words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Positions and sorted distinct shingle hashes, some texts at a time; with fewer words the whole sequence is one shingle; without words none."""
+    todo, at, size = [], [], 0
     for i, t in enumerate(texts):
-        if t:
-            todo.append((i, t.encode("utf-8", "surrogatepass").lower()))
-            size += len(todo[-1][1])
-        if todo and (size >= CHUNK_BYTES or i == len(texts) - 1):
-            for (k, _), s in zip(todo, _chunk([b for _, b in todo], words)):
-                out[k] = s
-            todo, size = [], 0
-    return out
+        todo.append((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"").lower())
+        at.append(i)
+        size += len(todo[-1])
+        if size >= CHUNK_BYTES:
+            yield at, _chunk(todo, words)
+            todo, at, size = [], [], 0
+    if todo:
+        yield at, _chunk(todo, words)
+
+
+def shingle_sets(texts: Iterable[str | bytes | None], words: int) -> list[np.ndarray]:
+    return [s for _, sets in chunks(texts, words) for s in sets]
 
 
 def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -84,7 +91,7 @@ class Bands:
     """Size classes, each with a number of bands above the most shingles in which two linked sets can differ."""
 
     def __init__(self, threshold: Fraction) -> None:
-        self.t, self.upper, self.count = threshold, [0], [1]
+        self.t, self.upper, self.count, self.made = threshold, [0], [1], {}
 
     def of(self, n: int) -> int:
         while self.upper[-1] < n:
@@ -106,51 +113,62 @@ class Bands:
         """
         c, out = self.of(len(s)), []
         self.of(self.upper[c] + 1)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(s)])
         for k in (c, c + 1):
-            bands = self.count[k]
-            band = ((s >> U64(13)) % U64(bands)).astype(np.int64)
-            order = np.argsort(band, kind="stable")
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(s[order])])
-            cut = np.searchsorted(band[order], np.arange(bands + 1))
-            tag = (np.arange(bands, dtype=np.uint64) + U64(k << 32)) * U64(0xD6E8FEB86659FD93)
+            edges, tag = self._edges(k)
+            cut = np.searchsorted(s, edges)
+            cut[-1] = len(s)
             hashes, filled = mix64((sums[cut[1:]] - sums[cut[:-1]]) ^ tag), cut[1:] > cut[:-1]
             most = self.differ(len(s), min(int(len(s) / self.t), self.upper[k]))
             out.append(hashes[filled] if filled.sum() > most else hashes)
         return np.concatenate(out)
 
+    def _edges(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least hash of each band of a class (bands are stretches of equal length), and the bands' tags."""
+        if k not in self.made:
+            bands = self.count[k]
+            low = np.array([-(-(b << 32) // bands) << 32 for b in range(bands)] + [2**64 - 1], U64)
+            self.made[k] = low, (np.arange(bands, dtype=np.uint64) + U64(k << 32)) * U64(0xD6E8FEB86659FD93)
+        return self.made[k]
+
+
+BAND_ROWS = "key long, doc long, other long, n long, vec binary"
+
+
+def _rows(key: np.ndarray, doc: np.ndarray, other=None, n=None, vec=None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(doc), k) if x is None else pa.array(x, k) for x, k in ((other, pa.int64()), (n, pa.int64()), (vec, pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), *rest], ["key", "doc", "other", "n", "vec"])
+
 
 def _bands_of(words: int, threshold: Fraction):
+    """A row for each document (n, and vec if it has words), for each copy of a set met before (other), and for each band of the rest."""
+
     def run(batches):
-        bands, first_set = Bands(threshold), {}
+        bands, known = Bands(threshold), {}
         for b in batches:
-            ids, key, doc, other, count, vec = column(b, "doc_id").to_pylist(), [], [], [], [], []
-            for d, s in zip(ids, shingle_sets(column(b, "text").to_pylist(), words)):
-                n = len(s)
-                key.append(hash(d) % (1 << 60))
-                doc.append(d)
-                other.append(None)
-                count.append(n)
-                vec.append(None)
-                if d is None or not n:
-                    continue
-                fingerprint = s.tobytes() if n < 3 else (n, int(s.sum()), int((s * s).sum()))
-                if (f := first_set.setdefault(fingerprint, d)) != d:
-                    key.append(hash(d) % (1 << 60))
-                    doc.append(d)
-                    other.append(f)
-                    count.append(None)
+            ids, texts = column(b, "doc_id").to_pylist(), column(b, "text")
+            for at, sets in chunks((x.as_py() for x in texts), words):
+                doc, vec, copies, fresh, keys = [ids[i] for i in at], [], [], [], []
+                for d, s in zip(doc, sets):
                     vec.append(None)
-                    continue
-                vec[-1] = _vector(s)
-                keys = as_long(bands.keys(s)).tolist()
-                key += keys
-                doc += [d] * len(keys)
-                other += [None] * len(keys)
-                count += [None] * len(keys)
-                vec += [None] * len(keys)
-            if len(first_set) > 1_000_000:
-                first_set.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(count, pa.int64()), pa.array(vec, pa.binary())], ["key", "doc", "other", "n", "vec"])
+                    if d is None or not len(s):
+                        continue
+                    print_ = s.tobytes() if len(s) < 3 else np.array([len(s), s.sum(), (s * s).sum()], U64).tobytes()
+                    if (f := known.setdefault(print_, d)) != d:
+                        copies.append((d, f))
+                        continue
+                    vec[-1] = _vector(s)
+                    keys.append(bands.keys(s))
+                    fresh.append(d)
+                spread = [hash(d) % (1 << 60) if d is not None else at[i] for i, d in enumerate(doc)]
+                yield _rows(spread, doc, n=[len(s) for s in sets], vec=vec)
+                if copies:
+                    u, v = zip(*copies)
+                    yield _rows([x % (1 << 60) for x in u], u, other=v)
+                if fresh:
+                    yield _rows(as_long(np.concatenate(keys)), np.repeat(np.array(fresh, np.int64), [len(k) for k in keys]))
+            if len(known) > KNOWN_SETS:
+                known.clear()
 
     return run
 
@@ -320,7 +338,7 @@ def _verify(words: int, threshold: Fraction):
         unpack = zstandard.ZstdDecompressor()
         for g in whole_groups(batches, ["component", "i", "j"]):
             ids, side = g.column("node").to_numpy(), g.column("side").to_numpy()
-            sets = shingle_sets([unpack.decompress(z).decode("utf-8", "surrogatepass") for z in g.column("packed").to_pylist()], words)
+            sets = shingle_sets((unpack.decompress(z.as_py()) for z in g.column("packed")), words)
             if len(ids) > 1 and (pairs := linked(sets, side, ids, threshold)):
                 u, v = np.array(pairs, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -346,19 +364,19 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bands = rows.mapInArrow(_bands_of(words, threshold), "key long, doc long, other long, n long, vec binary")
-    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "bucket long, doc long, other long, n long, vec binary")
+    bands = rows.mapInArrow(lean(_bands_of(words, threshold)), BAND_ROWS)
+    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "bucket long, doc long, other long, n long, vec binary")
     met = materialize(met, "buckets")
     vectors = met.where("vec is not null").groupBy("doc").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"))
     members = met.where("bucket is not null").select("bucket", "doc").distinct().join(vectors, "doc")
-    chains = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bounded(threshold), "u long, v long")
+    chains = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
     candidates = connected_components(chains.unionByName(same))
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
     tasks = materialize(block_pairs(sized, BLOCK_ROWS, BLOCK_BYTES), "blocks")
     texts = tasks.join(packed(rows.where("text is not null")), F.col("node") == F.col("doc_id")).drop("doc_id")
     texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    links = texts.mapInArrow(_verify(words, threshold), "u long, v long")
+    links = texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long")
     found = connected_components(links)
     counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = counts.join(found, F.col("doc_id") == F.col("node"), "left")
