@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import materialize
+
 #: What separates words; size counts the runs of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949
@@ -49,13 +51,16 @@ def schedule(spark, shares: DataFrame, slots: int) -> DataFrame:
     total = F.sum("target").over(Window.partitionBy())
     cum = shares.where("target > 0").withColumn("high", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total)
     cum = cum.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
-    # one array of all stretches, a few bytes for each source, rides along; a point lies in the last one that starts at or before it
-    edges = cum.agg(F.array_sort(F.collect_list(F.struct("low", "source"))).alias("edges"))
+    # the unit interval is cut into equal cells, several for each source, and a point is looked up among its cell's stretches
+    cells = max(64, 4 * shares.count())
+    last = F.lead("low").over(order).isNull()
+    cum = cum.select("source", "low", F.when(last, F.lit(2.0)).otherwise(F.col("high")).alias("high"))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("int")
+    cum = materialize(cum.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))), "stretches")
     k = F.col("slot")
     point = F.pmod(F.floor(k / (1 << 20)) * F.lit(PHI_HIGH) + F.pmod(k, F.lit(1 << 20)) * F.lit(PHI), F.lit(1.0))
-    slots_df = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"))
-    hit = F.element_at(F.filter("edges", lambda e: F.col("point") >= e["low"]), -1)
-    dealt = slots_df.crossJoin(F.broadcast(edges)).select("slot", hit["source"].alias("source"), F.floor(k / CHUNK).alias("chunk"))
+    slots_df = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", cell(F.col("point")))
+    dealt = slots_df.join(cum, "cell").where("low <= point and point < high").select("slot", "source", F.floor(k / CHUNK).alias("chunk"))
     before = dealt.groupBy("source", "chunk").count()
     earlier = F.sum("count").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     before = before.select("source", "chunk", F.coalesce(earlier, F.lit(0)).alias("before"))
@@ -91,8 +96,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_passes: in
     empty table gives no rows. Rows with the same doc_id count one by one. Reruns agree.
     """
     spark = docs.sparkSession
-    from weftgraph.session import materialize
-
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row"))
     sized = materialize(sized, "sized")
     shares = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_passes).coalesce(1), "targets")
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_passes: in
     slots = schedule(spark, shares, -(-total // block_words))
     s = shares.select(F.col("source").alias("s"), "source_size", "target", F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)).alias("blocks"))
     uses = (
-        slots.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("s")))
+        slots.join(s, F.col("source").eqNullSafe(F.col("s")))
         .groupBy("source", F.pmod("rank", "blocks").alias("block"))
         .agg(F.least(F.count("*"), F.lit(most_passes)).alias("uses"))
         .withColumnsRenamed({"source": "us", "block": "ub"})
@@ -114,4 +117,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_passes: in
     taken = used.groupBy("source", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(overlap * F.coalesce("uses", F.lit(0))).alias("taken"))
     none = sized.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     out = taken.select("source", "doc_id", "size", "taken").unionByName(none)
-    return out.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.join(s, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
