@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from weftgraph.session import materialize
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: Sums come in any order; a difference below this share is a tie, and ties are allowed.
+TIE = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,8 +85,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], ratio: float = 1.0, da
     parent = F.regexp_replace("host", r"^[^.]*\.", "")
     up = names.select(F.col("host").alias("src"), parent.alias("dst")).where("src <> dst and contains(dst, '.')").withColumn("n", F.lit(1).cast("long"))
     edges = materialize(links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")), "hostlinks")
-    score = propagate(edges, hosts, damping, rounds)
+    # written, so that the join with all pages can be broadcast by its size, or a hot host's pages split by AQE
+    score = materialize(propagate(edges, hosts, damping, rounds), "scores")
     out = p.drop("html").join(score, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(distrust > ratio * trust, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(distrust > ratio * trust * (1 + TIE), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
