@@ -66,6 +66,12 @@ def test_suffix_dedup_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.dedup(d).collect()) == [(0, 0), (1, 0), (1, 0), (2, len(text))]
 
 
+def test_suffix_dedup_texts_that_share_an_id(spark):
+    a, b = " ".join(str(k) for k in range(150)), " ".join(str(k) for k in range(1000, 1100))
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, b)], "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(d).collect()) == sorted([(0, len(b), 0), (1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (2, len(b), 0)])
+
+
 @pytest.mark.parametrize(("n", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
 def test_ngram_join(docs, rows, empty, n, t):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

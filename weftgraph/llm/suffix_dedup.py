@@ -11,7 +11,7 @@ ahead in the same one. Suffixes that matter only in their first `length` bytes n
 3. Second refinement, only for the earliest runs of buckets that hold several classes: a bucket for each window at its
    own later offset. All but the earliest window of such a bucket are repeats.
 
-Identifiers are 64-bit hashes of the strings. Within a map task, runs and windows met before are marked there and not
+A string is identified by 128 bits: the hash of its q-gram and of its hull, or two hashes of the whole window. Within a map task, runs and windows met before are marked there and not
 sent, so a hot passage sends one row for each task; what is left is sorted and read as a stream.
 """
 
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, column, small_batches
+from weftgraph.llm.common import U64, Roll, append_columns, as_long, column, lean, small_batches
 from weftgraph.llm.ngram_join import packed
 from weftgraph.session import materialize
 
@@ -31,7 +31,8 @@ Q = 32
 CHUNK_BYTES = 2_000_000
 #: Runs or windows gathered by a map task before they are sent.
 FLUSH_ROWS = 1_500_000
-_roll = Roll(13)
+#: Two independent hashes; together they identify a string.
+_roll, _other = Roll(13), Roll(29)
 RUN = "key long, hull long, doc long, start int, n int"
 
 
@@ -111,9 +112,9 @@ def _covered(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array((end - start[at]).astype(np.int32))], ["key", "hull", "doc", "start", "n"])
 
 
-def _sent(parts: list[tuple], with_hull: bool):
+def _sent(parts: list[tuple]):
     key, hull, doc, start, n = (np.concatenate(c) for c in zip(*parts))
-    order, first = _earliest([key, hull] if with_hull else [key], doc, start)
+    order, first = _earliest([key, hull], doc, start)
     kept, gone = order[first], order[~first]
     yield _batch(key[kept], hull[kept], doc[kept], start[kept], n[kept])
     if (c := _covered(doc[gone], start[gone], np.abs(n[gone]))) is not None:
@@ -139,12 +140,12 @@ def _find_runs(length: int):
                     held += len(parts[-1][0])
                     texts, ids, size = [], [], 0
                     if held >= FLUSH_ROWS:
-                        yield from _sent(parts, True)
+                        yield from _sent(parts)
                         parts, held = [], 0
         if texts:
             flush(texts, ids, parts)
         if parts:
-            yield from _sent(parts, True)
+            yield from _sent(parts)
 
     return run
 
@@ -209,13 +210,13 @@ def _find_windows(length: int):
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 at = at[at + length <= len(data)]
                 key = _roll.spans(_roll.prefix(data), at, at + length)
-                parts.append((key, key, np.full(len(at), d), at, np.ones(len(at), np.int64)))
+                parts.append((key, _other.spans(_other.prefix(data), at, at + length), np.full(len(at), d), at, np.ones(len(at), np.int64)))
                 held += len(at)
                 if held >= FLUSH_ROWS:
-                    yield from _sent(parts, False)
+                    yield from _sent(parts)
                     parts, held = [], 0
         if parts:
-            yield from _sent(parts, False)
+            yield from _sent(parts)
 
     return run
 
@@ -248,26 +249,45 @@ def _cut(length: int):
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, start, n): runs of n windows from byte `start` that also start earlier. docs: doc_id long, text string."""
     small_batches(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find_runs(length), RUN)
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_find_runs(length)), RUN)
     bucketed = sent.repartition("key").sortWithinPartitions("key", "hull", "doc", "start")
-    found = materialize(bucketed.mapInArrow(_refine, "doc long, start int, n int, again boolean"), "runs")
+    found = materialize(bucketed.mapInArrow(lean(_refine), "doc long, start int, n int, again boolean"), "runs")
     again = found.where("again").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     texts = again.join(packed(docs.where("text is not null")), F.col("doc") == F.col("doc_id"))
-    windows = texts.select("doc", "packed", "spans").mapInArrow(_find_windows(length), RUN)
-    windows = windows.repartition("key").sortWithinPartitions("key", "hull", "doc", "start").mapInArrow(_refine, "doc long, start int, n int, again boolean")
+    windows = texts.select("doc", "packed", "spans").mapInArrow(lean(_find_windows(length)), RUN)
+    windows = windows.repartition("key").sortWithinPartitions("key", "hull", "doc", "start").mapInArrow(lean(_refine), "doc long, start int, n int, again boolean")
     return found.where("not again").select("doc", "start", "n").unionByName(windows.where("not again").select("doc", "start", "n"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame | None:
+    """docs with an order-preserving number in place of doc_id where several texts share an id; None if none do."""
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if several.isEmpty():
+        return None
+    h = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("h2")).distinct()
+    if h.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    ranged = h.repartitionByRange("doc_id", "h", "h2").sortWithinPartitions("doc_id", "h", "h2")
+    numbers = materialize(ranged.select(F.col("doc_id").alias("id"), "h", "h2", F.monotonically_increasing_id().alias("number")), "numbers")
+    on = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h")) & (F.xxhash64(F.lit(5), "text") == F.col("h2"))
+    return materialize(docs.join(numbers, on, "left").select("doc_id", "number", "text"), "numbered")
+
+
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, gone: array of maximal removed byte spans, kept: binary) for every row of docs.
 
     Null texts count as empty. Texts shorter than `length` bytes keep all. A null id is left alone and takes part in
-    nothing. Rows that repeat a doc_id count as one document: an equal text is no repeat of itself, and the
-    removed spans of the id apply to each of its rows. No rows, no result.
+    nothing. Rows that repeat a doc_id and its text are one document: the text is no repeat of itself, and each row loses
+    the same spans. Different texts with one doc_id are documents of their own, in the order of a hash. No rows, no result.
     """
-    spans = repeats(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = packed(rows).join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "packed", "spans")
+    numbered = _numbered(rows)
+    own = rows if numbered is None else numbered.select(F.col("number").alias("doc_id"), "text")
+    spans = repeats(own, length).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    if numbered is None:
+        texts = packed(rows).withColumn("id", F.col("doc_id"))
+    else:
+        texts = packed(numbered.select(F.struct("number", F.col("doc_id").alias("id")).alias("doc_id"), "text")).select("packed", F.col("doc_id.number").alias("doc_id"), F.col("doc_id.id").alias("id"))
+    joined = texts.join(spans, F.col("doc_id") == F.col("doc"), "left").select(F.col("id").alias("doc_id"), "packed", "spans")
     made = append_columns(joined, "n_bytes long, n_removed long, gone array<struct<start:long,end:long>>, kept binary", _cut(length))
     return made.select("doc_id", "n_bytes", "n_removed", "gone", "kept")
-
