@@ -93,33 +93,62 @@ def squeezed(text: Column) -> Column:
 
 
 def link_ids(text: Column) -> Column:
-    """`[n]` and `PMID: n` as links, unless inside an anchor or right after a letter."""
-    return F.regexp_replace(text, r"(?<![A-Za-z>])\[(?:PMID[:\s]\s*)?(\d{7,10})\](?![^<]*</a>)", r'<a href="https://pubmed.ncbi.nlm.nih.gov/$1/">[$1]</a>')
+    """Article ids as links: `[n]`, unless right after a letter, and `PMID: n`. What stands in an anchor stays as it is."""
+    to = lambda n: f'<a href="https://pubmed.ncbi.nlm.nih.gov/{n}/">'
+    parts = F.split(text, r"(?i)(?=<a\s)|(?<=</a>)")
+    named = lambda x: F.regexp_replace(x, r"(?i)\b(PMID[:：]?\s*(\d{7,10}))", to("$2") + "$1</a>")
+    bare = lambda x: F.regexp_replace(x, r"(?<![A-Za-z])\[(\d{7,10})\]", f"[{to('$1')}$1</a>]")
+    linked = F.transform(parts, lambda x: F.when(F.startswith(F.lower(x), F.lit("<a")), x).otherwise(bare(named(x))))
+    return F.array_join(linked, "")
+
+
+def prose(answer: Column) -> Column:
+    """The lines of an answer that say something, as an array.
+
+    Out go: a diagram from its fence to the closing fence, a reasoning tag up to its end, rows of tables, numbered headings,
+    lines that a bold label opens, everything from the first follow-up question on, and all but one of several empty lines.
+    """
+    start = F.struct(F.lit("").alias("until"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, line: Column) -> Column:
+        t, until, kept = F.trim(line), state["until"], state["kept"]
+        opens = F.when(F.startswith(t, F.lit("```mermaid")), "```").when(F.startswith(F.lower(t), F.lit("<thinking")), "</thinking").when(t.rlike(r"^\W*Q\d+\W"), "the end").otherwise("")
+        closed_at_once = (opens == "</thinking") & F.contains(F.lower(t), F.lit("</thinking"))
+        idle = F.startswith(t, F.lit("|")) | t.rlike(r"^#+ .*\d") | t.rlike(r"^[-*\s]*\*\*[^*]+(:\*\*|\*\*\s*:)") | ((t == "") & ((F.size(kept) == 0) | (F.element_at(kept, -1) == "")))
+        words = F.array_join(F.filter(F.split(line, " "), lambda w: w != ""), " ")
+        open_now = F.when(until != "", F.when((until != "the end") & F.contains(F.lower(t), until), "").otherwise(until)).otherwise(F.when(closed_at_once, "").otherwise(opens))
+        return F.struct(open_now.alias("until"), F.when((until != "") | (opens != "") | idle, kept).otherwise(F.array_append(kept, words)).alias("kept"))
+
+    return F.aggregate(F.split(F.coalesce(answer, F.lit("")), "\n"), start, step, lambda state: state["kept"])
 
 
 def compressed_answer(text: Column, limit: int = 1400) -> Column:
-    """An answer for history: without thinking blocks, diagrams, question markers, headings and tables, cut at a sentence; cited ids are kept."""
-    t = F.coalesce(text, F.lit(""))
-    for pattern in (r"(?is)<thinking_english>.*?</thinking_english>", r"(?s)```mermaid.*?```", r"(?s)\[Q\d+:.*?\]", r"(?is)(?<!\[)\bQ1\s*:.*", r"(?im)^#{1,3}\s*(?:layer|finding|association hypothesis|causal mechanism hypothesis)\s+\d+[^\n]*\n?", r"(?m)^\|[^\n]+\|[ \t]*\n?"):
-        t = F.regexp_replace(t, pattern, "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), " {2,}", " "))
+    """An answer for the history: its prose, cut at a sentence, and a line of the ids it cites (at most 15) if any went missing."""
+    t = F.trim(F.array_join(prose(text), "\n"), F.lit(" \n"))
     short = F.when(F.length(t) > limit, F.concat(cut_at_sentence(t, limit), F.lit(" [...]"))).otherwise(t)
-    ids = cited_ids(text)
-    missing = F.size(F.array_except(ids, F.regexp_extract_all(short, F.lit(r"(\d{7,10})"), F.lit(1)))) > 0
-    return F.when(missing, F.concat(short, F.lit("\n[Cited PMIDs: "), F.concat_ws(", ", F.slice(ids, 1, 15)), F.lit("]"))).otherwise(short)
+    ids = cited_ids(F.coalesce(text, F.lit("")))
+    note = F.concat(F.lit("\n[Cited PMIDs: "), F.array_join(F.slice(ids, 1, 15), ", "), F.lit("]"))
+    return F.when(F.exists(ids, lambda i: ~F.contains(short, i)), F.concat(short, note)).otherwise(short)
 
 
 def memory_entry(question: Column, answer: Column) -> Column:
-    """A question and answer as one short entry: 120 characters of the one, 250 of the other."""
-    q = F.trim(F.split_part(F.regexp_replace(F.element_at(F.split(question, "### TASK"), -1), r"\*User:\*\s*", ""), F.lit("*Assistant:*"), F.lit(1)))
-    q = F.concat(F.trim(F.left(q, F.lit(120))), F.when(F.length(q) > 120, "…").otherwise(""))
-    lines = F.filter(F.split(answer, "\n"), lambda x: (F.length(F.trim(x)) > 20) & ~F.startswith(F.trim(x), F.lit("[")))
-    a = F.concat_ws(" ", F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[#*\-•\s]+", ""))))
-    return F.concat(F.lit("Q: "), q, F.lit("\nA: "), cut_at_sentence(a, 250))
-
-
-def suggested_questions(text: Column) -> Column:
-    """Up to three distinct questions after markers Q1, Q2, ..."""
-    raw = F.slice(F.split(text, r"(?i)\[?(?:\*\*)?\bQ\d+\b[\]*]*\s*[:.][\]*:\s.-]*"), 2, 2**30)
-    clean = F.transform(raw, lambda q: F.regexp_replace(F.regexp_replace(F.regexp_replace(q, r"\s+", " "), r"""^[\s*_\[\]()"'-]+|[\s*_\[\]()"'-]+$""", ""), r"[?？.！!\s]+$", ""))
-    return F.slice(F.array_distinct(F.filter(clean, lambda q: F.length(q) > 3)), 1, 3)
+    """A question and its answer in two lines: 120 characters of the one, sentences of up to 250 of the other.
+
+    Of the answer count lines of more than 20 characters, without the marks that open them; notes in brackets do not.
+    """
+    asked = F.trim(question)
+    asked = F.when(F.length(asked) > 120, F.concat(F.rtrim(F.left(asked, F.lit(120))), F.lit("…"))).otherwise(asked)
+    lines = F.filter(F.transform(F.split(answer, "\n"), F.trim), lambda x: (F.length(x) > 20) & (F.left(x, F.lit(1)) != "["))
+    said = F.array_join(F.transform(lines, lambda x: F.ltrim(x, F.lit("#*-• "))), " ")
+    return F.format_string("Q: %s\nA: %s", asked, cut_at_sentence(said, 250))
+
+
+def suggested_questions(text: Column, most: int = 3) -> Column:
+    """The follow-up questions of an answer: each stands after a marker (Q and a number, a colon or full stop), up to the next one or the end of its line.
+
+    Only what lies between the first and the last letter or digit counts; from four characters on; the first of equal ones, whatever their case.
+    """
+    raw = F.regexp_extract_all(text, F.lit(r"(?i)\bQ\d+[\]*]{0,3}\s?[:.]([^\n]*?)(?=[\[*\s]*\bQ\d|\n|$)"), F.lit(1))
+    core = F.filter(F.transform(raw, lambda q: F.regexp_extract(q, r"[\p{L}\p{N}].*[\p{L}\p{N})]", 0)), lambda q: F.length(q) > 3)
+    low = F.transform(core, F.lower)
+    return F.slice(F.filter(core, lambda q, i: F.array_position(low, F.lower(q)) == i + 1), 1, most)
