@@ -1,4 +1,4 @@
-"""The fluent surface: from articles to a weighted, pruned and searchable graph. Everything is lazy but communities, paths and writing."""
+"""The fluent surface: from articles to a weighted, pruned and searchable graph. Everything is lazy but weights, communities, paths and writing."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import communities, edges, extract, mentions, paths, prune, resolve, search, weights
+from weftgraph.session import materialize
 from weftgraph.sinks import writers
 from weftgraph.sources.tagged_text import Tables
 
@@ -43,7 +44,9 @@ class Graph:
         e = edges.graph_edges(self.evidence, "semantic" if self.method == "semantic" else "node", pmid_weights)
         count = self.articles.agg(F.count("*").cast("double").alias("all_articles"))
         e = weights.add_npmi(e.crossJoin(F.broadcast(count)), n, F.col("all_articles")).drop("all_articles")  # one row
-        return replace(self, nodes=n, edges=weights.set_weights(e, method), pmid_weights=pmid_weights)
+        # written once: every later step reads them, some several times
+        n, e = materialize(n, "nodes"), materialize(weights.set_weights(e, method), "edges")
+        return replace(self, nodes=n, edges=e, pmid_weights=pmid_weights)
 
     def _with_edges(self, e: DataFrame) -> Graph:
         return replace(self, edges=e, nodes=prune.drop_isolates(self.nodes, e))
@@ -89,14 +92,32 @@ class Graph:
         steps = found.select(F.explode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))).alias("s")).select("s.*").distinct()
         return paths.neighbourhood(self.edges, anchors) if found.isEmpty() else self.edges.join(steps, ["u", "v"], "left_semi")
 
-    def paths(self, query: str | None = None, k: int = 20) -> DataFrame:
-        """Scored paths of up to two hops from the nodes that match the query best."""
-        starts = paths.start_nodes(self.nodes, self.edges, query)
-        kind = self.nodes.select("node_id", "type")
-        e = self.edges.join(kind.toDF("u", "tu"), "u").join(kind.toDF("v", "tv"), "v").crossJoin(F.broadcast(self.edges.agg(F.max("edge_weight").alias("largest"))))
+    def paths(self, query: str | None = None, k: int = 20, relevance: DataFrame | None = None) -> DataFrame:
+        """Scored paths of up to two hops from the nodes that match the query best.
+
+        relevance: (node_id, score) of nodes that a vector search found for the query; others count 0.5 in a path. An edge's
+        confidence is the mean of its extracted relations' confidences, 0.5 where it has none.
+        """
+        nodes = self.nodes
+        if relevance is not None:
+            nodes = nodes.join(relevance.groupBy("node_id").agg(F.max("score").alias("relevance")), "node_id", "left")
+        starts = paths.start_nodes(nodes, self.edges, query, relevance=None if relevance is None else "relevance")
+        fit = F.coalesce("relevance", F.lit(0.5)) if relevance is not None else F.lit(0.5)
+        kind = nodes.select("node_id", "type", fit.alias("fit"))
+        e = self.edges.join(kind.toDF("u", "tu", "fu"), "u").join(kind.toDF("v", "tv", "fv"), "v").crossJoin(F.broadcast(self.edges.agg(F.max("edge_weight").alias("largest"))))  # one row
         rel = F.array_distinct(F.flatten(F.map_values("relations")))
-        score = paths.edge_score(F.col("edge_weight"), F.col("largest"), F.lit(0.5), rel, F.size("relations"), F.lit(0.5), F.greatest(paths.type_factor(F.col("tu")), paths.type_factor(F.col("tv"))))
-        return paths.two_hop_paths(e.withColumn("score", score), starts, self.nodes, k)
+        said = F.flatten(F.transform(F.map_values("confidences"), F.map_values))
+        sure = F.coalesce(F.try_divide(F.aggregate(said, F.lit(0.0), lambda s, x: s + x), F.size(said)), F.lit(0.5))
+        score = paths.edge_score(F.col("edge_weight"), F.col("largest"), sure, rel, F.size("relations"), F.greatest("fu", "fv"), F.greatest(paths.type_factor(F.col("tu")), paths.type_factor(F.col("tv"))))
+        return paths.two_hop_paths(materialize(e.withColumn("score", score).select("u", "v", "score"), "scored"), starts, nodes, k)
+
+    def path_records(self, query: str | None = None, k: int = 20, relevance: DataFrame | None = None) -> DataFrame:
+        return paths.path_records(self.paths(query, k, relevance), self.nodes, self.edges)
+
+    def with_communities(self) -> DataFrame:
+        """Nodes with their parents, and a node for each community; see communities()."""
+        g = self if self.membership is not None else self.communities()
+        return communities.with_communities(g.nodes.drop("community"), g.membership, g.edges)
 
     def resolve(self, vectors: DataFrame | None = None, threshold: float = 0.96) -> Graph:
         """Merged nodes; edges are aggregated anew from the evidence, and weights are to be set again."""

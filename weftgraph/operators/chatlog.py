@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import is_mirna
+from weftgraph.functions.text import is_mirna, memory_entry
 
 MEMORY_CHARS = 1800
 
@@ -29,6 +29,41 @@ def pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFr
     return t.where("role = 'user' and next_role = 'assistant'").select(conv, turn, F.col("text").alias("question"), "answer")
 
 
+def compress_history(turns: DataFrame, keep: int = 3, conv: str = "conv_id", turn: str = "turn") -> tuple[DataFrame, DataFrame]:
+    """The turns that stay (history_window), and of the pairs that aged out (conv, turn, entry), one memory entry for each.
+
+    A pair is a user's turn and the assistant's next; turns without their other half age out without an entry.
+    """
+    kept = history_window(turns, keep, conv, turn)
+    first = kept.groupBy(F.col(conv).alias("c")).agg(F.min(turn).alias("first"))
+    old = pairs(turns, conv, turn).join(first, F.col(conv) == F.col("c")).where(F.col(turn) < F.col("first"))
+    return kept, old.select(conv, turn, memory_entry(F.col("question"), F.col("answer")).alias("entry"))
+
+
+def memory_text(entries: DataFrame, conv: str = "conv_id", turn: str = "turn", budget: int = MEMORY_CHARS) -> DataFrame:
+    """(conv, memory): the entries within the budget, numbered from the oldest, under one heading."""
+    e = memory_budget(entries, budget, conv, turn, "entry").groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "entry"))).alias("e"))
+    lines = F.transform("e", lambda x, i: F.concat(F.lit("[Turn "), (i + 1).cast("string"), F.lit("]\n"), x["entry"]))
+    return e.select(conv, F.concat(F.lit("### Long-term Conversation Memory (earlier turns, compressed)\n"), F.array_join(lines, "\n\n")).alias("memory"))
+
+
+def save_history(turns: DataFrame, memory: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn") -> None:
+    """One JSON object for each conversation: its turns and its memory entries, both in order."""
+    cols = [c for c in turns.columns if c != conv]
+    t = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, *[c for c in cols if c != turn]))).alias("history"))
+    m = memory.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "entry"))).alias("memory"))
+    t.join(m, conv, "full").write.json(path)
+
+
+def load_history(spark: SparkSession, path: str, schema: str = "conv_id long, turn long, role string, text string") -> tuple[DataFrame, DataFrame]:
+    """turns and memory entries as save_history had them; schema is that of the turns, its first column the conversation."""
+    conv, *rest = [f.strip() for f in schema.split(",")]
+    inner = ", ".join(f.replace(" ", ":", 1) for f in rest)
+    d = spark.read.schema(f"{conv}, history array<struct<{inner}>>, memory array<struct<turn:long,entry:string>>").json(path)
+    key = conv.split()[0]
+    return d.select(key, F.explode("history").alias("h")).select(key, "h.*"), d.select(key, F.explode("memory").alias("m")).select(key, "m.*")
+
+
 def session_statistics(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     return turns.groupBy(conv).agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("questions"), F.count_if(F.col("role") == "assistant").alias("answers"))
 

@@ -42,7 +42,7 @@ def resolve_ids(relations: DataFrame, nodes: DataFrame, id_col: str) -> DataFram
     r = relations.select("article_seq", "rel_seq", F.col(id_col).alias("rid"))
     direct = r.join(plain, (r["article_seq"] == plain["article_seq"]) & (F.col("rid") == F.col("key")), "left").select(r["article_seq"], "rel_seq", "rid", "plain")
     names = [f"a{k}" for k in range(len(MUTATION_PARTS))]
-    variant = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", _attributes(F.col("node_id")).alias("has"))
+    variant = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", _attributes(F.substring_index("node_id", "_", 1)).alias("has"))
     asked = direct.where("plain is null").withColumn("want", _attributes(F.col("rid"))).where(F.coalesce(*[F.col(f"want.{x}") for x in names]).isNotNull())
     fits = reduce(lambda a, b: a & b, [F.col(f"want.{x}").isNull() | F.coalesce(F.col(f"want.{x}") == F.col(f"has.{x}"), F.lit(False)) for x in names])
     matched = asked.join(variant, (F.col("article_seq") == F.col("art")) & fits).groupBy("article_seq", "rel_seq").agg(F.min_by("node_id", "node_ord").alias("node_id"))
@@ -78,6 +78,18 @@ def edge_rows(edges: DataFrame) -> DataFrame:
     return rows.select("u", "v", "pmid", "relation", of(F.col("confidences")).alias("confidence"), of(F.col("evidences")).alias("evidence"))
 
 
+def inspector_rows(edges: DataFrame) -> DataFrame:
+    """edge_rows for display: confidences with two decimals, `N/A` where there is none or 0, and evidence or a note that there is none."""
+    r = edge_rows(edges)
+    return r.withColumn("confidence", F.coalesce(F.format_number(F.nullif("confidence", F.lit(0.0)), 2), F.lit("N/A"))).withColumn("evidence", F.coalesce(F.nullif("evidence", F.lit("")), F.lit("No evidence available")))
+
+
+def article_edges(rows: DataFrame, article: str = "pmid") -> DataFrame:
+    """(article, edges) from rows (u, v, article, relation): each article's edges with their sorted relations; grouped by article alone."""
+    per = rows.groupBy(article, "u", "v").agg(F.array_sort(F.collect_set("relation")).alias("relations"))
+    return per.groupBy(article).agg(F.array_sort(F.collect_list(F.struct(F.col("u").alias("source"), F.col("v").alias("target"), "relations"))).alias("edges"))
+
+
 def edges_of_articles(edges: DataFrame) -> DataFrame:
     """(pmid, edges): each article's edges with their sorted relations."""
     rows = edges.select("u", "v", F.explode("relations").alias("pmid", "rels"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import queue
 import re
+import threading
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -47,13 +50,20 @@ def _parse_pieces(body: str) -> list[dict] | None:
     return found or None
 
 
-def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool], str], provider: str = "", second_pass: bool = True) -> DataFrame:
+def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool], str], provider: str = "", second_pass: bool = True, seconds: float = 300, known: DataFrame | None = None) -> DataFrame:
     """Raw relations of articles (article_seq, pmid, title, abstract), with an outcome: ok, failed, unparsed, none or skipped.
 
     client(article, second) returns the response text; prompts, retries and limits are its own. Articles with fewer than two
     nodes or no abstract are skipped. A second pass asks again where the first finds fewer than half as many relations
-    as nodes (two at least), but not from a local provider; the same pair and relation counts once.
+    as nodes (two at least), but not from a local provider; the same pair and relation counts once. An article that takes
+    longer than `seconds` has failed. known: raw relations of an earlier run; articles with an outcome there other than failed are
+    not asked for again, and their rows are taken over.
     """
+    if known is not None:
+        told = known.where("outcome <> 'failed'")
+        rest = extract(articles.join(told.select("pmid").distinct(), "pmid", "left_anti"), nodes, client, provider, second_pass, seconds)
+        old = told.drop("article_seq").join(articles.select("article_seq", "pmid").dropDuplicates(["pmid"]), "pmid")
+        return old.select(*rest.columns).unionByName(rest)
     ents = nodes.groupBy("article_seq").agg(F.array_sort(F.collect_list(F.struct("node_id", "name", "type"))).alias("entities"))
     a = articles.select("article_seq", "pmid", "title", "abstract").join(ents, "article_seq")
 
@@ -62,11 +72,29 @@ def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool]
         if len(entities) < 2 or not row.abstract:
             return [], "skipped"
         article, found = {"pmid": row.pmid, "title": row.title, "abstract": row.abstract, "entities": entities}, {}
+        began = time.monotonic()
+
+        def ask(second: bool) -> str:
+            """The client's answer, within what is left of the article's time; a call that hangs is left behind."""
+            answer: queue.Queue = queue.Queue()
+
+            def call() -> None:
+                try:
+                    answer.put((client(article, second), None))
+                except Exception as e:  # handed to the caller
+                    answer.put((None, e))
+
+            threading.Thread(target=call, daemon=True).start()
+            text, error = answer.get(timeout=max(0.01, seconds - (time.monotonic() - began)))
+            if error:
+                raise error
+            return text
+
         try:
-            first = parse_response(client(article, False))
+            first = parse_response(ask(False))
             passes = [first or []]
             if second_pass and provider != "local" and len(passes[0]) < max(2, len(entities) // 2):
-                passes.append(parse_response(client(article, True)) or [])
+                passes.append(parse_response(ask(True)) or [])
         except Exception:  # one article's failure is an outcome, not the job's
             return [], "failed"
         for r in (r for p in passes for r in p):

@@ -61,6 +61,33 @@ def min_confidence(edges: DataFrame, confidence: Column, least: float) -> DataFr
     return edges.where((F.col("type") != "semantic") | (confidence >= least))
 
 
+def confident_graph(nodes: DataFrame, edges: DataFrame, confidence: Column, least: float) -> tuple[DataFrame, DataFrame]:
+    """min_confidence, and without the nodes that lose all their edges by it; nodes that had none stay."""
+    kept = min_confidence(edges, confidence, least)
+    lost = endpoints(edges).distinct().join(endpoints(kept).distinct(), "node_id", "left_anti")
+    return nodes.join(lost, "node_id", "left_anti"), kept
+
+
+def shown_nodes(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, least_degree: int = 0) -> DataFrame:
+    """Nodes of a page by its type boxes and its degree slider; communities (c0, c1, ...) are exempt from both."""
+    n = nodes.join(degrees(edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    fits = (F.col("type").isin(types) if types is not None else F.lit(True)) & (F.col("degree") >= least_degree)
+    return n.where(fits | (F.col("node_id").rlike(r"^c\d+$"))).drop("degree")
+
+
+def selection_statistics(nodes: DataFrame, edges: DataFrame, picked: DataFrame, picked_edges: DataFrame) -> DataFrame:
+    """statistics of a selection: picked (node_id) and picked_edges (u, v). Community nodes do not count."""
+    n = nodes.where(~F.col("node_id").rlike(r"^c\d+$")).join(picked.select("node_id").distinct(), "node_id", "left_semi")
+    return statistics(n, edges.join(picked_edges.select("u", "v").distinct(), ["u", "v"], "left_semi"))
+
+
+def article_statistics(node_rows: DataFrame, edge_rows: DataFrame, article: str = "article_seq") -> DataFrame:
+    """statistics from rows (node_id, article) and (u, v, article): no row ever holds all articles of a node or edge."""
+    nodes, edges = node_rows.select("node_id").distinct(), edge_rows.select("u", "v").distinct()
+    arts = node_rows.select(article).unionByName(edge_rows.select(article)).distinct()
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(arts.agg(F.count("*").alias("articles")))
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, and distinct articles of both."""
     arts = nodes.select(F.explode("pmids").alias("p")).unionByName(edges.select(F.explode(F.map_keys("relations")).alias("p")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
 PROTECTED = ["Gene", "ProteinMutation", "DNAMutation", "SNP"]  # fixed values
+#: Rows of a part whose pairs are compared; types of nodes, a short closed list.
+PART_ROWS, MOST_TYPES = 2000, 100
 
 
 def _known(mesh: Column) -> Column:
@@ -43,11 +47,36 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: str, id_col: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, cosine) with a < b within a block (such as a type) and cosine above threshold; an equi-join on the block."""
-    v = vectors.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector).alias("x")).where("x is not null").withColumn("norm", F.sqrt(dot(F.col("x"), F.col("x"))))
-    a, b = v.toDF("block", "a", "xa", "na"), v.toDF("bb", "b", "xb", "nb")
-    p = a.join(b, (F.col("block") == F.col("bb")) & (F.col("a") < F.col("b")))
-    return p.select("a", "b", F.try_divide(dot(F.col("xa"), F.col("xb")), F.col("na") * F.col("nb")).alias("cosine")).where(F.col("cosine") > threshold)
+    """(a, b, cosine) with a < b within a block (such as a type) and cosine above threshold, in double precision.
+
+    A block is dealt into parts of some PART_ROWS rows, and each pair of parts is a task and one matrix product, so that no task
+    holds a whole block. Null, empty and zero vectors and null blocks have no pairs; vectors of other lengths meet only their like.
+    """
+    kind = dict(vectors.dtypes)[id_col]
+    v = vectors.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    v = v.where("block is not null and id is not null and x is not null and exists(x, e -> e <> 0) and forall(x, e -> e is not null)").withColumn("n", F.size("x"))
+    parts = v.groupBy("block", "n").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))  # a row for each block
+    v = v.join(parts, ["block", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    v = v.select("block", "n", "id", "x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, second = np.array(t.column("id").to_pylist(), object), t.column("second").to_numpy()
+        x = np.asarray(t.column("x").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+        u = x / np.sqrt((x * x).sum(1))[:, None]
+        across = bool(second.any())
+        rows, cols = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
+        a, b = np.nonzero(u[rows] @ u[cols].T > threshold - 1e-9)
+        a, b = rows[a], cols[b]
+        keep = np.array([ids[p] < ids[q] if not across else ids[p] != ids[q] for p, q in zip(a, b)], bool)
+        a, b = a[keep], b[keep]
+        cos = (x[a] * x[b]).sum(1) / (np.sqrt((x[a] * x[a]).sum(1)) * np.sqrt((x[b] * x[b]).sum(1)))
+        hit = cos > threshold
+        low = [min(ids[p], ids[q]) for p, q in zip(a[hit], b[hit])]
+        high = [max(ids[p], ids[q]) for p, q in zip(a[hit], b[hit])]
+        return pa.table({"a": pa.array(low, t.schema.field("id").type), "b": pa.array(high, t.schema.field("id").type), "cosine": cos[hit]})
+
+    return v.groupBy("block", "n", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -55,17 +84,26 @@ def compatible(a: Column, b: Column) -> Column:
     return (a == b) | unknown | (a.isin(PROTECTED) & b.isin(PROTECTED))
 
 
+def _block(kind: Column) -> Column:
+    return F.when(kind.isin(PROTECTED), "protected").when(F.lower(kind) == "unknown", "unknown").otherwise(kind)
+
+
 def merge_similar(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.96, protected: float = 0.995) -> DataFrame:
     """(node_id, target) by similarity, greedily in node order within each component of similar nodes.
 
     A node with neighbours of several identifiers merges only with those of its own; else the one with an identifier, or
     the node itself, is kept. A component is one task.
     """
-    n = nodes.join(vectors.select("node_id", "embedding"), "node_id")
-    block = F.when(F.col("type").isin(PROTECTED), F.lit("protected")).otherwise(F.col("type"))
-    pairs = similar_pairs(n.withColumn("block", block), threshold, "block")
+    n = nodes.join(vectors.select("node_id", "embedding"), "node_id").withColumn("block", _block(F.col("type")))
+    # a node of unknown type may merge with any: it is put into every block, its own among them
+    blocks = [r["block"] for r in n.select("block").distinct().limit(MOST_TYPES + 1).collect()]
+    if len(blocks) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} types of nodes")
+    everywhere = F.when(F.col("block") == "unknown", F.array(*map(F.lit, blocks))).otherwise(F.array("block")) if blocks else F.array("block")
+    pairs = similar_pairs(n.withColumn("block", F.explode(everywhere)), threshold, "block").dropDuplicates(["a", "b"])
     kind = nodes.select("node_id", "type", "mesh")
-    p = pairs.join(kind.toDF("a", "ta", "ma"), "a").join(kind.toDF("b", "tb", "mb"), "b").where(compatible(F.col("ta"), F.col("tb")) & (~(F.col("ta").isin(PROTECTED) | F.col("tb").isin(PROTECTED)) | (F.col("cosine") > protected)))
+    guarded = F.col("ta").isin(PROTECTED) | F.col("tb").isin(PROTECTED)
+    p = pairs.join(kind.toDF("a", "ta", "ma"), "a").join(kind.toDF("b", "tb", "mb"), "b").where(compatible(F.col("ta"), F.col("tb")) & (~guarded | (F.col("cosine") > protected)))
     p = materialize(p.withColumn("ha", F.xxhash64("a")).withColumn("hb", F.xxhash64("b")), "similar")
     comp = connected_components(p, "ha", "hb")
 

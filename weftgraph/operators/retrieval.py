@@ -54,29 +54,78 @@ def context_lines(lines: DataFrame, by: str, line: str, most: int = 15, sep: str
     return lines.groupBy(by).agg(F.concat_ws(sep, F.slice(F.array_sort(F.collect_set(line)), 1, most)).alias("context"))
 
 
-def batches(docs: DataFrame, order: str, text: str = "text", tokens: int = 250_000, rows: int = 5000, shard: int = 50_000) -> DataFrame:
-    """docs with shard and batch: consecutive documents in batches of at most this many tokens and rows.
+def document_context(docs: DataFrame, lines: DataFrame, most: int = 15) -> DataFrame:
+    """(pmid, context) of docs (pmid, title, abstract, score) with the relations (pmid, source, relation, target) found in them.
 
-    Filling batches is sequential; documents are numbered within shards of consecutive order so that shards fill their
-    batches independently, each in one fold.
+    A context names the article and its relevance, title and abstract, and up to `most` sorted distinct relations.
     """
-    import pandas as pd
+    line = F.concat(F.lit("- "), F.coalesce("source", F.lit("Unknown")), F.lit(" --["), F.coalesce("relation", F.lit("associated")), F.lit("]--> "), F.coalesce("target", F.lit("Unknown")))
+    found = lines.groupBy("pmid").agg(F.slice(F.array_sort(F.collect_set(line)), 1, most).alias("found"))
+    d = docs.join(found, "pmid", "left")
+    head = F.concat(F.lit("PMID: "), "pmid", F.lit(" (Relevance: "), F.format_number("score", 2), F.lit(")"))
+    parts = [head, F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.when(F.size("found") > 0, F.concat(F.lit("Structural Relationships (Extracted):\n"), F.array_join("found", "\n")))]
+    return d.select("pmid", "score", F.concat_ws("\n", *parts).alias("context"))
 
-    d = docs.withColumn("n_tokens", token_estimate(F.col(text))).withColumn("shard", F.floor(F.col(order) / shard))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+def joined_contexts(contexts: DataFrame, k: int = 5, sep: str = "\n---\n\n") -> str:
+    """The contexts of the k best documents as one text; what is said if there are none."""
+    best = contexts.orderBy(F.desc("score"), "pmid").limit(k).collect()  # k rows
+    return sep.join(r["context"] for r in best) or "No relevant abstracts found."
+
+
+def node_text(name: Column, kind: Column) -> Column:
+    """What a node is indexed under."""
+    return F.concat(name, F.lit(" ("), kind, F.lit(")"))
+
+
+def nearest_nodes(index: DataFrame, query: list[float], k: int = 10, ignored: list[str] | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """(node_id, name, type, score): the k nodes (with embedding) nearest to the query, by 1 / (1 + distance); see valid_nodes."""
+    n = nearest(valid_nodes(index, ignored, allowed), query, k, tie="node_id")
+    return n.select("node_id", "name", "type", similarity(F.col("distance")).alias("score"))
+
+
+def valid_nodes(nodes: DataFrame, ignored: list[str] | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """Nodes whose type, in lower case and `entity` if null, is not ignored, and is allowed where types are given."""
+    kind = F.lower(F.coalesce("type", F.lit("entity")))
+    n = nodes.where(~kind.isin(ignored)) if ignored else nodes
+    return n.where(kind.isin(allowed)) if allowed else n
+
+
+def document(docs: DataFrame, pmid: str) -> DataFrame:
+    return docs.where(F.col("pmid") == pmid).limit(1)
+
+
+def indexed_ids(docs: DataFrame) -> DataFrame:
+    return docs.select("pmid").distinct()
+
+
+def index_part(nodes: DataFrame, selection: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """The nodes to index: all of a small graph; of one with more than `most` nodes the selected ones (node_id)."""
+    if selection is None or nodes.limit(most + 1).count() <= most:
+        return nodes
+    return nodes.join(selection.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def batches(docs: DataFrame, order: str, text: str = "text", tokens: int = 250_000, rows: int = 5000) -> DataFrame:
+    """(order, n_tokens, batch): documents in order, in consecutive batches of at most this many tokens and rows.
+
+    A document of more tokens than a batch holds is a batch of its own. Where a batch ends hangs on all before it, so one task
+    reads two numbers for each document, as a stream; texts stay where they are.
+    """
+    slim = docs.select(order, token_estimate(F.col(text)).alias("n_tokens")).orderBy(order).coalesce(1)
+
+    def fill(frames):
         batch = used = count = 0
-        out = []
-        for n in pdf["n_tokens"]:
-            if count and (used + n > tokens or count >= rows):
-                batch, used, count = batch + 1, 0, 0
-            used, count = used + n, count + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    slim = d.select("shard", order, "n_tokens")
-    return slim.groupBy("shard").applyInPandas(fill, f"shard long, {order} {dict(slim.dtypes)[order]}, n_tokens long, batch long")
+        for pdf in frames:
+            out = []
+            for n in pdf["n_tokens"].tolist():
+                if count and (used + n > tokens or count >= rows):
+                    batch, used, count = batch + 1, 0, 0
+                used, count = used + n, count + 1
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    return slim.mapInPandas(fill, f"{order} {dict(slim.dtypes)[order]}, n_tokens long, batch long")
 
 
 def name_index(nodes: DataFrame, order: str = "node_id") -> DataFrame:

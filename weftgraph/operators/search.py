@@ -78,6 +78,30 @@ def valid_boolean(query: str) -> bool:
     return bool(query.strip()) and depth == 0 and query.count('"') % 2 == 0 and not bad
 
 
+#: Words that name no entity.
+PLAIN_WORDS = {"the", "and", "among", "with", "for", "about", "relationship", "of", "genes", "related", "to"}  # fixed values
+
+
+def fallback_query(question: str, most: int = 2) -> str:
+    """A boolean query where a model gives none that is valid: the question's first telling words in quotes, joined by AND.
+
+    A question of fewer such words that is a boolean query itself, or names a type, stays; one without Latin letters gives nothing.
+    """
+    words: dict[str, str] = {}
+    for w in re.split(r"[^A-Za-z0-9-]+", question):
+        if len(w) > 2 and w[0].isalpha() and w.lower() not in PLAIN_WORDS:
+            words.setdefault(w.lower(), f'"{w}"')
+    if len(words) < most and re.search(r" (AND|OR|NOT) |@(GENE|MIRNA|DISEASE|CHEMICAL)", question, re.IGNORECASE):
+        return question.strip()
+    return " AND ".join(list(words.values())[:most])
+
+
+def boolean_query(question: str, answer: str | None) -> str:
+    """A model's answer as a boolean query if it is a valid one, else fallback_query."""
+    made = clean_boolean(answer or "")
+    return made if valid_boolean(made) else fallback_query(question)
+
+
 def clean_boolean(text: str) -> str:
     """A query as a model returns it, without fences, a leading label and outer quotes."""
     t = re.sub(r"^```\w*\s*|\s*```$", "", text.strip())

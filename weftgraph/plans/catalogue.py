@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import relations as rel
 from weftgraph.functions import text as tx
 from weftgraph.operators import chatlog, communities, edges, mentions, paths, prune, resolve, retrieval, search, weights
 from weftgraph.operators.components import connected_components
-from weftgraph.session import table
+from weftgraph.session import materialize, numbered, table
 from weftgraph.streaming import daily_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,9 +99,13 @@ def citation_weight(spark, d):
 
 @query("SELECT l_partkey::VARCHAR AS u, l_suppkey::VARCHAR AS v, STRING_AGG(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS relations, COUNT(DISTINCT l_orderkey)::BIGINT AS num_relations FROM lineitem GROUP BY 1, 2")
 def relation_edges(spark, d):
-    li = table(spark, d, "lineitem")
-    e = li.groupBy(F.col("l_partkey").cast("string").alias("u"), F.col("l_suppkey").cast("string").alias("v"))
-    return e.agg(F.concat_ws(",", F.array_sort(F.collect_set("l_returnflag"))).alias("relations"), F.countDistinct("l_orderkey").alias("num_relations"))
+    key = lambda c: F.col(c).cast("string")
+    evidence = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("article_seq"), key("l_partkey").alias("u"), key("l_suppkey").alias("v"), key("l_orderkey").alias("pmid"), F.col("l_returnflag").alias("relation"),
+        F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("evidence"),
+    )
+    e = edges.graph_edges(evidence)
+    return e.select("u", "v", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.map_values("relations")))), ",").alias("relations"), "num_relations")
 
 
 @query("""WITH m AS (SELECT l_suppkey u, l_partkey v, l_returnflag r, ROUND(AVG(l_discount), 6) c FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY c DESC, r) k FROM m)
@@ -114,8 +118,8 @@ def primary_relation(spark, d):
 @query(f"WITH {PAIRS} SELECT a AS pmid, STRING_AGG(u || '-' || v, ';' ORDER BY u, v) AS edges FROM pairs GROUP BY a")
 def edges_by_article(spark, d):
     p = edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False)
-    e = p.groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct(F.col("article_seq").alias("pmid"), F.array(F.lit("co-mention")).alias("r")))).alias("relations"))
-    return edges.edges_of_articles(e).select("pmid", F.concat_ws(";", F.transform("edges", lambda x: F.concat_ws("-", x["source"], x["target"]))).alias("edges"))
+    e = edges.article_edges(p.select(F.col("article_seq").alias("pmid"), "u", "v", F.lit("co-mention").alias("relation")))
+    return e.select("pmid", F.concat_ws(";", F.transform("edges", lambda x: F.concat_ws("-", x["source"], x["target"]))).alias("edges"))
 
 
 # --- pruning -------------------------------------------------------------------------------------------------------
@@ -153,9 +157,7 @@ def node_topn_degree(spark, d):
 @query(f"WITH {PAIRS} SELECT (SELECT COUNT(DISTINCT n) FROM brands)::BIGINT AS nodes, (SELECT COUNT(*) FROM e)::BIGINT AS edges, (SELECT COUNT(DISTINCT a) FROM brands)::BIGINT AS articles")
 def network_stats(spark, d):
     b = brands(spark, d)
-    n = b.groupBy("node_id").agg(F.collect_set("article_seq").alias("pmids"))
-    e = edges.pairs_within(b, "article_seq", "node_id", distinct=False).groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct("article_seq", F.lit(1)))).alias("relations"))
-    return prune.statistics(n, e)
+    return prune.article_statistics(b, edges.pairs_within(b, "article_seq", "node_id", distinct=False))
 
 
 @query("""WITH k AS (SELECT p_partkey n FROM part WHERE split_part(p_type, ' ', 1) IN ('ECONOMY', 'PROMO')), s AS (SELECT DISTINCT l_orderkey a, l_partkey n FROM lineitem)
@@ -163,9 +165,8 @@ SELECT x.n AS u, y.n AS v, COUNT(*)::BIGINT AS num_relations FROM s x JOIN s y O
 def type_visibility(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type"))
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_partkey").alias("node_id"))
-    # visibility of nodes first: hidden ones make no pairs
-    seen = rows.join(nodes.where(F.col("type").isin("ECONOMY", "PROMO")), "node_id", "left_semi")
-    return edges.pairs_within(seen, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+    e = edges.pairs_within(rows, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+    return prune.visible_types(nodes, e, ["ECONOMY", "PROMO"])[1].select("u", "v", "num_relations")
 
 
 @query("SELECT l_suppkey AS u, l_partkey AS v, CASE WHEN l_returnflag = 'A' THEN 'semantic' ELSE 'node' END AS type, l_orderkey FROM lineitem WHERE l_returnflag <> 'A' OR l_discount >= 0.05::DOUBLE")
@@ -177,26 +178,30 @@ def confidence_filter(spark, d):
 @query("SELECT DISTINCT p_size::VARCHAR AS id, ROW_NUMBER() OVER (ORDER BY p_size)::BIGINT AS place FROM (SELECT DISTINCT p_size FROM part)")
 def numeric_id_order(spark, d):
     ids = table(spark, d, "part").select(F.col("p_size").cast("string").alias("id")).distinct()
-    return ids.select("id", F.row_number().over(Window.orderBy(*prune.numeric_first(F.col("id")))).cast("long").alias("place"))
+    return numbered(ids, *prune.numeric_first(F.col("id")), name="place").withColumn("place", F.col("place") + 1)
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
 
-STRONG = f"{FREQ}, k AS (SELECT u, v, edge_weight FROM w ORDER BY edge_weight DESC, u, v LIMIT 40)"
+STRONG = f"{FREQ}, k AS (SELECT u, v, edge_weight FROM w)"
 
 
-def strong(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
-    return prune.top_edges(weighted_edges_(spark, d), k).select("u", "v", "edge_weight")
+def strong(spark: SparkSession, d: str) -> DataFrame:
+    """The whole weighted graph, written once: its queries read it several times."""
+    return materialize(weighted_edges_(spark, d).select("u", "v", "edge_weight"), "weighted")
 
 
-@query(f"""WITH {STRONG}, s AS (SELECT u, v, edge_weight / MAX(edge_weight) OVER () * 0.3::DOUBLE + 0.5::DOUBLE * 0.4::DOUBLE + 0.15::DOUBLE s FROM k), h AS (SELECT u src, v dst, s FROM s UNION ALL SELECT v, u, s FROM s), p AS (
+@query(f"""WITH {STRONG}, s AS (SELECT u, v, edge_weight / MAX(edge_weight) OVER () * 0.3::DOUBLE + 0.5::DOUBLE * 0.4::DOUBLE + 0.15::DOUBLE s FROM k),
+h AS (SELECT * FROM (SELECT u src, v dst, s FROM s UNION ALL SELECT v, u, s FROM s) WHERE RIGHT(dst, 1) IN ('1', '3', '4')), p AS (
 SELECT src a, dst b, NULL c, s score FROM h UNION ALL SELECT x.src, x.dst, y.dst, LEAST(x.s, y.s) * 0.8::DOUBLE FROM h x JOIN h y ON x.dst = y.src AND y.dst <> x.src)
 SELECT a, b, COALESCE(c, '') AS c, ROUND(score, 6) AS score FROM p ORDER BY p.score DESC, a, b, p.c NULLS FIRST LIMIT 20""")
 def two_hop_paths(spark, d):
     e = strong(spark, d)
-    e = e.crossJoin(F.broadcast(e.agg(F.max("edge_weight").alias("largest"))))
+    e = e.crossJoin(F.broadcast(e.agg(F.max("edge_weight").alias("largest"))))  # one row
     s = paths.edge_score(F.col("edge_weight"), F.col("largest"), F.lit(0.5), F.array(F.lit("co-mention")), F.lit(1), F.lit(0.5), F.lit(1.0))
-    p = paths.two_hop_paths(e.withColumn("score", s), prune.endpoints(e), None, 20)
+    ends = prune.endpoints(e).distinct()
+    nodes = ends.withColumn("type", F.when(F.right("node_id", F.lit(1)).isin("1", "3"), "Gene").when(F.right("node_id", F.lit(1)) == "4", "Disease").otherwise("Species"))
+    p = paths.two_hop_paths(e.withColumn("score", s), ends, nodes, 20)
     return p.select("a", "b", F.coalesce("c", F.lit("")).alias("c"), F.round("score", 6).alias("score"))
 
 
@@ -205,22 +210,21 @@ def neighbourhood(spark, d):
     return paths.neighbourhood(strong(spark, d), spark.createDataFrame([("Brand#12",), ("Brand#34",)], "node_id string"))
 
 
-@query(f"""WITH RECURSIVE {STRONG}, h AS (SELECT u src, v dst, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) c FROM k UNION ALL SELECT v, u, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) FROM k),
-best0 AS (SELECT MIN(n) a FROM (SELECT u n FROM k UNION SELECT v FROM k)), r(a, node, cost, hops) AS (
-SELECT a, a, 0::DOUBLE, 0 FROM best0 UNION ALL SELECT r.a, h.dst, r.cost + h.c, r.hops + 1 FROM r JOIN h ON r.node = h.src WHERE r.hops < 4)
-SELECT a, node AS b, ROUND(MIN(cost), 6) AS cost FROM r WHERE node > a GROUP BY a, node""")
+# after k rounds of joining the distances with themselves, all paths of up to 2**k hops are in; 25 brands need no more than 24
+DOUBLED = ", ".join(f"d{k + 1} AS (SELECT a, b, MIN(c) c FROM (SELECT * FROM d{k} UNION ALL SELECT x.a, y.b, x.c + y.c FROM d{k} x JOIN d{k} y ON x.b = y.a) GROUP BY a, b)" for k in range(5))
+
+
+@query(f"""WITH {STRONG}, d0 AS (SELECT u a, v b, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) c FROM k UNION ALL SELECT v, u, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) FROM k),
+{DOUBLED} SELECT a, b, ROUND(c, 6) AS cost FROM d5 WHERE a < b""")
 def shortest_path_cost(spark, d):
     e = strong(spark, d).withColumn("cost", paths.edge_cost(F.col("edge_weight")))
-    p = paths.shortest_paths(e, prune.endpoints(e).distinct(), 4)
-    first = prune.endpoints(e).agg(F.min("node_id").alias("a"))
-    return p.join(first, "a", "left_semi").select("a", "b", F.round("cost", 6).alias("cost"))
+    return paths.shortest_paths(e, prune.endpoints(e).distinct()).select("a", "b", F.round("cost", 6).alias("cost"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT v.vec_id a, v.vec_id + 3 b FROM embeddings v WHERE v.label % 2 = 0), h AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM h UNION SELECT h.b, r.m FROM r JOIN h ON r.n = h.a)
+@query("""WITH RECURSIVE e AS (SELECT v.vec_id a, v.vec_id + 3 b FROM embeddings v), h AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM h UNION SELECT h.b, r.m FROM r JOIN h ON r.n = h.a)
 SELECT n AS node, MIN(m)::BIGINT AS component FROM r GROUP BY n""")
 def components(spark, d):
-    e = table(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("u"), (F.col("vec_id") + 3).alias("v"))
-    return connected_components(e)
+    return connected_components(table(spark, d, "embeddings").select(F.col("vec_id").alias("u"), (F.col("vec_id") + 3).alias("v")))
 
 
 NATIONS = """s AS (SELECT DISTINCT l_orderkey a, l_suppkey n FROM lineitem), p AS (SELECT x.n u, y.n v, COUNT(*)::DOUBLE w FROM s x JOIN s y ON x.a = y.a AND x.n < y.n GROUP BY 1, 2),
@@ -247,7 +251,8 @@ def community_representatives(spark, d):
 
 @query()
 def louvain_membership(spark, d):
-    return communities.louvain(strong(spark, d, 80))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_partkey").alias("node_id"))
+    return communities.louvain(edges.pairs_within(rows, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").alias("edge_weight")))
 
 
 @query(f"WITH {PAIRS}, g AS (SELECT u n, c FROM e UNION ALL SELECT v, c FROM e) SELECT n AS node_id, COUNT(*)::BIGINT AS degree, SUM(c)::BIGINT AS weighted_degree FROM g GROUP BY n")
@@ -352,9 +357,11 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("n_tokens"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY doc_id) k, (FLOOR(LEN(LIST_FILTER(regexp_split_to_array(COALESCE(text, ''), '\s+'), lambda x: x <> '')) / 0.75::DOUBLE) + 1)::BIGINT n FROM documents),
+r(k, batch, used, c) AS (SELECT k, 0::BIGINT, n, 1 FROM d WHERE k = 1 UNION ALL SELECT d.k, CASE WHEN used + n > 20000 OR c >= 50 THEN batch + 1 ELSE batch END, CASE WHEN used + n > 20000 OR c >= 50 THEN n ELSE used + n END, CASE WHEN used + n > 20000 OR c >= 50 THEN 1 ELSE c + 1 END FROM r JOIN d ON d.k = r.k + 1)
+SELECT doc_id, n AS n_tokens, batch FROM r JOIN d USING (k)""")
 def token_batches(spark, d):
-    return retrieval.batches(table(spark, d, "documents").select("doc_id", "text"), "doc_id", tokens=20_000, rows=50).select("shard", "doc_id", "n_tokens", "batch")
+    return retrieval.batches(table(spark, d, "documents").select("doc_id", "text"), "doc_id", tokens=20_000, rows=50)
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[぀-ゟ゠-ヿ]') THEN 'Japanese' WHEN regexp_matches(text, '[가-힯]') THEN 'Korean' WHEN regexp_matches(text, '[一-鿿]') THEN 'Traditional Chinese' ELSE 'English' END AS language FROM documents")
@@ -362,11 +369,22 @@ def lang_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.language_of(F.col("text")).alias("language"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(\d{7,10})', 1))), ',') AS ids FROM documents WHERE regexp_matches(text, '\d{7,10}')")
+CITING = "'see PMID: ' || (20000000 + doc_id) || ', [' || (30000000 + doc_id) || '], [12] and ' || LEFT(doc_id || '', 3) || ' ' || COALESCE(text, '')"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {CITING} x FROM documents)
+SELECT doc_id, array_to_string(list_filter([(30000000 + doc_id)::VARCHAR, '99', (20000000 + doc_id)::VARCHAR], lambda i: list_contains(list_concat(regexp_extract_all(x, '(?i)PMID[:\s]\s*(\d{{7,10}})', 1), regexp_extract_all(x, '\[(\d{{7,10}})\]', 1)), i)), ',') AS ids FROM t""")
 def pmid_citations(spark, d):
-    t = table(spark, d, "documents").withColumn("all", F.regexp_extract_all("text", F.lit(r"(\d{7,10})"), F.lit(1))).where(F.size("all") > 0)
-    marked = t.withColumn("cited", tx.cited_ids(F.concat(F.lit("["), F.concat_ws("] [", "all"), F.lit("]"))))
-    return marked.select("doc_id", F.concat_ws(",", chatlog.sources(F.array_sort(F.array_distinct("all")), F.col("cited"))).alias("ids"))
+    t = table(spark, d, "documents").select("doc_id", F.expr(CITING).alias("x"))
+    retrieved = F.array((F.col("doc_id") + 30000000).cast("string"), F.lit("99"), (F.col("doc_id") + 20000000).cast("string"))
+    return t.select("doc_id", F.array_join(chatlog.sources(retrieved, tx.cited_ids(F.col("x"))), ",").alias("ids"))
+
+
+@query("""SELECT doc_id, '<a href="https://pubmed.ncbi.nlm.nih.gov/' || (20000000 + doc_id) || '/">PMID: ' || (20000000 + doc_id) || '</a> <a href="x">[' || (10000000 + doc_id) || ']</a> [<a href="https://pubmed.ncbi.nlm.nih.gov/' || (30000000 + doc_id) || '/">' || (30000000 + doc_id) || '</a>] rs[' || (40000000 + doc_id) || ']' AS linked FROM documents""")
+def id_links(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    x = F.concat(F.lit("PMID: "), F.col("doc_id") + 20000000, F.lit(' <a href="x">['), F.col("doc_id") + 10000000, F.lit("]</a> ["), F.col("doc_id") + 30000000, F.lit("] rs["), F.col("doc_id") + 40000000, F.lit("]"))
+    return docs.select("doc_id", tx.link_ids(x).alias("linked"))
 
 
 @query("WITH k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) k FROM conversations) SELECT conv_id, turn, role FROM k WHERE k <= 6")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 OWN_DIR = "weftgraph.shared.dir"
 
@@ -62,6 +63,18 @@ def materialize(df: DataFrame, name: str = "step", replaces: DataFrame | None =
     return out
 
 
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """df with its rows numbered from 0 in a total order. Ranges are sorted in parallel; the driver sees one count for each."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), place.alias("_place")), "ranges")
+    before, total = [], 0
+    for r in sorted(ranges.groupBy("_range").count().collect()):
+        before += [F.lit(r["_range"]), F.lit(total)]
+        total += r["count"]
+    first = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0)
+    return ranges.withColumn(name, (F.col("_place") + first).cast("long")).drop("_range", "_place")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.sources.tagged_text import Tables
@@ -39,8 +39,17 @@ def article_date(date: Column, year: Column) -> Column:
 
 def read_bioc(spark: SparkSession, path: str, full_text: bool = False) -> Tables:
     """Articles that have a title and an abstract, with the annotations of these passages, or of all with full_text."""
-    docs = spark.read.schema(SCHEMA).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode("PubTator3").alias("pos", "a"))
-    d = docs.withColumn("article_seq", F.monotonically_increasing_id()).select("article_seq", "a.*")
+    files = spark.read.schema(SCHEMA).json(path, multiLine=True)
+    return bioc_tables(files.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("part"), "PubTator3"), full_text)
+
+
+def bioc_tables(files: DataFrame, full_text: bool = False) -> Tables:
+    """Tables of collections (path, part, PubTator3), parts in the order of their path. Article numbers follow path and place."""
+    docs = files.select("path", "part", F.posexplode("PubTator3").alias("pos", "a"))
+    counts = files.groupBy("path").agg(F.sum(F.size("PubTator3")).alias("n"))  # a row for each file
+    base = counts.select(F.col("path").alias("p"), (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("base"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("part", "pos")) - 1
+    d = docs.withColumn("place", place).join(base, F.col("path") == F.col("p")).withColumn("article_seq", F.col("base") + F.col("place")).select("article_seq", "a.*")
     has = lambda p, upper: (F.upper(F.coalesce(p["infons"]["section_type"], F.lit(""))) == upper) | (F.lower(F.coalesce(p["infons"]["type"], F.lit(""))) == upper.lower())
     titles, abstracts = F.filter("passages", lambda p: has(p, "TITLE")), F.filter("passages", lambda p: has(p, "ABSTRACT"))
     d = d.withColumn("titles", titles).withColumn("abstracts", abstracts).where((F.size("titles") > 0) & (F.size("abstracts") > 0))
