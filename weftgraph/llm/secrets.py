@@ -1,8 +1,9 @@
 """Secret scans: patterns find candidates, a random forest takes out false positives.
 
 The forest sees a candidate's length and form, transitions between character classes, the share of it that a
-dictionary covers, the path it was found under and the words beside it. It is grown here, from labelled findings:
-the caller's, or `labelled_findings`, generated by rule with a fixed seed (a documented bound of 6,000 rows).
+dictionary covers, the path it was found under and the words beside it. The dictionary is learned from the corpus: the words
+that a given share of all documents hold. The forest is grown here, from labelled findings: the caller's, or
+`labelled_findings`, made by rule with a fixed seed (a documented bound of 6,000).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.llm.common import append_columns, column, small_batches
 
@@ -27,9 +29,6 @@ NEAR = 40
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "login")
 HARMLESS_WORDS = ("commit", "sha", "md5", "checksum", "hash", "uuid", "guid", "id", "isbn", "doi", "http", "https", "url", "example", "digest", "version", "phone")
 HARMLESS_PATHS = ("test", "example", "docs", "fixture", "sample", "lock")
-DICTIONARY = (
-    "about access account admin after again agent alpha apple april array author beta black blue book build cache change class client cloud code common config count data date default demo dummy element error event example false field file final first foo format green group hello home host image index input item java label large letter level light limit line list local login long main manager master member message model module month name network node null number object open order other page parent part password path people place placeholder plain point price public query random range report request result right root sample secret section server service session setting simple single small source space spring start state string style summer system table target template test text that there thing this time title token tree true type under update upload user value version view water welcome white window winter with word work world write year your"
-).split()
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xox", "sk-", "sk_", "AIza", "eyJ", "glpat-")
 FEATURES = 18
 
@@ -70,23 +69,27 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return whole
 
 
+def learn_dictionary(docs: DataFrame, share: float = 0.002, text: str = "text") -> frozenset[str]:
+    """Words of 4 to 12 letters a to z, in whatever case, that at least this share of the rows hold.
+
+    Counted over all rows. At most (mean number of distinct words of a row) / share words can reach it, so the result fits
+    the driver whatever the corpus.
+    """
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w).between(4, 12))
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count()
+    least = share * docs.count()
+    return frozenset(r["word"] for r in counts.where(F.col("count") >= least).select("word").collect())
+
+
 def _dictionary_share(s: str, words: frozenset[str]) -> float:
     low, n, i = s.lower(), 0, 0
     while i < len(low):
-        for k in (11, 10, 9, 8, 7, 6, 5, 4, 3):
-            if low[i : i + k] in words:
-                n += k
-                i += k
-                break
-        else:
-            i += 1
+        k = next((k for k in range(12, 3, -1) if low[i : i + k] in words and len(low) - i >= k), 0)
+        n, i = n + k, i + (k or 1)
     return n / max(1, len(s))
 
 
-_words = frozenset(w for w in DICTIONARY)
-
-
-def features(value: str, before: str, after: str, path: str) -> list[float]:
+def features(value: str, before: str, after: str, path: str, words: frozenset[str] = frozenset()) -> list[float]:
     kind = [0 if c.isdigit() else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 for c in value]
     n, near = len(value), re.findall(r"[a-z0-9]+", f"{before} {after}".lower())
     seen = [value.count(c) / n for c in set(value)]
@@ -98,7 +101,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         sum(a != b for a, b in zip(kind, kind[1:])) / max(1, n - 1),
         *(kind.count(k) / n for k in range(4)),
         sum(c in "aeiou" for c in letters) / max(1, len(letters)),
-        _dictionary_share(value, _words),
+        _dictionary_share(value, words),
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
         float(len(set(value))),
         max((len(m.group()) for m in re.finditer(r"(.)\1*", value)), default=0) / n,
@@ -111,37 +114,49 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: a secret) of n findings, made by rule."""
+def labelled_findings(n: int = 6000, seed: int = 5, words: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: a secret) of n findings, half of them secrets, made by rule from what such strings are.
+
+    Secrets: keys of random hex or base64 characters, key ids and tokens with a public prefix, three-part web tokens, and passwords
+    that people make of a word, digits and signs. Others: digests and identifiers of what is public, numbers, paths, names
+    of variables, placeholders and versions. Both kinds stand under telling names and in plain text, and in all kinds of files.
+    words are those that names are made of, the corpus's own where it is given.
+    """
     rng = np.random.default_rng(seed)
-    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    low, up, num, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     pick = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     choose = lambda xs: xs[int(rng.integers(0, len(xs)))]
-    filler = lambda: " ".join(pick("etaoinshrdlu", int(rng.integers(2, 8))) for _ in range(4)) + " "
+    known = sorted(words) or ["".join(choose(("ba", "ke", "li", "mo", "nu", "ra", "se", "ti")) for _ in range(3)) for _ in range(50)]
+    word = lambda: choose(known)
+    size = lambda a, b: int(rng.integers(a, b))
+    secrets = (
+        lambda: pick(hexes, choose((16, 18, 20, 32, 40, 64))), lambda: pick(low + up + num, size(18, 48)), lambda: pick(low + up + num + "+/", 4 * size(5, 16)) + choose(("", "=", "==")), lambda: choose(("AKIA", "ASIA")) + pick(up + num, 16),
+        lambda: choose(PREFIXES) + pick(low + up + num, size(24, 40)), lambda: "eyJ" + pick(low + up + num, 20) + "." + pick(low + up + num + "-_", 40) + "." + pick(low + up + num + "-_", 30), lambda: word().capitalize() + pick(num, size(2, 5)) + choose("!#$%&*?") + choose(("", pick(low, 3))),
+        lambda: pick(low + up + num + "!#$%&*-_", size(10, 24)),
+    )
+    others = (
+        lambda: pick(hexes, choose((32, 40, 64))), lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: "/".join(word() for _ in range(4)) + "/" + pick(num, 3), lambda: "_".join(word() for _ in range(3)) + pick(num, size(0, 3)),
+        lambda: pick(num, size(16, 30)), lambda: choose(("x", "*", "0", "-")) * size(8, 30), lambda: "your_" + word() + "_" + choose(("here", "token", "key")), lambda: "-".join((word(), word(), pick(num, 6), word())),
+        lambda: ".".join(pick(num, size(1, 4)) for _ in range(4)) + "-" + word() + pick(num, 4), lambda: word() + word() + pick(num, 3), lambda: "os.environ[" + word().upper() + "_KEY]",
+    )
+    plain = lambda k: " ".join(word() for _ in range(k))
     x, y = [], []
     for i in range(n):
-        name, path = choose(("token", "secret", "password", "api_key", "auth", "access_key", "pwd")), choose(("src0", "web", "forum", "config", "app/settings", "src7"))
-        before, after = filler(), " " + filler()
-        if i % 2:
-            form = int(rng.integers(0, 5))
-            value = (pick("0123456789abcdef", choose((16, 18, 20, 32, 40, 64))), pick(b64, int(rng.integers(18, 48))), "AKIA" + pick(b64[:26] + "0123456789", 16), choose(PREFIXES) + pick(b64, 36), pick(b64 + "-_", int(rng.integers(12, 24))))[form]
-            if form not in (2, 3) or rng.random() < 0.3:
-                before += name + choose(("=", " = ", ': "', ' = "', ":"))
+        label = i % 2
+        form = size(0, len(secrets if label else others))
+        value, name = (secrets if label else others)[form](), choose(("token", "secret", "password", "api_key", "auth", "access_key", "pwd", "passwd"))
+        before, after = plain(4) + " ", " " + plain(4)
+        lead = choose((f"{name}=", f"{name} = ", f'{name}: "', f'{name} = "', f"{name}:"))
+        told = choose(("commit ", "sha256: ", "md5 ", "checksum=", "uuid ", "https://host/", "id ", "isbn ", "version ", "phone "))
+        if label:  # random keys without a prefix are secrets only under a telling name
+            before += lead if form not in (3, 4, 5) or rng.random() < 0.4 else ""
+        elif form in (3, 5, 6, 9, 10):
+            before += choose((lead, "", told))
         else:
-            form = int(rng.integers(0, 8))
-            before += choose(("commit ", "sha256: ", "md5 ", "checksum=", "uuid ", "https://host/", "id ", "isbn ", ""))
-            word = lambda: choose(DICTIONARY)
-            value = (
-                pick("0123456789abcdef", choose((32, 40, 64))), "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), "/".join(word() for _ in range(4)) + pick("0123456789", 3), word() + "_" + word() + "_" + word() + pick("0123456789", 2),
-                pick("0123456789", int(rng.integers(16, 30))), "x" * int(rng.integers(8, 30)) + "1", word() + word() + pick("0123456789", 3), word() + "-" + word() + "-" + pick("0123456789", 6) + "-" + word(),
-            )[form]
-            if form in (0, 4) and before.endswith("  "):
-                before += "commit "
-            if form in (3, 5, 6) and rng.random() < 0.5:
-                before = filler() + name + "="
-            path = choose(("src0", "docs/example", "tests/fixture", "web", "package.lock", "src3"))
-        x.append(features(value, before[-NEAR:], after[:NEAR], path))
-        y.append(i % 2)
+            before += told if form == 0 or rng.random() < 0.6 else ""
+        path = choose(("src0", "web", "forum", "config", "app/settings", "src7", "tests/fixture" if not label else "deploy", "docs/example" if not label else "src3"))
+        x.append(features(value, before[-NEAR:], after[:NEAR], path, words))
+        y.append(label)
     return np.array(x), np.array(y)
 
 
@@ -191,25 +206,28 @@ class Forest:
         return total / len(self.trees)
 
 
-def scan(docs: DataFrame, findings: tuple[np.ndarray, np.ndarray] | None = None, threshold: float = 0.5, text: str = "text", path: str = "source") -> DataFrame:
+def scan(docs: DataFrame, findings: tuple[np.ndarray, np.ndarray] | None = None, threshold: float = 0.5, text: str = "text", path: str = "source", dictionary: frozenset[str] | None = None) -> DataFrame:
     """docs with n_candidates, secrets (array of start, end, score; character offsets) and redacted, the text with each secret as [SECRET].
 
-    A null or empty text has no candidates and stays as it is; a null path counts as empty. Texts are read whole.
-    Repeated rows are judged alike; other columns stay as they are.
+    dictionary: words for the coverage feature, learned from docs if not given; findings must have been made with the same one.
+    A null or empty text has no candidates and stays as it is; a null path counts as empty. Texts are read whole. Spans are disjoint.
+    Repeated rows are judged alike; other columns stay as they are, but one named like a new one is replaced. No rows, no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    forest = Forest(*(findings or labelled_findings()))
-    shared = spark.sparkContext.broadcast(forest)  # at most trees * 2**(depth + 1) nodes
+    words = learn_dictionary(docs, text=text) if dictionary is None else dictionary
+    forest = Forest(*(findings or labelled_findings(words=words)))
+    shared = spark.sparkContext.broadcast((forest, words))  # at most trees * 2**(depth + 1) nodes, and the words of learn_dictionary
 
     def run(b: pa.RecordBatch) -> list:
+        forest, words = shared.value
         texts, paths = column(b, text).to_pylist(), column(b, path).to_pylist()
         at, x = [], []
         for i, t in enumerate(texts):
             for s, e in candidates(t) if t else ():
                 at.append((i, s, e))
-                x.append(features(t[s:e], t[max(0, s - NEAR) : s], t[e : e + NEAR], paths[i] or ""))
-        score = shared.value.predict(np.array(x)) if x else []
+                x.append(features(t[s:e], t[max(0, s - NEAR) : s], t[e : e + NEAR], paths[i] or "", words))
+        score = forest.predict(np.array(x)) if x else []
         count, found = [0] * len(texts), [[] for _ in texts]
         for (i, s, e), p in zip(at, score):
             count[i] += 1
