@@ -303,7 +303,8 @@ def _shared(b, i):
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with n_tokens and token_ids (binary, little-endian unsigned 32-bit integers).
 
-    A null text counts as empty: no tokens and empty binary. Repeated rows and other columns stay as they are.
+    A null text counts as empty: no tokens and empty binary. Repeated rows and other columns stay as they are; a column
+    of docs named like a new one is replaced, as in digests and decode_documents. No rows, no result.
     """
     shared = _share(docs, ranks_path, pattern)
 

@@ -151,7 +151,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the cosine with the prototype, negative ones as 0.
 
     A null text, or one without letters, is `und` with score 0, as is any text if the model has no language.
-    Repeated rows are judged alike; rows and other columns stay as they are.
+    Ties go to the smaller name. Repeated rows are judged alike; rows and other columns stay as they are, but one named like a new
+    one is replaced. No rows, no result.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -75,5 +75,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_array_dedup, op2_secret_scan, op3_source_mix, op4_language_id, op5_kmeans_tree_search, op6_url_filter, op7_ngram_join, op8_token_counts, op9_byte_bpe, op10_embedding_dedup)
 }
 
-#: None of the ten can be said in SQL on whole tables in the time of a check; tests/llm holds each against brute force.
-ORACLE_SQL: dict[str, str] = {}
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs, and components by recursion. The other eight hold hashes, models, schedules or tokens that SQL cannot say; tests/llm
+#: holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{CAPITALS}', '{SMALL}'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN LEN(w) = 0 THEN [] WHEN LEN(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, LEN(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END s FROM w),
+x AS (SELECT doc_id, LEN(s) n, UNNEST(s) g FROM s),
+l AS (SELECT a.doc_id a, b.doc_id b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 90 * (a.n + b.n - COUNT(*))),
+r(n, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.m FROM r JOIN l ON r.n = l.a)
+SELECT doc_id, LEN(s)::BIGINT AS n_shingles, c::BIGINT AS component_id FROM s JOIN (SELECT n, MIN(m) c FROM r GROUP BY n) ON n = doc_id""",
+    "op10_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+g AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE),
+r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON r.n = l.a),
+c AS (SELECT n, MIN(m) m FROM r GROUP BY n), k AS (SELECT a, COUNT(*) k FROM l GROUP BY a)
+SELECT vec_id, COALESCE(k, 0)::BIGINT AS n_links, m::BIGINT AS component_id, vec_id = m AS kept FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON a = vec_id""",
+}

@@ -97,7 +97,11 @@ def _counter(shared, key: int):
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """docs with n_words and n_pieces of each whole text; both 0 for a null or empty one. Other columns stay."""
+    """docs with n_words and n_pieces of each whole text; both 0 for a null or empty one.
+
+    Pieces are those of the vocabulary without marks of word ends: initial, inner and last pieces are one set, so counts are of
+    greedy longest match over that set. Repeated rows are counted alike; no rows, no result; a column of df named like one of these is replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))  # a vocabulary file, of fixed size
