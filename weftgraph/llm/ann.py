@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a sample of at most `sample` vectors, the smallest by a hash of their ids, brought to unit length.
+The tree is fitted on a sample: a sixteenth of the vectors, but LEAST_SAMPLE at least and `sample` at most, those of the smallest
+hash of their ids, brought to unit length. So leaves grow with the table up to that documented bound.
 Every vector is put into the leaf that nearest centroids lead to. A query walks the tree through a priority queue of
 nodes by the distance of their centroids and visits the leaves in the order in which they leave the queue. How many it
 visits is calibrated: on queries from the sample, leaves are added until the recall against brute force over the
-sample reaches `recall`. Leaves and their visitors meet in tasks of bounded size, so a hot leaf is split.
+sample reaches `recall`. Leaves and their visitors meet in tasks of bounded size, so a hot leaf is split. Last, the results
+of AUDIT queries are held against brute force over all vectors: below `least_recall`, visits double and the search runs again.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from weftgraph.llm.common import append_columns, column, whole_groups
 from weftgraph.llm.vectors import common_length, cosine, matrix, unit, usable
 from weftgraph.session import materialize
 
-SAMPLE, BRANCH, LEAF, PART_ROWS = 8192, 8, 64, 4000
+SAMPLE, LEAST_SAMPLE, BRANCH, LEAF, PART_ROWS, AUDIT = 131_072, 8192, 8, 64, 4000, 128
 
 
 class Tree:
@@ -92,7 +94,7 @@ class Tree:
         return next((n for n in range(step, self.leaves, step) if found[n] >= recall), self.leaves)
 
 
-def search(vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.96, sample: int = SAMPLE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.96, least_recall: float = 0.9, sample: int = SAMPLE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that fulfils the SQL condition is_query.
 
     Nearest by cosine in double precision, ties to the smaller id; a query's own id is no candidate. Rows with a null id
@@ -103,13 +105,50 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.96,
     dims = common_length(good, "v")
     good = good.where(F.size("v") == dims)
     spark = vectors.sparkSession
-    x = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v")
+    x = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEAST_SAMPLE, min(sample, good.count() // 16))).select("v").toArrow().column("v")
     x = matrix(x)
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = unit(x)
     tree = Tree(x)
     visits = tree.calibrate(x, k, recall)
+    probe = good.where("asks").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(AUDIT).select("vec_id", "v").toArrow()
+    while True:
+        found = _found(good, tree, visits, k)
+        if visits >= tree.leaves or _recall(good, probe, found, k) >= least_recall:
+            return found
+        visits = min(2 * visits, tree.leaves)
+
+
+def _recall(good: DataFrame, probe: pa.Table, found: DataFrame, k: int) -> float:
+    """The share of the k nearest of the probes, by brute force over all vectors, that were found or others as near."""
+    if not probe.num_rows:
+        return 1.0
+    shared = good.sparkSession.sparkContext.broadcast((probe.column("vec_id").to_numpy(), matrix(probe.column("v"))))  # AUDIT vectors
+
+    def best(batches):
+        ids, v = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            score, other = unit(v) @ unit(matrix(column(b, "v"))).T, column(b, "vec_id").to_numpy()
+            score[ids[:, None] == other] = -3
+            top = -np.sort(-score, axis=1)[:, :k]
+            q, s = np.repeat(ids, top.shape[1]), top.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(q[s > -3]), pa.array(s[s > -3])], ["query_id", "true"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("true")))
+    true = good.select("vec_id", "v").mapInArrow(best, "query_id long, true double").withColumn("rank", rank).where(F.col("rank") <= k)
+    last = true.groupBy("query_id").agg(F.min("true").alias("last"), F.count("*").alias("n"))
+    hits = F.count_if(F.col("score") >= F.col("last") - 1e-9)
+    shares = last.join(found.select("query_id", "score"), "query_id", "left").groupBy("query_id", "n").agg(F.least(hits, F.col("n")).alias("hits"))
+    row = shares.agg(F.sum("hits"), F.sum("n")).first()
+    return row[0] / row[1] if row[1] else 1.0
+
+
+def _found(good: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
+    """The k nearest found with so many leaf visits, written down."""
+    spark = good.sparkSession
     shared = spark.sparkContext.broadcast((tree, visits))  # at most 2 * sample centroids
 
     def place(b: pa.RecordBatch) -> list:
@@ -153,4 +192,4 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.96,
 
     near = rows.repartition(*cols).sortWithinPartitions(*cols, "role", "vec_id").mapInArrow(nearest, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return materialize(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
