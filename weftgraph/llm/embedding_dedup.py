@@ -4,9 +4,10 @@
 1. Start: vectors that share a label and the signs of random projections are compared, at most AHEAD apart in the order
    of one more projection. The number of signs grows with the label, so that a bucket keeps within that window; the
    number of tables grows with the signs, so that a pair at the threshold shares a bucket with a chance of 1 - MISS.
-2. Descent: neighbours of a common neighbour are compared, and each list keeps its best. A list whose members all reach
-   the threshold is saturated and doubles its length. Lists only hold vectors within `slack` of the threshold: they
-   fill in dense places, and pairs far from all others are left to the tables.
+2. Descent: neighbours of a common neighbour are compared, and each list keeps its best, round by round until next to
+   nothing new comes in. A list whose members all reach the threshold is saturated and doubles its length, again and again,
+   up to MOST_LIST; what has no room then is left to step 3, which is exact. Lists only hold vectors within `slack` of the
+   threshold: they fill in dense places, and pairs far from all others are left to the tables.
 3. Threshold edges: components of all links met in 1 and 2, also of those that a list had no room for, are compared
    exactly, block by block, which counts every link of a dense group without a row for each pair.
 4. Audit: for a bounded sample of vectors, links found are held against brute force over all rows; if the mean recall
@@ -28,7 +29,9 @@ from weftgraph.llm.vectors import common_length, cosine, matrix, unit, usable
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
-AHEAD, LIST, AUDIT, MISS, MOST = 128, 8, 512, 1e-4, 40
+AHEAD, LIST, MOST_LIST, AUDIT, MISS, MOST = 128, 8, 64, 512, 1e-4, 40
+#: A descent has settled when a round brings fewer than this share of new entries.
+SETTLED = 0.001
 
 
 def _needed(bits: int, threshold: float) -> int:
@@ -125,13 +128,14 @@ def _compare(floor: float, threshold: float):
 
 
 def _best(edges: DataFrame, threshold: float, length: int) -> DataFrame:
-    """Directed lists (u, v, s), the best first; a list whose best `length` all reach the threshold may be twice as long."""
+    """Directed lists (u, v, s) of the best `length`; while all entries of a list reach the threshold it may be twice as long, up to MOST_LIST."""
     both = edges.select("u", "v", "s").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).where("u <> v")
     both = both.groupBy("u", "v").agg(F.max("s").alias("s"))
     w = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    ranked = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * length)
-    full = F.min(F.when(F.col("r") <= length, F.col("s"))).over(Window.partitionBy("u")) >= threshold
-    return ranked.withColumn("full", full).where((F.col("r") <= length) | F.col("full")).select("u", "v", "s")
+    ranked = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= MOST_LIST)
+    near = F.count_if(F.col("s") >= threshold).over(Window.partitionBy("u"))
+    doubled = F.lit(length) * F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(near / length, F.lit(0.5)))) + 1)  # the first length above the near ones
+    return ranked.withColumn("room", F.greatest(doubled, F.lit(float(length)))).where(F.col("r") <= F.col("room")).select("u", "v", "s")
 
 
 def _exact(threshold: float):
@@ -164,7 +168,7 @@ def _exact(threshold: float):
     return run
 
 
-def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, recall: float = 0.99, rounds: int = 3, descents: int = 2) -> DataFrame:
+def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, recall: float = 0.99, rounds: int = 3, descents: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id long, embedding array, label int).
 
     Rows link when their labels are equal and their cosine, in double precision, reaches the threshold. A null id, a
@@ -193,7 +197,10 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
             link = met.where(F.isnan("s")).select("u", "v")
             near = link if near is None else near.unionByName(link)
             scored = met.where(~F.isnan("s"))
+            old = found
             found = materialize(_best(scored if found is None else found.unionByName(scored), threshold, LIST), "lists")
+            if step and found.join(old, ["u", "v"], "left_anti").count() <= SETTLED * found.count():
+                break
         groups = connected_components(near)
         sized = groups.withColumn("bytes", F.lit(8 * max(1, dims)))
         tasks = block_pairs(sized, 2000, 32_000_000).join(nodes.select("node", "v", "weight"), "node")
