@@ -11,7 +11,8 @@ ahead in the same one. Suffixes that matter only in their first `length` bytes n
 3. Second refinement, only for the earliest runs of buckets that hold several classes: a bucket for each window at its
    own later offset. All but the earliest window of such a bucket are repeats.
 
-A string is identified by 128 bits: the hash of its q-gram and of its hull, or two hashes of the whole window. Within a map task, runs and windows met before are marked there and not
+A run's hull is identified by 128 bits, the hash of its q-gram and its own; a window by 80, one hash and 16 bits of
+another (10^11 windows share one by chance once in some hundred corpora). Within a map task, runs and windows met before are marked there and not
 sent, so a hot passage sends one row for each task; what is left is sorted and read as a stream.
 """
 
@@ -31,7 +32,8 @@ Q = 32
 CHUNK_BYTES = 2_000_000
 #: Runs or windows gathered by a map task before they are sent.
 FLUSH_ROWS = 1_500_000
-#: Two independent hashes; together they identify a string.
+#: Two independent hashes; of the second, windows carry only some bits, as every byte of a row counts on disk.
+MORE_BITS = U64(0xFFFF)
 _roll, _other = Roll(13), Roll(29)
 RUN = "key long, hull long, doc long, start int, n int"
 
@@ -210,7 +212,7 @@ def _find_windows(length: int):
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 at = at[at + length <= len(data)]
                 key = _roll.spans(_roll.prefix(data), at, at + length)
-                parts.append((key, _other.spans(_other.prefix(data), at, at + length), np.full(len(at), d), at, np.ones(len(at), np.int64)))
+                parts.append((key, _other.spans(_other.prefix(data), at, at + length) & MORE_BITS, np.full(len(at), d), at, np.ones(len(at), np.int64)))
                 held += len(at)
                 if held >= FLUSH_ROWS:
                     yield from _sent(parts)
