@@ -347,7 +347,7 @@ def _verify(words: int, threshold: Fraction):
 
 
 def _pack(b: pa.RecordBatch) -> list:
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     return [[None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in column(b, "text").to_pylist()]]
 
 

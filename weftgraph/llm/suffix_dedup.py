@@ -12,7 +12,7 @@ ahead in the same one. Suffixes that matter only in their first `length` bytes n
    own later offset. All but the earliest window of such a bucket are repeats.
 
 A run's hull is identified by 128 bits, the hash of its q-gram and its own; a window by 80, one hash and 16 bits of
-another (10^11 windows share one by chance once in some hundred corpora). Within a map task, runs and windows met before are marked there and not
+another. Of 10^13 windows, about what 100 TB of text sends, some 40 share one by chance. Within a map task, runs and windows met before are marked there and not
 sent, so a hot passage sends one row for each task; what is left is sorted and read as a stream.
 """
 
