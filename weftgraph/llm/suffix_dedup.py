@@ -11,8 +11,8 @@ ahead in the same one. Suffixes that matter only in their first `length` bytes n
 3. Second refinement, only for the earliest runs of buckets that hold several classes: a bucket for each window at its
    own later offset. All but the earliest window of such a bucket are repeats.
 
-A run's hull is identified by 128 bits, the hash of its q-gram and its own; a window by 80, one hash and 16 bits of
-another. Of 10^13 windows, about what 100 TB of text sends, some 40 share one by chance. Within a map task, runs and windows met before are marked there and not
+A run's hull is identified by 128 bits, the hash of its q-gram and its own; a window by 96, one hash and 32 bits of
+another. Of 10^13 windows, about what 100 TB of text sends, the chance that any two share one is below 1 in 1,000. Within a map task, runs and windows met before are marked there and not
 sent, so a hot passage sends one row for each task; what is left is sorted and read as a stream.
 """
 
@@ -33,7 +33,7 @@ CHUNK_BYTES = 2_000_000
 #: Runs or windows gathered by a map task before they are sent.
 FLUSH_ROWS = 1_500_000
 #: Two independent hashes; of the second, windows carry only some bits, as every byte of a row counts on disk.
-MORE_BITS = U64(0xFFFF)
+MORE_BITS = U64(0xFFFFFFFF)
 _roll, _other = Roll(13), Roll(29)
 RUN = "key long, hull long, doc long, start int, n int"
 
@@ -117,7 +117,7 @@ def _covered(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatc
 def _sent(parts: list[tuple]):
     key, hull, doc, start, n = (np.concatenate(c) for c in zip(*parts))
     order, first = _earliest([key, hull], doc, start)
-    kept, gone = order[first], order[~first]
+    kept, gone = np.sort(order[first]), order[~first]  # neighbours of one document compress each other
     yield _batch(key[kept], hull[kept], doc[kept], start[kept], n[kept])
     if (c := _covered(doc[gone], start[gone], np.abs(n[gone]))) is not None:
         yield c
