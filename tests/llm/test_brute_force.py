@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, byte_bpe, embedding_dedup, language_id, mixing, ngram_join, secrets, suffix_dedup, token_counts, url_filter
+from weftgraph.llm import ann, byte_bpe, common, embedding_dedup, language_id, mixing, ngram_join, secrets, suffix_dedup, token_counts, url_filter
 from weftgraph.llm.queries import RULES, tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -308,6 +308,7 @@ def test_groups_beyond_a_task(spark, monkeypatch):
     for x, y in ((0, n - 1), (5, 6), (100, 4400)):
         assert any({x, y} <= g for g in met.values())
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 11)
     r = random.Random(6)
     base = [r.choice(WORDS) + str(k) for k in range(80)]
     rows = []
@@ -329,8 +330,37 @@ def test_groups_beyond_a_task(spark, monkeypatch):
             if a < c and 5 * len(sets[a] & sets[c]) >= 4 * len(sets[a] | sets[c]):
                 p, q = find(a), find(c)
                 root[max(p, q)] = min(p, q)
-    got = {x.doc_id: x.component_id for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.join(d).collect()}
     assert got == {k: find(k) for k in sets}
+    # one candidate component of all: chains, a group of near copies, and rows like none
+    same = [(k, " ".join([*base[:79], f"end{k}"])) for k in range(100, 140)]
+    alone = [(k, " ".join(f"{k}x{j}" for j in range(80))) for k in range(200, 230)]
+    rows = [*rows[:20:2], *rows[20:], *same, *alone]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(76)} for k, t in rows}
+    sized = spark.createDataFrame([(k, min(sets), len(t)) for k, t in rows], "node long, component long, bytes long")
+    links = ngram_join._links(sized, spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5)).collect()
+    assert all(5 * len(sets[x.u] & sets[x.v]) >= 4 * len(sets[x.u] | sets[x.v]) for x in links)
+
+    def classes(pairs):
+        root.update({k: k for k in sets})
+        for p, q in ((find(a), find(c)) for a, c in pairs):
+            root[max(p, q)] = min(p, q)
+        return {k: find(k) for k in sets}
+
+    true = classes((a, c) for a in sets for c in sets if a < c and 5 * len(sets[a] & sets[c]) >= 4 * len(sets[a] | sets[c]))
+    assert classes((x.u, x.v) for x in links) == true and len(set(true.values())) > 30
+
+
+def test_blocks_beside_the_largest_class(spark):
+    """Every pair with a row outside the main class shares a task, from two sides or in one block; pairs of main rows need none."""
+    m = spark.createDataFrame([(k, c, 1, c == 2 or k % 5 > 0) for c in (1, 2) for k in range(60)], "node long, component long, bytes long, main boolean")
+    tasks = defaultdict(list)
+    for x in common.block_pairs_beside(m, 7, 1000).collect():
+        tasks[x.component, x.i, x.j].append(x)
+    assert {c for c, *_ in tasks} == {1}
+    met = {(a.node, b.node) for (_, i, j), g in tasks.items() for a in g for b in g if i == j or a.side != b.side}
+    assert all((a, b) in met for a in range(60) for b in range(60) if a % 5 == 0 or b % 5 == 0)
 
 
 def test_pipeline_against_plain_stages(spark, tmp_path):

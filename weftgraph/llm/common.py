@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
@@ -156,6 +156,13 @@ def whole_groups_many(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[p
         yield carry
 
 
+def blocks_of(members: DataFrame, rows: int, size: int, part: str = "component") -> DataFrame:
+    """(component, part, blocks): into how many blocks of at most about `rows` members and `size` bytes each part of a component is cut."""
+    sums = members.groupBy(*dict.fromkeys(["component", part])).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("b") / size), F.lit(1)).alias("blocks")
+    return sums.select(*dict.fromkeys(["component", part]), blocks)
+
+
 def block_pairs(members: DataFrame, rows: int, size: int) -> DataFrame:
     """members (node, component, bytes) with the tasks that compare a component's members: columns i, j and side.
 
@@ -163,9 +170,27 @@ def block_pairs(members: DataFrame, rows: int, size: int) -> DataFrame:
     hash, and every pair of blocks i <= j is a task, so that no task ever holds more than two blocks. side says
     which of the two blocks a row belongs to.
     """
-    sums = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    blocks = sums.select("component", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("b") / size), F.lit(1)).alias("blocks"))
-    m = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m = members.join(blocks_of(members, rows, size), "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    return _paired(m, F.lit(0).cast("long"), F.col("blocks"), "node", "component")
+
+
+def block_pairs_beside(members: DataFrame, rows: int, size: int) -> DataFrame:
+    """As block_pairs for members with a column main, whose pairs among main rows need no task: blocks of main rows meet only those of others.
+
+    Where n of a component's rows are main and m are not, some n * m / rows + m * m / rows rows are dealt, not (n + m)^2 / rows.
+    The rows keep their columns.
+    """
+    parts = blocks_of(members, rows, size, "main").groupBy("component")
+    parts = parts.agg(F.sum(F.when(F.col("main"), F.col("blocks")).otherwise(0)).alias("mains"), F.sum("blocks").alias("blocks"))
+    m = members.join(parts, "component")
+    h = F.xxhash64("node")
+    m = m.withColumn("own", F.when(F.col("main"), F.pmod(h, F.nullif("mains", F.lit(0)))).otherwise(F.col("mains") + F.pmod(h, F.nullif(F.col("blocks") - F.col("mains"), F.lit(0)))))
+    m = m.where(~F.col("main") | (F.col("mains") < F.col("blocks")))  # no others, nothing to meet
+    return _paired(m, F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0)).cast("long"), F.col("blocks"), *members.columns)
+
+
+def _paired(m: DataFrame, first: Column, blocks: Column, *keep: str) -> DataFrame:
+    """m, a row for each block from `first` on that its own block meets."""
+    m = m.withColumn("other", F.explode(F.sequence(first, blocks - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    return m.select("node", "component", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"))
+    return m.select(*keep, i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"))

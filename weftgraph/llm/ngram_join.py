@@ -14,7 +14,10 @@ similarity reaches the threshold.
    a node is at most the sum over coordinates of the smaller of its own count and the box's upper edge. What is left
    is verified on the shingles themselves; links give the final components.
 
-Buckets and components above a bounded size are compared block by block, so no task holds an unbounded group.
+Buckets and components above a bounded size are compared block by block, so no task holds an unbounded group. A large
+component is first compared inside its blocks; of the classes found there one row each meets those of other blocks; and
+only where a component still holds several classes do the rows outside its largest class meet all others. A group of
+near copies, however large, is one class by then, so the work on it grows with its rows, not with their square.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, column, lean, mix64, small_batches, whole_groups, whole_groups_many
+from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, block_pairs_beside, blocks_of, column, lean, mix64, small_batches, whole_groups, whole_groups_many
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
@@ -42,7 +45,9 @@ LEAF = 16
 CHUNK_BYTES = 500_000
 #: Sets that a map task remembers to find exact copies.
 KNOWN_SETS = 100_000
-BLOCK_ROWS, BLOCK_BYTES = 2000, 8_000_000
+BLOCK_ROWS, BLOCK_BYTES = 500, 8_000_000
+#: Blocks of rows that must meet the rows of other blocks: larger ones are copied less often.
+PAIR_ROWS = 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _roll = Roll(7)
@@ -310,12 +315,12 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(where * GROUPS + group, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, ids: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect what is connected; with two sides, only links across are looked for."""
+def linked(sets: list[np.ndarray], side: np.ndarray, ids: np.ndarray, threshold: Fraction, root: np.ndarray) -> list[tuple[int, int]]:
+    """Links (larger id, smaller id) that connect what is connected and does not yet share a root; with two sides, only links across are looked for."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    sets, side, ids = [sets[i] for i in order], side[order], ids[order]
+    sets, side, ids, root = [sets[i] for i in order], side[order], ids[order], root[order]
     vectors, sizes = _counts(sets), np.array([len(s) for s in sets])
-    tree, root = RTree(vectors, sizes), np.arange(len(sets))
+    tree = RTree(vectors, sizes)
     across, t, p, q, out = side.min() != side.max(), float(threshold), threshold.numerator, threshold.denominator, []
     for i in range(len(sets)):
         near = tree.search(vectors[i], int(sizes[i]), t)
@@ -337,11 +342,14 @@ def _verify(words: int, threshold: Fraction):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for g in whole_groups(batches, ["component", "i", "j"]):
-            ids, side = g.column("node").to_numpy(), g.column("side").to_numpy()
+            ids, side, root = g.column("node").to_numpy(), g.column("side").to_numpy(), g.column("class").to_numpy()
+            if (root == root[0]).all():
+                continue
             sets = shingle_sets((unpack.decompress(z.as_py()) for z in g.column("packed")), words)
-            if len(ids) > 1 and (pairs := linked(sets, side, ids, threshold)):
+            if pairs := linked(sets, side, ids, threshold, root):
                 u, v = np.array(pairs, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                cut = pa.array(np.full(len(u), g.column("cut")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), cut], ["u", "v", "cut"])
 
     return run
 
@@ -356,6 +364,39 @@ def packed(docs: DataFrame) -> DataFrame:
     return append_columns(docs.select("doc_id", "text"), "packed binary", _pack).select("doc_id", "packed")
 
 
+def _links(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """(u, v): links that connect all that is connected within the components of sized (node, component, bytes)."""
+
+    def verified(tasks: DataFrame, texts: DataFrame) -> DataFrame:
+        tasks = materialize(tasks.select("node", "component", "class", "cut", "i", "j", "side"), "blocks")
+        texts = tasks.join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").repartition("component", "i", "j")
+        texts = texts.sortWithinPartitions("component", "i", "j", "node")
+        return materialize(texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long, cut boolean"), "links")
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = sized.join(blocks_of(sized, BLOCK_ROWS, BLOCK_BYTES), "component").withColumn("cut", F.col("blocks") > 1)
+    dealt = dealt.withColumns({"class": F.col("node"), "i": block, "j": block, "side": F.lit(0)})
+    texts = packed(rows.where("text is not null"))
+    inside = verified(dealt, texts)
+    large = materialize(dealt.where("cut").select("node", "component", "bytes", "cut"), "large")
+    if large.isEmpty():
+        return inside.select("u", "v")
+    texts = materialize(texts.join(large, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
+
+    def classes(links: DataFrame) -> DataFrame:
+        known = connected_components(links.where("cut")).select("node", F.col("component").alias("class"))
+        return materialize(large.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes")
+
+    first = classes(inside).where("class = node").drop("class")  # a class is named after its smallest row
+    among = verified(block_pairs(first, PAIR_ROWS, BLOCK_BYTES).withColumns({"class": F.col("node"), "cut": F.lit(True)}), texts)
+    links = inside.unionByName(among)
+    left = classes(links)
+    sizes = left.groupBy("component", "class").count().groupBy("component")
+    sizes = sizes.agg(F.max_by("class", F.struct("count", "class")).alias("largest"), F.count("*").alias("n")).where("n > 1")
+    rest = left.join(sizes, "component").withColumn("main", F.col("class") == F.col("largest")).drop("largest", "n")
+    return links.unionByName(verified(block_pairs_beside(rest, PAIR_ROWS, BLOCK_BYTES), texts)).select("u", "v")
+
+
 def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
 
@@ -373,11 +414,7 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
     candidates = connected_components(chains.unionByName(same))
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
-    tasks = materialize(block_pairs(sized, BLOCK_ROWS, BLOCK_BYTES), "blocks")
-    texts = tasks.join(packed(rows.where("text is not null")), F.col("node") == F.col("doc_id")).drop("doc_id")
-    texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    links = texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long")
-    found = connected_components(links)
+    found = connected_components(_links(sized, rows, words, threshold))
     counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = counts.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
