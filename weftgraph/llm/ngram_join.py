@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, block_pairs_beside, blocks_of, column, lean, mix64, small_batches, whole_groups, whole_groups_many
@@ -315,13 +315,13 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(where * GROUPS + group, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, ids: np.ndarray, threshold: Fraction, root: np.ndarray) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect what is connected and does not yet share a root; with two sides, only links across are looked for."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    sets, side, ids, root = [sets[i] for i in order], side[order], ids[order], root[order]
+def linked(sets: list[np.ndarray], side: np.ndarray, ids: np.ndarray, threshold: Fraction, label: np.ndarray) -> np.ndarray:
+    """The labels, after those of linked sets are made the smallest of them; sets of one label are not compared, and with two sides only those across."""
+    order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i])))
+    sets, side, root = [sets[i] for i in order], side[order], label[order]
     vectors, sizes = _counts(sets), np.array([len(s) for s in sets])
     tree = RTree(vectors, sizes)
-    across, t, p, q, out = side.min() != side.max(), float(threshold), threshold.numerator, threshold.denominator, []
+    across, t, p, q = side.min() != side.max(), float(threshold), threshold.numerator, threshold.denominator
     for i in range(len(sets)):
         near = tree.search(vectors[i], int(sizes[i]), t)
         near = near[near < i]
@@ -333,23 +333,26 @@ def linked(sets: list[np.ndarray], side: np.ndarray, ids: np.ndarray, threshold:
             at = np.searchsorted(b, a)
             common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
             if q * common >= p * (len(a) + len(b) - common):
-                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-                root[root == root[j]] = root[i]
+                root[(root == root[i]) | (root == root[j])] = min(root[i], root[j])
+    out = np.empty_like(root)
+    out[order] = root
     return out
 
 
 def _verify(words: int, threshold: Fraction):
+    """Classes (v, smaller) that classes (u) of a task turn out to be part of."""
+
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for g in whole_groups(batches, ["component", "i", "j"]):
-            ids, side, root = g.column("node").to_numpy(), g.column("side").to_numpy(), g.column("class").to_numpy()
-            if (root == root[0]).all():
+            ids, side, label = g.column("node").to_numpy(), g.column("side").to_numpy(), g.column("class").to_numpy()
+            if (label == label[0]).all():
                 continue
             sets = shingle_sets((unpack.decompress(z.as_py()) for z in g.column("packed")), words)
-            if pairs := linked(sets, side, ids, threshold, root):
-                u, v = np.array(pairs, np.int64).T
-                cut = pa.array(np.full(len(u), g.column("cut")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), cut], ["u", "v", "cut"])
+            made = linked(sets, side, ids, threshold, label)
+            if (pick := made != label).any():
+                u, v = np.unique(np.stack([label[pick], made[pick]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
@@ -364,37 +367,43 @@ def packed(docs: DataFrame) -> DataFrame:
     return append_columns(docs.select("doc_id", "text"), "packed binary", _pack).select("doc_id", "packed")
 
 
-def _links(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """(u, v): links that connect all that is connected within the components of sized (node, component, bytes)."""
+def _classes(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """(node, component): of the rows of sized (node, component, bytes), those that link with a row of smaller id in what is connected."""
+
+    def verified(tasks: DataFrame, texts: DataFrame, **more: Column) -> DataFrame:
+        texts = materialize(tasks, "blocks").join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").withColumns(more)
+        texts = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+        return materialize(texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long"), "links")
+
+    def renamed(members: DataFrame, links: DataFrame) -> DataFrame:
+        known = links.select(F.col("u").alias("class"), F.col("v").alias("whole"))
+        return members.join(known, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole")
 
-    def verified(tasks: DataFrame, texts: DataFrame) -> DataFrame:
-        tasks = materialize(tasks.select("node", "component", "class", "cut", "i", "j", "side"), "blocks")
-        texts = tasks.join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").repartition("component", "i", "j")
-        texts = texts.sortWithinPartitions("component", "i", "j", "node")
-        return materialize(texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long, cut boolean"), "links")
+    def joined(links: DataFrame) -> DataFrame:
+        return links if links.isEmpty() else connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = sized.join(blocks_of(sized, BLOCK_ROWS, BLOCK_BYTES), "component").withColumn("cut", F.col("blocks") > 1)
-    dealt = dealt.withColumns({"class": F.col("node"), "i": block, "j": block, "side": F.lit(0)})
+    # 1. inside each block; a row is in one block only, so what a task finds are classes
+    dealt = sized.join(blocks_of(sized, BLOCK_ROWS, BLOCK_BYTES), "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
     texts = packed(rows.where("text is not null"))
-    inside = verified(dealt, texts)
-    large = materialize(dealt.where("cut").select("node", "component", "bytes", "cut"), "large")
+    inside = verified(dealt.select("node", "component", "i"), texts, j=F.col("i"), side=F.lit(0), **{"class": F.col("node")})
+    found = inside.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    large = materialize(dealt.where("blocks > 1").select("node", "component", "bytes"), "large")
     if large.isEmpty():
-        return inside.select("u", "v")
+        return found
     texts = materialize(texts.join(large, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
-
-    def classes(links: DataFrame) -> DataFrame:
-        known = connected_components(links.where("cut")).select("node", F.col("component").alias("class"))
-        return materialize(large.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes")
-
-    first = classes(inside).where("class = node").drop("class")  # a class is named after its smallest row
-    among = verified(block_pairs(first, PAIR_ROWS, BLOCK_BYTES).withColumns({"class": F.col("node"), "cut": F.lit(True)}), texts)
-    links = inside.unionByName(among)
-    left = classes(links)
+    # 2. a row of each class with those of other blocks; a class is named after its smallest row
+    first = materialize(renamed(large.withColumn("class", F.col("node")), inside), "classes")
+    among = verified(block_pairs(first.where("class = node").drop("class"), PAIR_ROWS, BLOCK_BYTES), texts, **{"class": F.col("node")})
+    left = materialize(renamed(first, joined(among)), "classes")
+    # 3. where classes are left, all rows outside the largest with all rows of others
     sizes = left.groupBy("component", "class").count().groupBy("component")
-    sizes = sizes.agg(F.max_by("class", F.struct("count", "class")).alias("largest"), F.count("*").alias("n")).where("n > 1")
-    rest = left.join(sizes, "component").withColumn("main", F.col("class") == F.col("largest")).drop("largest", "n")
-    return links.unionByName(verified(block_pairs_beside(rest, PAIR_ROWS, BLOCK_BYTES), texts)).select("u", "v")
+    sizes = materialize(sizes.agg(F.max_by("class", F.struct("count", "class")).alias("largest"), F.count("*").alias("n")).where("n > 1"), "several")
+    if not sizes.isEmpty():
+        rest = left.join(sizes, "component").withColumn("main", F.col("class") == F.col("largest")).select("node", "component", "bytes", "class", "main")
+        tasks = block_pairs_beside(rest, PAIR_ROWS, BLOCK_BYTES).select("node", "component", "class", "i", "j", "side")
+        left = renamed(left, joined(verified(tasks, texts)))
+    whole = left.select("node", F.col("class").alias("component"))
+    return found.join(whole, "node", "left_anti").unionByName(whole)
 
 
 def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -414,7 +423,7 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
     candidates = connected_components(chains.unionByName(same))
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
-    found = connected_components(_links(sized, rows, words, threshold))
+    found = _classes(sized, rows, words, threshold)
     counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = counts.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
