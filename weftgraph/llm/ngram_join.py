@@ -48,6 +48,7 @@ KNOWN_SETS = 100_000
 BLOCK_ROWS, BLOCK_BYTES = 500, 8_000_000
 #: Blocks of rows that must meet the rows of other blocks: larger ones are copied less often.
 PAIR_ROWS = 2000
+SALTS = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _roll = Roll(7)
@@ -376,8 +377,10 @@ def _classes(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
         return materialize(texts.mapInArrow(lean(_verify(words, threshold)), "u long, v long"), "links")
 
     def renamed(members: DataFrame, links: DataFrame) -> DataFrame:
-        known = links.select(F.col("u").alias("class"), F.col("v").alias("whole"))
-        return members.join(known, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole")
+        # dealt by class and a salt made of the row, so that the rows of a large class are spread
+        known = links.select(F.col("u").alias("class"), F.col("v").alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        return salted.join(known, ["class", "salt"], "left").withColumn("class", F.coalesce("whole", "class")).drop("whole", "salt")
 
     def joined(links: DataFrame) -> DataFrame:
         return links if links.isEmpty() else connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("v"))
