@@ -20,8 +20,8 @@ BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 STATEMENTS = (
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("gpl-2.0", "general public license version 2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-3.0", "general public license version 3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2.0", "general public license version 2", "licensed under the gnu general public license version 2"),
+    ("gpl-3.0", "general public license version 3", "licensed under the gnu general public license version 3"),
     ("gpl", "redistribute it and or modify it under the terms of the gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
     ("agpl", "affero general public license", "licensed under the gnu affero general public license"),

@@ -347,7 +347,8 @@ def sessionise(clicks: DataFrame, final: Column, gap: int = 10 * MINUTE, length:
     dealt = once.repartitionByRange("client_id", "ts", "late", "click_id").sortWithinPartitions("client_id", "ts", "late", "click_id")
     blocks = materialize(dealt.mapInArrow(lean(_blocks(r, chunk)), "id long, part long, n long, data binary, flow binary"), "blocks")
     entry = _entries(blocks.where("data is null").select("id", "flow"), r, fan)
-    parts = blocks.where("data is not null").join(entry, "id").select("id", "part", "n", "data", "flow", "entry")
+    # a row for each range: no broadcast, as their number grows with the input
+    parts = blocks.where("data is not null").join(entry.hint("shuffle_hash"), "id").select("id", "part", "n", "data", "flow", "entry")
     parts = materialize(parts.mapInArrow(lean(_parts(r)), PARTS), "parts")
     names = ["client_id", "session_id", "start_us", "end_us", "n_clicks", "n_late", "value_cents"]
     pieces = F.array_sort(F.collect_list(F.struct("place", "path")))
