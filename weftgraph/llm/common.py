@@ -115,6 +115,47 @@ class Roll:
         return mix64((prefix[q:] - prefix[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, U64)
 
 
+class Prime:
+    """Hashes of byte ranges as Roll's, but modulo the prime 2**31 - 1: 31 bits that no structure of a text makes equal, as powers of two do Roll's.
+
+    For a base drawn at random, two different ranges of n bytes are equal with a chance of n / 2**31 at most.
+    """
+
+    P = (1 << 31) - 1
+
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.value = rng.integers(1, self.P, 256, dtype=np.int64).astype(U64)
+        self.base = int(rng.integers(1 << 20, self.P))
+        self.power = self.inverse = np.ones(1, U64)
+
+    @classmethod
+    def _mod(cls, x: np.ndarray) -> np.ndarray:
+        """x modulo P, for x below 2**62."""
+        p = U64(cls.P)
+        x = (x & p) + (x >> U64(31))
+        x = (x & p) + (x >> U64(31))
+        return np.where(x == p, U64(0), x)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) <= n:
+            for name, base in (("power", self.base), ("inverse", pow(self.base, -1, self.P))):
+                x = np.ones(1, U64)
+                while len(x) <= max(n, 1 << 16):
+                    x = np.concatenate([x, self._mod(x * U64(pow(base, len(x), self.P)))])
+                setattr(self, name, x)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Sums before each offset; below 2**62 for fewer than 2**31 bytes."""
+        self._powers(len(data))
+        out = np.zeros(len(data) + 1, U64)
+        np.cumsum(self._mod(self.value[data] * self.power[: len(data)]), out=out[1:])
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._mod(self._mod(prefix[end] - prefix[start]) * self.inverse[start])
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -11,8 +11,9 @@ ahead in the same one. Suffixes that matter only in their first `length` bytes n
 3. Second refinement, only for the earliest runs of buckets that hold several classes: a bucket for each window at its
    own later offset. All but the earliest window of such a bucket are repeats.
 
-A run's hull is identified by 128 bits, the hash of its q-gram and its own; a window by 96, one hash and 32 bits of
-another. Of 10^13 windows, about what 100 TB of text sends, the chance that any two share one is below 1 in 1,000. Within a map task, runs and windows met before are marked there and not
+A run is identified by the hash of its q-gram and by that of its hull, a window by its own. Hulls and windows carry two hashes of
+different kinds: 33 and 64 bits of a rolling sum modulo 2**64, for which no bound is proved (words made of two letters by a rule
+can agree), and 31 bits of one modulo a prime, on which two given strings agree with a chance of their length / 2**31 at most. Within a map task, runs and windows met before are marked there and not
 sent, so a hot passage sends one row for each task; what is left is sorted and read as a stream.
 """
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, column, lean, small_batches
+from weftgraph.llm.common import U64, Prime, Roll, append_columns, as_long, column, lean, small_batches
 from weftgraph.llm.ngram_join import packed
 from weftgraph.session import materialize
 
@@ -32,9 +33,9 @@ Q = 32
 CHUNK_BYTES = 2_000_000
 #: Runs or windows gathered by a map task before they are sent.
 FLUSH_ROWS = 1_500_000
-#: Two independent hashes; of the second, windows carry only some bits, as every byte of a row counts on disk.
-MORE_BITS = U64(0xFFFFFFFF)
-_roll, _other = Roll(13), Roll(29)
+#: Two kinds of hash; the second has 31 bits, as every byte of a row counts on disk.
+PRIME_BITS = U64((1 << 31) - 1)
+_roll, _prime = Roll(13), Prime(29)
 RUN = "key long, hull long, doc long, start int, n int"
 
 
@@ -71,7 +72,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(change)
     first, n = at[:-1], np.diff(at)
     first, n = first[valid[first]], n[valid[first]]
-    hull = _roll.spans(prefix, first, first + n - 1 + length)
+    end = first + n - 1 + length
+    hull = (_roll.spans(prefix, first, end) & ~PRIME_BITS) | _prime.spans(_prime.prefix(data), first, end)
     text = np.searchsorted(ends, first, side="right")
     front = np.flatnonzero((grams[: len(least)] == least) & valid[:-1])
     again = np.zeros(len(front), bool)
@@ -212,7 +214,7 @@ def _find_windows(length: int):
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 at = at[at + length <= len(data)]
                 key = _roll.spans(_roll.prefix(data), at, at + length)
-                parts.append((key, _other.spans(_other.prefix(data), at, at + length) & MORE_BITS, np.full(len(at), d), at, np.ones(len(at), np.int64)))
+                parts.append((key, _prime.spans(_prime.prefix(data), at, at + length), np.full(len(at), d), at, np.ones(len(at), np.int64)))
                 held += len(at)
                 if held >= FLUSH_ROWS:
                     yield from _sent(parts)
