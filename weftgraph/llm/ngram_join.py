@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import U64, Roll, append_columns, as_long, block_pairs, block_pairs_beside, blocks_of, column, lean, mix64, small_batches, whole_groups, whole_groups_many
+from weftgraph.llm.common import U64, Prime, Roll, append_columns, as_long, block_pairs, block_pairs_beside, blocks_of, column, lean, mix64, small_batches, whole_groups, whole_groups_many
 from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
@@ -51,7 +51,7 @@ PAIR_ROWS = 2000
 SALTS = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_roll = Roll(7)
+_roll, _prime = Roll(7), Prime(7)
 
 
 def chunks(texts: Iterable[str | bytes | None], words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -76,7 +76,7 @@ def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     start, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    word = _roll.spans(_roll.prefix(data), start, end)
+    word = _roll.spans(_roll.prefix(data), start, end) + mix64(_prime.spans(_prime.prefix(data), start, end))  # two kinds of hash
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     cut = np.searchsorted(start, bounds + 1)
     mult = mix64(np.arange(1, words + 1, dtype=np.uint64)) | U64(1)
@@ -243,7 +243,8 @@ def _bounded(threshold: Fraction):
 
     def near(c, n, i, j):
         need = t / (1 + t) * (n[i] + n[j]) - 1e-9
-        return (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(c[i], c[j]).sum(-1) >= need)
+        fits = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(c[i], c[j]).sum(-1) >= need)
+        return fits | (n[i] < 0) | (n[j] < 0)
 
     def chained(doc, n, c, at, size):
         """Pairs within the buckets of sizes `size` that start at `at`."""
@@ -413,14 +414,17 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case. Documents without words, null
-    texts and null ids link with nothing. Rows that repeat a doc_id share its component. No rows, no result.
+    texts and null ids link with nothing. Rows that repeat a doc_id share its component, with all that any of
+    their texts links with. No rows, no result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands = rows.mapInArrow(lean(_bands_of(words, threshold)), BAND_ROWS)
     met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "bucket long, doc long, other long, n long, vec binary")
     met = materialize(met, "buckets")
-    vectors = met.where("vec is not null").groupBy("doc").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"))
+    vectors = met.where("vec is not null").groupBy("doc").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"), F.min(F.xxhash64("n", "vec")).alias("a"), F.max(F.xxhash64("n", "vec")).alias("b"))
+    # an id with several sets: a size below 0 says that nothing is known of it, so that it is bounded out nowhere
+    vectors = vectors.select("doc", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(-1).alias("n"), "vec")
     members = met.where("bucket is not null").select("bucket", "doc").distinct().join(vectors, "doc")
     chains = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
