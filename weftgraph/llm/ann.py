@@ -97,26 +97,27 @@ class Tree:
 def search(vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.96, least_recall: float = 0.9, sample: int = SAMPLE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that fulfils the SQL condition is_query.
 
-    Nearest by cosine in double precision, ties to the smaller id; a query's own id is no candidate. Rows with a null id
+    Nearest by cosine in double precision, ties to the smaller id; a query's own row is no candidate. Rows with a null id
     or an unusable vector (null, zero, null or non-finite components, or a length other than the most frequent) take no
-    part. With fewer than k candidates all are returned. Rows that repeat an id are candidates one by one.
+    part. With fewer than k candidates all are returned. Rows that repeat an id are candidates, and queries, one by one: each such
+    query has a ranking of its own, in which the others of its id may stand. No rows, no result.
     """
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.expr(f"coalesce({is_query}, false)").alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     dims = common_length(good, "v")
-    good = good.where(F.size("v") == dims)
+    good = materialize(good.where(F.size("v") == dims).withColumn("row", F.monotonically_increasing_id()), "vectors")
     spark = vectors.sparkSession
-    x = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEAST_SAMPLE, min(sample, good.count() // 16))).select("v").toArrow().column("v")
+    x = good.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(max(LEAST_SAMPLE, min(sample, good.count() // 16))).select("v").toArrow().column("v")
     x = matrix(x)
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = unit(x)
     tree = Tree(x)
     visits = tree.calibrate(x, k, recall)
-    probe = good.where("asks").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(AUDIT).select("vec_id", "v").toArrow()
+    probe = good.where("asks").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "row").limit(AUDIT).select("row", "v").toArrow()
     while True:
         found = _found(good, tree, visits, k)
         if visits >= tree.leaves or _recall(good, probe, found, k) >= least_recall:
-            return found
+            return found.select("query_id", "rank", "vec_id", "score")
         visits = min(2 * visits, tree.leaves)
 
 
@@ -124,24 +125,24 @@ def _recall(good: DataFrame, probe: pa.Table, found: DataFrame, k: int) -> float
     """The share of the k nearest of the probes, by brute force over all vectors, that were found or others as near."""
     if not probe.num_rows:
         return 1.0
-    shared = good.sparkSession.sparkContext.broadcast((probe.column("vec_id").to_numpy(), matrix(probe.column("v"))))  # AUDIT vectors
+    shared = good.sparkSession.sparkContext.broadcast((probe.column("row").to_numpy(), matrix(probe.column("v"))))  # AUDIT vectors
 
     def best(batches):
         ids, v = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            score, other = unit(v) @ unit(matrix(column(b, "v"))).T, column(b, "vec_id").to_numpy()
+            score, other = unit(v) @ unit(matrix(column(b, "v"))).T, column(b, "row").to_numpy()
             score[ids[:, None] == other] = -3
             top = -np.sort(-score, axis=1)[:, :k]
             q, s = np.repeat(ids, top.shape[1]), top.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q[s > -3]), pa.array(s[s > -3])], ["query_id", "true"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[s > -3]), pa.array(s[s > -3])], ["query", "true"])
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("true")))
-    true = good.select("vec_id", "v").mapInArrow(best, "query_id long, true double").withColumn("rank", rank).where(F.col("rank") <= k)
-    last = true.groupBy("query_id").agg(F.min("true").alias("last"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("true")))
+    true = good.select("row", "v").mapInArrow(best, "query long, true double").withColumn("rank", rank).where(F.col("rank") <= k)
+    last = true.groupBy("query").agg(F.min("true").alias("last"), F.count("*").alias("n"))
     hits = F.count_if(F.col("score") >= F.col("last") - 1e-9)
-    shares = last.join(found.select("query_id", "score"), "query_id", "left").groupBy("query_id", "n").agg(F.least(hits, F.col("n")).alias("hits"))
+    shares = last.join(found.select("query", "score"), "query", "left").groupBy("query", "n").agg(F.least(hits, F.col("n")).alias("hits"))
     row = shares.agg(F.sum("hits"), F.sum("n")).first()
     return row[0] / row[1] if row[1] else 1.0
 
@@ -158,27 +159,27 @@ def _found(good: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
         return [t.assign(u).tolist(), [t.visit(q, n) if a else None for q, a in zip(u, asks)]]
 
     placed = materialize(append_columns(good, "leaf long, visits array<long>", place), "leaves")
-    asked = placed.where("asks").select("vec_id", "v", F.explode("visits").alias("leaf"))
+    asked = placed.where("asks").select("row", "vec_id", "v", F.explode("visits").alias("leaf"))
     size = placed.groupBy("leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     groups = asked.groupBy("leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("groups"))
     plan = size.join(groups, "leaf")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
-    points = placed.select("vec_id", "v", "leaf").join(plan, "leaf").withColumn("p", own("parts")).withColumn("g", every("groups"))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
+    points = placed.select("row", "vec_id", "v", "leaf").join(plan, "leaf").withColumn("p", own("parts")).withColumn("g", every("groups"))
     askers = asked.join(plan, "leaf").withColumn("g", own("groups")).withColumn("p", every("parts"))
     cols = ["leaf", "p", "g"]
-    rows = points.select(*cols, F.lit(0).alias("role"), "vec_id", "v").unionByName(askers.select(*cols, F.lit(1).alias("role"), "vec_id", "v"))
+    rows = points.select(*cols, F.lit(0).alias("role"), "row", "vec_id", "v").unionByName(askers.select(*cols, F.lit(1).alias("role"), "row", "vec_id", "v"))
 
     def nearest(batches):
         for g in whole_groups(batches, cols):
-            role, ids, v = g.column("role").to_numpy(), g.column("vec_id").to_numpy(), matrix(g.column("v"))
-            p, pid, q, qid = v[role == 0], ids[role == 0], v[role == 1], ids[role == 1]
+            role, row, ids, v = g.column("role").to_numpy(), g.column("row").to_numpy(), g.column("vec_id").to_numpy(), matrix(g.column("v"))
+            p, pid, own, q, qid, asks = v[role == 0], ids[role == 0], row[role == 0], v[role == 1], ids[role == 1], row[role == 1]
             if not len(p) or not len(q):
                 continue
-            out = ([], [], [])
+            out = ([], [], [], [])
             rough = unit(q) @ unit(p).T
-            for r, a, one in zip(rough, qid, q):
-                r[pid == a] = -3
+            for r, a, name, one in zip(rough, asks, qid, q):
+                r[own == a] = -3
                 n = min(k, int((r > -3).sum()))
                 if n:
                     near = np.flatnonzero(r >= np.partition(r, len(r) - n)[len(r) - n] - 1e-9)
@@ -186,10 +187,11 @@ def _found(good: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
                     score = cosine(p[near], np.broadcast_to(one, (len(near), len(one))))
                     best = np.lexsort((pid[near], -score))[:k]
                     out[0].extend([a] * len(best))
-                    out[1].extend(pid[near][best].tolist())
-                    out[2].extend(score[best].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    near = rows.repartition(*cols).sortWithinPartitions(*cols, "role", "vec_id").mapInArrow(nearest, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return materialize(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+                    out[1].extend([name] * len(best))
+                    out[2].extend(pid[near][best].tolist())
+                    out[3].extend(score[best].tolist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], ["query", "query_id", "vec_id", "score"])
+
+    near = rows.repartition(*cols).sortWithinPartitions(*cols, "role", "vec_id").mapInArrow(nearest, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return materialize(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "query_id", "rank", "vec_id", "score"), "nearest")

@@ -30,6 +30,8 @@ from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
 AHEAD, LIST, MOST_LIST, AUDIT, MISS, MOST = 128, 8, 64, 512, 1e-4, 40
+#: Ids lie below; numbers from here on stand for further vectors of an id.
+SPARE = 1 << 62
 #: A descent has settled when a round brings fewer than this share of new entries.
 SETTLED = 0.001
 
@@ -173,7 +175,8 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
 
     Rows link when their labels are equal and their cosine, in double precision, reaches the threshold. A null id, a
     null label or an unusable vector (null, zero, null or non-finite components, a length other than the most
-    frequent) links with nothing. Rows that repeat a vec_id count as one vector with itself and share the result.
+    frequent) links with nothing. Rows that repeat a vec_id with its vector and label count as one vector with itself. Rows that share an
+    id share its result: the links of all its vectors, summed up, and one component. No rows, no result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("long").alias("label"))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
@@ -214,22 +217,30 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
         times *= 2
     else:
         raise RuntimeError(f"recall {share:.4f} after {rounds} rounds, below {recall}")
-    roots = connected_components(seen, "node", "root")
-    known = members.join(links, "node", "left").join(roots, "node", "left")
-    known = known.select(F.col("vec_id").alias("id"), (F.col("weight") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    by_id = members.groupBy("vec_id").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root < last")
+    shared = members.join(by_id, "vec_id").select("node", "root")
+    roots = connected_components(seen.select("node", "root").unionByName(shared), "node", "root")
+    known = members.join(links, "node", "left").join(roots, "node", "left").groupBy(F.col("vec_id").alias("id"))
+    known = known.agg(F.sum(F.col("weight") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "node")).alias("component"))
     out = rows.join(known, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def _copies(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, node, weight) for every id and (node, v, label, weight) for every distinct vector of a label; node is its smallest id."""
+    """(vec_id, node, weight) for every id and vector and (node, v, label, weight) for every distinct vector of a label.
+
+    node is the vector's smallest id; where several vectors have that, all but one get a number from SPARE on.
+    """
     keyed = good.withColumn("g", F.xxhash64("label", "v")).withColumn("h", F.xxhash64(F.lit(7), "v", "label"))
-    ids = materialize(keyed.groupBy("vec_id").agg(F.min(F.struct("g", "h")).alias("k")).select("vec_id", "k.g", "k.h"), "ids")
-    same = ids.groupBy("g", "h").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
+    ids = materialize(keyed.select("vec_id", "g", "h").distinct(), "ids")
+    same = ids.groupBy("g", "h").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    first = same.groupBy(F.col("least").alias("own")).agg(F.min(F.struct("g", "h")).alias("k")).select("own", F.col("k.g").alias("fg"), F.col("k.h").alias("fh"))
+    named = same.join(first, F.col("least") == F.col("own"))
+    node = F.when((F.col("g") == F.col("fg")) & (F.col("h") == F.col("fh")), F.col("least")).otherwise(F.monotonically_increasing_id() + SPARE)
+    same = materialize(named.select("g", "h", node.alias("node"), "least", "weight"), "distinct")
     members = materialize(ids.join(same, ["g", "h"]).select("vec_id", "node", "weight"), "members")
-    firsts = same.withColumnRenamed("node", "vec_id")
-    nodes = keyed.join(firsts, ["vec_id", "g", "h"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("node"), "v", "label", "weight")
+    nodes = keyed.join(same.withColumnRenamed("least", "vec_id"), ["vec_id", "g", "h"]).dropDuplicates(["node"]).select("node", "v", "label", "weight")
     return members, materialize(nodes, "nodes")
 
 
