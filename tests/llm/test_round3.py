@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import delta_lloyd, licenses, ngram_join, secrets, sessions
+from weftgraph.llm import ann, delta_lloyd, embedding_dedup, licenses, ngram_join, secrets, sessions
 from weftgraph.llm.common import Prime
 
 M = sessions.MINUTE
@@ -297,3 +297,19 @@ def test_texts_that_share_an_id_keep_their_links(spark):
     rows = [(11, a), (11, b), (12, b + " more"), (21, b + " other"), (30, a + " tail"), (40, " ".join(b.split()[::-1])), (40, None), (40, "")]
     got = {(x["doc_id"], x["component_id"]) for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(11, 11), (12, 11), (21, 11), (30, 11), (40, 40)}
+
+
+def test_vectors_that_share_an_id(spark):
+    near = lambda x, e: [x[0] + e, x[1] - e]
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a), (1, b), (2, near(a, 0.01)), (3, near(b, -0.01)), (4, [0.7, 0.7]), (1, a), (1, None), (5, [0.70001, 0.7])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.dedup(df).collect())
+    assert got == [(1, 2, 1, True)] * 4 + [(2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+def test_queries_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [0.1, 1.0]), (4, [0.2, 1.0]), (100, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, "vec_id % 50 = 0", 3).collect())
+    assert got == [(50, 1, 3), (50, 1, 100), (50, 2, 1), (50, 2, 4), (50, 3, 2), (50, 3, 2), (100, 1, 50), (100, 2, 1), (100, 3, 2)]
