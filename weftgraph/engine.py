@@ -74,12 +74,13 @@ class Graph:
         g = self.weighted(method, pmid_weights).cut(cutoff).top_edges(max_edges)
         return g.communities() if community else g
 
-    def rebuild(self, method: str = "freq", cutoff: float = 0, max_edges: int = 0, min_degree: int = 0, max_nodes: int = 1500, edge_cap: int = 3000, community: bool = False) -> Graph:
-        """For display: cap of edges, cut (of npmi, scaled), degree filter, cap of nodes, communities."""
+    def rebuild(self, method: str = "freq", cutoff: float = 0, max_edges: int = 0, min_degree: int = 0, max_nodes: int = 0, edge_cap: int = 0, community: bool = False) -> Graph:
+        """For display: cap of edges, cut (of npmi, scaled), degree filter, cap of nodes, communities. A cap of 0 leaves all in."""
         low = cutoff * weights.LARGEST if method == "npmi" else cutoff
         g = replace(self, edges=weights.set_weights(self.edges, method), nodes=self.nodes.withColumn("name", F.lower("name")))
-        g = g.top_edges(min(max_edges, edge_cap) if max_edges > 0 else edge_cap).cut(low)
-        g = (g.min_degree(min_degree) if min_degree else g).top_nodes(max_nodes)
+        g = g.top_edges(min(x for x in (max_edges, edge_cap) if x > 0) if max_edges > 0 or edge_cap > 0 else 0).cut(low)
+        g = g.min_degree(min_degree) if min_degree else g
+        g = g.top_nodes(max_nodes) if max_nodes > 0 else g
         return g.communities() if community else g
 
     def statistics(self) -> DataFrame:

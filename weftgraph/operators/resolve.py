@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.components import connected_components
 from weftgraph.session import materialize
 
 PROTECTED = ["Gene", "ProteinMutation", "DNAMutation", "SNP"]  # fixed values
@@ -89,11 +87,7 @@ def _block(kind: Column) -> Column:
 
 
 def merge_similar(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.96, protected: float = 0.995) -> DataFrame:
-    """(node_id, target) by similarity, greedily in node order within each component of similar nodes.
-
-    A node with neighbours of several identifiers merges only with those of its own; else the one with an identifier, or
-    the node itself, is kept. A component is one task.
-    """
+    """(node_id, target) by similarity, greedily in node order, see greedy_merge."""
     n = nodes.join(vectors.select("node_id", "embedding"), "node_id").withColumn("block", _block(F.col("type")))
     # a node of unknown type may merge with any: it is put into every block, its own among them
     blocks = [r["block"] for r in n.select("block").distinct().limit(MOST_TYPES + 1).collect()]
@@ -104,40 +98,57 @@ def merge_similar(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.96,
     kind = nodes.select("node_id", "type", "mesh")
     guarded = F.col("ta").isin(PROTECTED) | F.col("tb").isin(PROTECTED)
     p = pairs.join(kind.toDF("a", "ta", "ma"), "a").join(kind.toDF("b", "tb", "mb"), "b").where(compatible(F.col("ta"), F.col("tb")) & (~guarded | (F.col("cosine") > protected)))
-    p = materialize(p.withColumn("ha", F.xxhash64("a")).withColumn("hb", F.xxhash64("b")), "similar")
-    comp = connected_components(p, "ha", "hb")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mesh = dict(zip(pdf["a"], pdf["ma"])) | dict(zip(pdf["b"], pdf["mb"]))
-        near: dict[str, set[str]] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        known = {k: m for k, m in mesh.items() if m not in (None, "", "-") and m == m}
-        target: dict[str, str] = {}
-        for x in sorted(near):
-            if x in target:
-                continue
-            group = sorted({x, *(y for y in near[x] if y not in target)})
-            ids = {known[y] for y in group if y in known}
-            if len(ids) > 1:
-                group = [y for y in group if known.get(y) == known.get(x) and x in known]
-            keep = next((y for y in group if y in known), x)
-            target.update({y: keep for y in group if y != keep})
-        return pd.DataFrame(sorted(target.items()), columns=["node_id", "target"])
-
-    return p.join(comp, F.col("ha") == F.col("node")).select("component", "a", "b", "ma", "mb").groupBy("component").applyInPandas(run, "node_id string, target string")
-
-
-def follow(mapping: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node_id, target) with chains followed to their ends."""
+    mesh = nodes.select("node_id", F.when(_known(F.col("mesh")), F.col("mesh")).alias("mesh"))
+    return greedy_merge(p.select("a", "b"), mesh)
+
+
+def greedy_merge(pairs: DataFrame, mesh: DataFrame) -> DataFrame:
+    """(node_id, target): what merging nodes one by one, in the order of their ids, comes to. pairs (a, b), mesh (node_id, mesh; null if unknown).
+
+    A node that is not merged yet takes those neighbours that are not: if they have several identifiers among them, only those of its
+    own; of these the first with an identifier is kept, else the node itself. In rounds: a node's turn comes once no
+    undecided node within two steps is smaller, so nodes that decide in one round touch no node in common. A path of
+    ascending ids takes a round for each of its nodes; ids that are not ordered along the graph some log n.
+    """
+    near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct()
+    near = materialize(near, "near")
+    ids = near.select(F.col("x").alias("node")).distinct().join(mesh.select(F.col("node_id").alias("node"), "mesh"), "node", "left")
+    kind = dict(near.dtypes)["x"]
+    state = materialize(ids.select("node", "mesh", F.lit(None).cast(kind).alias("target"), F.lit(False).alias("done")), "state")
+    while not (open_ := state.where("target is null and not done").select("node")).isEmpty():
+        # the smallest undecided node within one step of each node, then within two
+        one = near.join(open_, F.col("y") == F.col("node")).groupBy("x").agg(F.min("y").alias("low"))
+        one = one.unionByName(open_.select(F.col("node").alias("x"), F.col("node").alias("low"))).groupBy("x").agg(F.min("low").alias("low"))
+        two = near.join(one.withColumnsRenamed({"x": "y"}), "y").groupBy("x").agg(F.min("low").alias("far"))
+        turn = open_.join(two, F.col("node") == F.col("x")).where("far >= node").select(F.col("node").alias("x"))
+        free = state.where("target is null").select(F.col("node").alias("y"), F.col("mesh").alias("my"))
+        group = turn.join(near, "x").unionByName(turn.select("x", F.col("x").alias("y"))).join(free, "y")
+        group = materialize(group.join(state.select(F.col("node").alias("x"), F.col("mesh").alias("mx")), "x"), "turns")
+        same = F.col("my") == F.col("mx")
+        known = F.min(F.when(F.col("my").isNotNull(), F.col("y")))
+        sums = group.groupBy("x").agg((F.min("my") < F.max("my")).alias("several"), known.alias("first"), F.min(F.when(same, F.col("y"))).alias("own"))
+        keep = F.when(F.coalesce("several", F.lit(False)), F.col("own")).otherwise(F.coalesce("first", "x"))
+        made = group.join(sums.select("x", "several", keep.alias("keep")), "x").where(F.col("keep").isNotNull() & (~F.coalesce("several", F.lit(False)) | same) & (F.col("y") != F.col("keep")))
+        new = made.select(F.col("y").alias("node"), F.col("keep").alias("made")).unionByName(turn.select(F.col("x").alias("node"), F.lit(None).cast(kind).alias("made")))
+        new = new.groupBy("node").agg(F.max("made").alias("made"), F.lit(True).alias("seen"))
+        turned = turn.select(F.col("x").alias("node"), F.lit(True).alias("turned"))
+        state = materialize(state.join(new, "node", "left").join(turned, "node", "left").select("node", "mesh", F.coalesce("target", "made").alias("target"), (F.col("done") | F.coalesce("turned", F.lit(False))).alias("done")), "state", replaces=state)
+    return state.where("target is not null").select(F.col("node").alias("node_id"), "target")
+
+
+def follow(mapping: DataFrame) -> DataFrame:
+    """(node_id, target) with chains followed to their ends by pointer doubling; a cycle, which has no end, is an error."""
     m = materialize(mapping, "mapping")
-    for _ in range(rounds):
+    todo = None
+    while True:
         nxt = m.select(F.col("node_id").alias("t"), F.col("target").alias("t2"))
-        m = materialize(m.join(nxt, F.col("target") == F.col("t"), "left").select("node_id", F.coalesce("t2", "target").alias("target")).where("node_id <> target"), "mapping")
-        if m.join(m.select(F.col("node_id").alias("t")), F.col("target") == F.col("t"), "left_semi").isEmpty():
-            break
-    return m
+        open_ = m.join(nxt, F.col("target") == F.col("t"), "left_semi").count()
+        if not open_:
+            return m
+        if open_ == todo:  # doubling leaves fewer open each time, but on a cycle
+            raise ValueError("the mapping has a cycle")
+        todo = open_
+        m = materialize(m.join(nxt, F.col("target") == F.col("t"), "left").select("node_id", F.coalesce("t2", "target").alias("target")), "mapping", replaces=m)
 
 
 def apply_mapping(nodes: DataFrame, evidence: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,4 +173,4 @@ def resolve(nodes: DataFrame, evidence: DataFrame, vectors: DataFrame | None = N
     return apply_mapping(nodes, evidence, follow(both))
 
 
-__all__ = ["apply_mapping", "compatible", "cosine", "dot", "follow", "merge_identifiers", "merge_names", "merge_similar", "resolve", "similar_pairs"]
+__all__ = ["apply_mapping", "compatible", "cosine", "dot", "follow", "greedy_merge", "merge_identifiers", "merge_names", "merge_similar", "resolve", "similar_pairs"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import token_estimate
+from weftgraph.operators import batching
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -99,33 +100,16 @@ def indexed_ids(docs: DataFrame) -> DataFrame:
     return docs.select("pmid").distinct()
 
 
-def index_part(nodes: DataFrame, selection: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """The nodes to index: all of a small graph; of one with more than `most` nodes the selected ones (node_id)."""
-    if selection is None or nodes.limit(most + 1).count() <= most:
+def index_part(nodes: DataFrame, selection: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The nodes to index: all; where `most` is given, of a graph with more nodes than that the selected ones (node_id)."""
+    if selection is None or most is None or nodes.limit(most + 1).count() <= most:
         return nodes
     return nodes.join(selection.select("node_id").distinct(), "node_id", "left_semi")
 
 
 def batches(docs: DataFrame, order: str, text: str = "text", tokens: int = 250_000, rows: int = 5000) -> DataFrame:
-    """(order, n_tokens, batch): documents in order, in consecutive batches of at most this many tokens and rows.
-
-    A document of more tokens than a batch holds is a batch of its own. Where a batch ends hangs on all before it, so one task
-    reads two numbers for each document, as a stream; texts stay where they are.
-    """
-    slim = docs.select(order, token_estimate(F.col(text)).alias("n_tokens")).orderBy(order).coalesce(1)
-
-    def fill(frames):
-        batch = used = count = 0
-        for pdf in frames:
-            out = []
-            for n in pdf["n_tokens"].tolist():
-                if count and (used + n > tokens or count >= rows):
-                    batch, used, count = batch + 1, 0, 0
-                used, count = used + n, count + 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    return slim.mapInPandas(fill, f"{order} {dict(slim.dtypes)[order]}, n_tokens long, batch long")
+    """(order, n_tokens, batch): documents in order, in consecutive batches of at most this many tokens and rows, see batching."""
+    return batching.batches(docs, order, token_estimate(F.col(text)), tokens, rows)
 
 
 def name_index(nodes: DataFrame, order: str = "node_id") -> DataFrame:
