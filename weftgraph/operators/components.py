@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Edges lead from the larger to the smaller id. A round looks up, for an end of each edge, the smallest neighbour
+Before that, each task joins what its own edges connect, CHUNK edges at a time: a chain or a near-clique whose edges lie together falls to
+a star at once. Edges lead from the larger to the smaller id. A round looks up, for an end of each edge, the smallest neighbour
 of that end. The lookup is dealt by the end and a salt made of the edge's other end, so that the edges of a hub, such as the
 smallest node of a large component, are spread over SALTS tasks (and AQE may split those). Labels never leave the
 executors; the driver sees a row count and a checksum per round.
@@ -8,12 +9,47 @@ executors; the driver sees a row count and a checksum per round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.session import materialize
 
-SALTS = 8
+SALTS, CHUNK = 8, 500_000
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (a, b) and the smallest node that each reaches, by hooking roots and halving paths."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while len(u):
+        x, y = root[u], root[v]
+        live = x != y
+        u, v, x, y = u[live], v[live], x[live], y[live]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return names, names[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def star(held):
+        a, b = smallest_reachable(*(np.concatenate(c) for c in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield star(held)
+            held, n = [], 0
+    if n:
+        yield star(held)
 
 
 def _lowest(edges: DataFrame, end: str, other: str) -> DataFrame:
@@ -41,7 +77,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Null endpoints and self-loops are ignored, direction and repeats do not matter.
     """
     e = edges.select(F.col(u).alias("x"), F.col(v).alias("y")).where("x is not null and y is not null and x <> y")
-    e = materialize(e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+    e = e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    if dict(e.dtypes)["a"] == "bigint":
+        e = e.mapInArrow(_contracted, "a long, b long")
+    e = materialize(e.distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         e = materialize(_round(e), "stars", replaces=e)

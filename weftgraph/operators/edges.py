@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.mentions import weighted_count
@@ -13,12 +11,29 @@ from weftgraph.operators.mentions import weighted_count
 MUTATION_PARTS = ["tmVar:", "HGVS:", "RS#:", "VariantGroup:", "CorrespondingGene:", "CorrespondingSpecies:", "CA#:"]
 
 
-def pairs_within(rows: DataFrame, group: str, node: str, distinct: bool = True) -> DataFrame:
-    """(group, u, v) with u < v for the nodes of each group; an equi-join on the group."""
-    n = rows.select(group, node)
+#: Nodes of a group in one block; a larger group is cut into blocks, and each pair of blocks is a task.
+BLOCK = 1000
+
+
+def pairs_within(rows: DataFrame, group: str, node: str, distinct: bool = True, block: int = BLOCK, most: int | None = None) -> DataFrame:
+    """(group, u, v) with u < v for the nodes of each group; an equi-join on the group, and on pairs of blocks where it has more than `block` nodes.
+
+    A group of n nodes has some n * n / 2 pairs; most leaves out groups of more nodes than that, if given. Null groups and nodes have no pairs.
+    """
+    n = rows.select(F.col(group).alias("g"), F.col(node).alias("n")).where("g is not null and n is not null")
     n = n.distinct() if distinct else n
-    a, b = n.select(group, F.col(node).alias("u")), n.select(F.col(group).alias("g2"), F.col(node).alias("v"))
-    return a.join(b, (F.col(group) == F.col("g2")) & (F.col("u") < F.col("v"))).select(group, "u", "v")
+    large = n.groupBy("g").count().where(F.col("count") > (block if most is None else min(block, most))).select(F.col("g").alias("lg"), F.col("count").alias("size"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    n = n.join(large, F.col("g") == F.col("lg"), "left")
+    if most is not None:
+        n = n.where(F.coalesce("size", F.lit(0)) <= most)
+    own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")
+    # one block: 0 with 0; else its own block with itself and every other, smaller number first
+    tasks = F.when(F.coalesce("blocks", F.lit(1)) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    n = n.select("g", "n", F.coalesce(F.when(F.col("blocks") > 1, own), F.lit(0)).alias("own"), F.explode(tasks).alias("other"))
+    a = n.where("own <= other").select("g", F.col("n").alias("x"), F.col("own").alias("i"), F.col("other").alias("j"))
+    b = n.where("own >= other").select(F.col("g").alias("h"), F.col("n").alias("y"), F.col("other").alias("k"), F.col("own").alias("l"))
+    met = a.join(b, (F.col("g") == F.col("h")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")))
+    return met.select(F.col("g").alias(group), F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
 def comention_evidence(nodes: DataFrame) -> DataFrame:
@@ -27,10 +42,6 @@ def comention_evidence(nodes: DataFrame) -> DataFrame:
     return pairs_within(nodes, "article_seq", "node_id").join(ids, "article_seq").select("article_seq", "u", "v", "pmid", F.lit("co-mention").alias("relation"), none.alias("source_id"), none.cast("double").alias("confidence"), none.alias("evidence"))
 
 
-def _attributes(c: Column) -> Column:
-    return F.struct(*[F.nullif(F.regexp_extract(c, f"({p}[^;]+)", 1), F.lit("")).alias(f"a{k}") for k, p in enumerate(MUTATION_PARTS)])
-
-
 def resolve_ids(relations: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """(article_seq, rel_seq, node_id): the article's node of a relation's id.
 
@@ -41,11 +52,13 @@ def resolve_ids(relations: DataFrame, nodes: DataFrame, id_col: str) -> DataFram
     plain = n.groupBy("article_seq", "key").agg(F.max_by("node_id", "node_ord").alias("plain"))
     r = relations.select("article_seq", "rel_seq", F.col(id_col).alias("rid"))
     direct = r.join(plain, (r["article_seq"] == plain["article_seq"]) & (F.col("rid") == F.col("key")), "left").select(r["article_seq"], "rel_seq", "rid", "plain")
-    names = [f"a{k}" for k in range(len(MUTATION_PARTS))]
-    variant = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", _attributes(F.substring_index("node_id", "_", 1)).alias("has"))
-    asked = direct.where("plain is null").withColumn("want", _attributes(F.col("rid"))).where(F.coalesce(*[F.col(f"want.{x}") for x in names]).isNotNull())
-    fits = reduce(lambda a, b: a & b, [F.col(f"want.{x}").isNull() | F.coalesce(F.col(f"want.{x}") == F.col(f"has.{x}"), F.lit(False)) for x in names])
-    matched = asked.join(variant, (F.col("article_seq") == F.col("art")) & fits).groupBy("article_seq", "rel_seq").agg(F.min_by("node_id", "node_ord").alias("node_id"))
+    # an inverted index of attributes: a variant fits if as many of its attributes are found as the relation's id names
+    listed = lambda c: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.nullif(F.regexp_extract(c, f"({p}[^;]+)", 1), F.lit("")).alias("val")) for k, p in enumerate(MUTATION_PARTS)]), lambda x: x["val"].isNotNull())
+    has = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", F.explode(listed(F.substring_index("node_id", "_", 1))).alias("x")).select("art", "node_id", "node_ord", "x.*").distinct()
+    want = direct.where("plain is null").withColumn("want", listed(F.col("rid"))).select("article_seq", "rel_seq", F.size("want").alias("asked"), F.explode("want").alias("x")).select("article_seq", "rel_seq", "asked", F.col("x.k").alias("wk"), F.col("x.val").alias("wv"))
+    found = want.join(has, (F.col("article_seq") == F.col("art")) & (F.col("wk") == F.col("k")) & (F.col("wv") == F.col("val")))
+    found = found.groupBy("article_seq", "rel_seq", "asked", "node_id", "node_ord").count().where("`count` = asked")
+    matched = found.groupBy("article_seq", "rel_seq").agg(F.min_by("node_id", "node_ord").alias("node_id"))
     return direct.where("plain is not null").select("article_seq", "rel_seq", F.col("plain").alias("node_id")).unionByName(matched)
 
 
@@ -71,6 +84,12 @@ def graph_edges(evidence: DataFrame, kind: str = "node", weights: DataFrame | No
     return e.join(w, ["u", "v"])
 
 
+def edge_relations(evidence: DataFrame) -> DataFrame:
+    """(u, v, relations, num_relations): each pair's sorted relations and its number of articles, without a row or map that holds all articles."""
+    per = evidence.select("u", "v", "pmid", "relation").distinct()
+    return per.groupBy("u", "v").agg(F.array_sort(F.collect_set("relation")).alias("relations"), F.count_distinct("pmid").alias("num_relations"))
+
+
 def edge_rows(edges: DataFrame) -> DataFrame:
     """(u, v, pmid, relation, confidence, evidence): a row for each article and relation of an edge."""
     rows = edges.select("u", "v", "confidences", "evidences", F.explode("relations").alias("pmid", "rels")).select("*", F.explode("rels").alias("relation"))

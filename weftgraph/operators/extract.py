@@ -10,13 +10,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.functions.relations import clean_id, confidence, effective_threshold, relation_name
+from weftgraph.session import materialize
 
 FIELDS = ("entity1_id", "entity2_id", "relation_type", "confidence", "evidence", "study_type")
-OUT = "article_seq long, pmid string, entity1_id string, entity2_id string, relation_type string, confidence string, evidence string, study_type string, outcome string"
+OUT = "article_seq long, pmid string, entity1_id string, entity2_id string, relation_type string, confidence string, evidence string, study_type string, outcome string, place int"
 
 
 def parse_response(text: str | None) -> list[dict] | None:
@@ -51,7 +52,7 @@ def _parse_pieces(body: str) -> list[dict] | None:
 
 
 def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool], str], provider: str = "", second_pass: bool = True, seconds: float = 300, known: DataFrame | None = None) -> DataFrame:
-    """Raw relations of articles (article_seq, pmid, title, abstract), with an outcome: ok, failed, unparsed, none or skipped.
+    """Raw relations of articles (article_seq, pmid, title, abstract), with an outcome: ok, failed, unparsed, none or skipped, and their place in the article.
 
     client(article, second) returns the response text; prompts, retries and limits are its own. Articles with fewer than two
     nodes or no abstract are skipped. A second pass asks again where the first finds fewer than half as many relations
@@ -62,6 +63,7 @@ def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool]
     if known is not None:
         told = known.where("outcome <> 'failed'")
         rest = extract(articles.join(told.select("pmid").distinct(), "pmid", "left_anti"), nodes, client, provider, second_pass, seconds)
+        told = told if "place" in told.columns else told.withColumn("place", F.lit(None).cast("int"))
         old = told.drop("article_seq").join(articles.select("article_seq", "pmid").dropDuplicates(["pmid"]), "pmid")
         return old.select(*rest.columns).unionByName(rest)
     ents = nodes.groupBy("article_seq").agg(F.array_sort(F.collect_list(F.struct("node_id", "name", "type"))).alias("entities"))
@@ -106,25 +108,48 @@ def extract(articles: DataFrame, nodes: DataFrame, client: Callable[[dict, bool]
             rows = []
             for row in pdf.itertuples():
                 found, outcome = one(row)
-                rows += [(row.article_seq, row.pmid, *(None if r[k] is None else str(r[k]) for k in FIELDS), outcome) for r in found] or [(row.article_seq, row.pmid, *[None] * 6, outcome)]
-            yield pd.DataFrame(rows, columns=["article_seq", "pmid", *FIELDS, "outcome"])
+                rows += [(row.article_seq, row.pmid, *(None if r[k] is None else str(r[k]) for k in FIELDS), outcome, i) for i, r in enumerate(found)] or [(row.article_seq, row.pmid, *[None] * 6, outcome, 0)]
+            yield pd.DataFrame(rows, columns=["article_seq", "pmid", *FIELDS, "outcome", "place"])
 
     return a.mapInPandas(run, OUT)
 
 
-def semantic_evidence(raw: DataFrame, nodes: DataFrame, threshold: float = 0.5, provider: str = "") -> DataFrame:
-    """Edge evidence of raw relations: ids cleaned and completed to the article's nodes, confidences normalized, weak ones left out."""
-    r = raw.where("entity1_id is not null").withColumn("row", F.monotonically_increasing_id())
+def semantic_evidence(raw: DataFrame, nodes: DataFrame, threshold: float = 0.5, provider: str = "", watch: Observation | None = None) -> DataFrame:
+    """Edge evidence of raw relations: ids cleaned and completed to the article's nodes, confidences normalized, weak ones left out.
+
+    raw is written once, so that no client is asked again. watch: gets the run's counters (COUNTERS) as the evidence is first
+    computed, in the same pass.
+    """
+    r = materialize(raw.withColumn("row", F.monotonically_increasing_id()), "raw")
     ids = nodes.select(F.col("article_seq").alias("art"), "node_id", "node_ord")
     for k in ("1", "2"):
         r = r.withColumn(f"c{k}", clean_id(F.col(f"entity{k}_id")))
         fits = (F.col("node_id") == F.col(f"c{k}")) | (F.startswith("node_id", f"c{k}") & F.substring("node_id", F.length(f"c{k}") + 1, F.lit(1)).isin("_", ";"))
         hit = r.join(ids, (F.col("article_seq") == F.col("art")) & fits & (F.col(f"c{k}") != ""))
         best = hit.groupBy("row").agg(F.min_by("node_id", F.struct(F.col("node_id") != F.col(f"c{k}"), F.col("node_ord"))).alias(f"n{k}"))
-        r = r.join(best, "row")
-    r = r.withColumn("conf", confidence(F.col("confidence"))).where((F.col("conf") >= effective_threshold(threshold, provider)) & (F.col("n1") != F.col("n2")))
+        r = r.join(best, "row", "left")
+    r = r.withColumn("conf", confidence(F.col("confidence")))
+    lost = F.when(F.col("entity1_id").isNull(), "none").when(F.col("n1").isNull() | F.col("n2").isNull(), "unknown").when(F.col("n1") == F.col("n2"), "loop")
+    r = r.withColumn("lost", F.coalesce(lost, F.when(~F.coalesce(F.col("conf") >= effective_threshold(threshold, provider), F.lit(False)), "weak")))
+    if watch is not None:
+        once = F.coalesce("place", F.lit(0)) == 0 if "place" in raw.columns else F.lit(True)
+        r = r.observe(watch, *[F.count_if(once & c).alias(n) for n, c in _articles().items()], *[F.count_if(F.col("lost").eqNullSafe(c)).alias(n) for n, c in RELATIONS.items()])
+    r = r.where("lost is null")
     return r.select("article_seq", F.least("n1", "n2").alias("u"), F.greatest("n1", "n2").alias("v"), "pmid", relation_name(F.col("relation_type")).alias("relation"), F.col("n1").alias("source_id"), F.col("conf").alias("confidence"), "evidence", "study_type")
 
 
+#: What becomes of relations: an end that is no node of the article, both ends one node, below the threshold, kept.
+RELATIONS = {"unknown_ends": "unknown", "loops": "loop", "below_threshold": "weak", "kept": None}
+
+
+def _articles() -> dict[str, Column]:
+    """What becomes of articles, each counted at its first row."""
+    is_ = lambda *o: F.col("outcome").isin(*o)
+    return {"attempted": ~is_("skipped"), "skipped": is_("skipped"), "failed": is_("failed"), "unparsed": is_("unparsed"), "empty": is_("none"), "with_relations": is_("ok")}
+
+
+COUNTERS = ("attempted", "skipped", "failed", "unparsed", "empty", "with_relations", *RELATIONS)
+
+
 def outcomes(raw: DataFrame) -> DataFrame:
     return raw.groupBy("outcome").agg(F.countDistinct("article_seq").alias("articles"), F.count("entity1_id").alias("relations"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,25 +94,55 @@ def edge_cost(weight: Column) -> Column:
 
 
 def shortest_paths(edges: DataFrame, anchors: DataFrame, max_hops: int | None = None, cost: str = "cost") -> DataFrame:
-    """(a, b, cost, path) for every pair a < b of anchors (node_id) that is connected, within max_hops if given; ties to the smaller path.
+    """(a, b, cost, path) for every pair a < b of anchors (node_id) that is connected, within max_hops if given; costs must not be negative.
 
-    Relaxation from all anchors at once: a round is one join and one aggregation, and only what got better goes on,
-    until nothing does. Costs must not be negative.
+    Waves run from all anchors at once; a row is (anchor, node, cost, hops, the node before it), without the path. What one wave betters goes on
+    in the next. A wave's row stops as soon as it costs more than any pair of its anchor could still use: half of the anchor's dearest known
+    pair, once all its pairs are known, as the wave from the other end covers the other half. Where two waves meet,
+    at a node or over an edge, is a candidate for the pair, and its path is traced back over the nodes before. Of equally cheap paths that
+    with fewer hops, then that of the smaller nodes met, is given.
     """
-    step = materialize(both_ways(edges, cost), "ways")
-    start = anchors.select(F.col("node_id").alias("a")).distinct()
-    best = start.select("a", F.col("a").alias("node"), F.lit(0.0).alias("cost"), F.array("a").alias("path"))
-    wave = best
-    for _ in itertools.count() if max_hops is None else range(max_hops):
-        reached = wave.withColumnRenamed("cost", "so_far").join(step, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        reached = reached.select("a", F.col("dst").alias("node"), (F.col("so_far") + F.col(cost)).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        new = reached.groupBy("a", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("a", "node", "m.cost", "m.path")
-        old = best.select(F.col("a").alias("oa"), F.col("node").alias("on"), F.col("cost").alias("oc"), F.col("path").alias("op"))
-        better = new.join(old, (F.col("a") == F.col("oa")) & (F.col("node") == F.col("on")), "left").where("oc is null or struct(cost, path) < struct(oc, op)").select("a", "node", "cost", "path")
-        wave = materialize(better, "wave")
+    step = materialize(both_ways(edges, F.col(cost).alias("step")).where("src <> dst").groupBy("src", "dst").agg(F.min("step").alias("step")), "ways")
+    kind = dict(step.dtypes)["src"]
+    start = materialize(anchors.select(F.col("node_id").alias("a")).where("a is not null").distinct(), "anchors")
+    others = start.count() - 1
+    mark = ["cost", "hops", "prev"]
+    best = materialize(start.select("a", F.col("a").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("prev")), "best")
+    wave, round_ = best, 0
+    while others > 0 and (max_hops is None or round_ < max_hops):
+        round_ += 1
+        reached = wave.join(step, F.col("node") == F.col("src")).select("a", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev"))
+        if max_hops is None:
+            # a pair's cost so far, where two waves stand on one node
+            x, y = best.select("a", "node", F.col("cost").alias("cx")), best.select(F.col("a").alias("b"), F.col("node").alias("n2"), F.col("cost").alias("cy"))
+            pairs = x.join(y, (F.col("node") == F.col("n2")) & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.min(F.col("cx") + F.col("cy")).alias("c"))
+            bound = pairs.groupBy(F.col("a").alias("ba")).agg(F.max("c").alias("most"), F.count("*").alias("n")).where(F.col("n") == others).drop("n")
+            reached = reached.join(bound, F.col("a") == F.col("ba"), "left").where("most is null or 2 * cost <= most * (1 + 1e-9)").drop("ba", "most")
+        new = reached.groupBy("a", "node").agg(F.min(F.struct(*mark)).alias("m")).select("a", "node", "m.*")
+        old = best.select(F.col("a").alias("oa"), F.col("node").alias("on"), F.struct(*mark).alias("om"))
+        wave = materialize(new.join(old, (F.col("a") == F.col("oa")) & (F.col("node") == F.col("on")), "left").where(F.col("om").isNull() | (F.struct(*mark) < F.col("om"))).drop("oa", "on", "om"), "wave")
         if wave.isEmpty():
             break
-        best = materialize(best.unionByName(wave).groupBy("a", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("a", "node", "m.cost", "m.path"), "best")
-    ends = start.withColumnRenamed("a", "b")
-    return best.join(ends, F.col("node") == F.col("b")).where("a < b").select("a", "b", "cost", "path")
-
+        best = materialize(best.unionByName(wave).groupBy("a", "node").agg(F.min(F.struct(*mark)).alias("m")).select("a", "node", "m.*"), "best")
+    if max_hops is not None:  # waves did not stop half way
+        met = best.join(start.withColumnRenamed("a", "b"), F.col("node") == F.col("b")).where("a < b").select("a", "b", "cost", F.col("node").alias("x"), F.col("node").alias("y"))
+    else:
+        x, y = best.select("a", F.col("node").alias("x"), F.col("cost").alias("cx"), F.col("hops").alias("hx")), best.select(F.col("a").alias("b"), F.col("node").alias("y"), F.col("cost").alias("cy"), F.col("hops").alias("hy"))
+        over = x.join(step, F.col("x") == F.col("src")).join(y, F.col("dst") == F.col("y")).where("a < b").select("a", "b", (F.col("cx") + F.col("step") + F.col("cy")).alias("cost"), (F.col("hx") + F.col("hy") + 1).alias("hops"), "x", "y")
+        at = x.join(y, F.col("x") == F.col("y")).where("a < b").select("a", "b", (F.col("cx") + F.col("cy")).alias("cost"), (F.col("hx") + F.col("hy")).alias("hops"), "x", "y")
+        met = over.unionByName(at).groupBy("a", "b").agg(F.min(F.struct("cost", "hops", "x", "y")).alias("m")).select("a", "b", "m.cost", "m.x", "m.y")
+    return _traced(materialize(met, "met"), best)
+
+
+def _traced(met: DataFrame, best: DataFrame) -> DataFrame:
+    """(a, b, cost, path): from x back to a and from y back to b, a step for all pairs in a round."""
+    back = best.select(F.col("a").alias("of"), F.col("node").alias("on"), "prev")
+    p = met.select("a", "b", "cost", "x", "y", F.array("x").alias("head"), F.when(F.col("x") != F.col("y"), F.array("y")).otherwise(F.array().cast(f"array<{dict(met.dtypes)['y']}>")).alias("tail"))
+    while True:
+        p = materialize(p, "traced")
+        if p.where("x <> a or y <> b").isEmpty():
+            return p.select("a", "b", "cost", F.concat("head", "tail").alias("path"))
+        p = p.join(back.toDF("oa", "ox", "px"), (F.col("a") == F.col("oa")) & (F.col("x") == F.col("ox")), "left").join(back.toDF("ob", "oy", "py"), (F.col("b") == F.col("ob")) & (F.col("y") == F.col("oy")), "left")
+        grow = lambda end, prev, to: F.when(F.col(end) != F.col(to), F.array(prev))
+        none = F.array().cast(f"array<{dict(met.dtypes)['x']}>")
+        p = p.select("a", "b", "cost", F.when(F.col("x") != F.col("a"), F.col("px")).otherwise(F.col("x")).alias("x"), F.when(F.col("y") != F.col("b"), F.col("py")).otherwise(F.col("y")).alias("y"), F.concat(F.coalesce(grow("x", "px", "a"), none), "head").alias("head"), F.concat("tail", F.coalesce(grow("y", "py", "b"), none)).alias("tail"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import token_estimate
 from weftgraph.operators import batching
+from weftgraph.session import materialize
+
+#: Names, with their automaton's overhead, that a task holds at once.
+PART_BYTES = 16_000_000
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -125,6 +132,47 @@ def nodes_in_query(nodes: DataFrame, query: str, hits: DataFrame | None = None,
     return (found.unionByName(hits.where(F.col("score") > least).select("node_id")) if hits is not None else found).distinct()
 
 
+def names_in_texts(texts: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(id, node_id): nodes (node_id, name) whose name or id stands in a text, ignoring case; nodes_in_query for a table of texts.
+
+    An Aho-Corasick automaton over all names reads each text once. Names are dealt into parts of some part_bytes by a hash, and
+    texts are read once for each part, so what a task holds is bounded whatever the graph. Null and empty texts, names and ids have no hits; no text is cut.
+    """
+    keys = nodes.select("node_id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.col("node_id").cast("string"))))).alias("key")).where("key <> ''").distinct()
+    keys = materialize(keys, "names")
+    size = keys.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
+    parts = max(1, -(-2 * size // part_bytes))
+    kind, own = dict(nodes.dtypes)["node_id"], texts.select(id_col, F.lower(text).alias("text")).where(f"text <> '' and `{id_col}` is not null")
+    found = []
+    for p in range(parts):
+        mine = keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p).groupBy("key").agg(F.array_sort(F.collect_set("node_id")).alias("ids"))
+        rows = [(r["key"], r["ids"]) for r in mine.collect()]  # half of part_bytes on average
+        if not rows:
+            continue
+        shared = texts.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for key, ids in shared.value:
+                automaton.add_word(key, ids)
+            automaton.make_automaton()
+            for b in batches:
+                docs, hits = [], []
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    mine = {i for _, ids in automaton.iter(t) for i in ids}
+                    docs += [doc] * len(mine)
+                    hits += mine
+                yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(hits, arrow_kind)], [id_col, "node_id"])
+
+        arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+        found.append(own.mapInArrow(run, f"`{id_col}` {dict(texts.dtypes)[id_col]}, node_id {kind}"))
+    if not found:
+        return texts.select(id_col).limit(0).join(nodes.select("node_id").limit(0), F.lit(True))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def select_nodes(selection: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node_id) of a selection (key): by element id, then node id, then name."""
     n = nodes.select("node_id", F.sha1(F.concat(F.lit("node_"), "node_id")).alias("element"), F.lower("name").alias("label"))

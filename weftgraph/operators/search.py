@@ -68,13 +68,13 @@ def without_publication_types(query: Column) -> Column:
 
 
 def valid_boolean(query: str) -> bool:
-    """Balanced quotes and brackets, no trailing operator, no words of SQL, no square brackets."""
-    depth = 0
-    for c in query:
+    """Balanced quotes and brackets, no trailing operator, and outside of quotes no words of SQL and no square brackets."""
+    depth, bare = 0, re.sub(r'"[^"]*"', '""', query)
+    for c in bare:
         depth += (c == "(") - (c == ")")
         if depth < 0:
             return False
-    bad = re.search(r"\b(select|insert|update|delete|drop|from|where)\b|[\[\]]|\b(AND|OR|NOT)\s*$", query, re.IGNORECASE)
+    bad = re.search(r"\b(select|from|where|limit|order by)\b|[\[\]]|\b(AND|OR|NOT)\s*$", bare, re.IGNORECASE)
     return bool(query.strip()) and depth == 0 and query.count('"') % 2 == 0 and not bad
 
 

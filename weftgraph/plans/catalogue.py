@@ -6,6 +6,7 @@ of the order's price.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from weftgraph.functions import relations as rel
 from weftgraph.functions import text as tx
 from weftgraph.operators import chatlog, communities, edges, mentions, paths, prune, resolve, retrieval, search, weights
 from weftgraph.operators.components import connected_components
-from weftgraph.session import materialize, numbered, table
-from weftgraph.streaming import daily_pairs
+from weftgraph.session import materialize, numbered, shared_dir, table
+from weftgraph.streaming import daily_pairs, event_stream, pairs_stream, read_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,12 +101,8 @@ def citation_weight(spark, d):
 @query("SELECT l_partkey::VARCHAR AS u, l_suppkey::VARCHAR AS v, STRING_AGG(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS relations, COUNT(DISTINCT l_orderkey)::BIGINT AS num_relations FROM lineitem GROUP BY 1, 2")
 def relation_edges(spark, d):
     key = lambda c: F.col(c).cast("string")
-    evidence = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("article_seq"), key("l_partkey").alias("u"), key("l_suppkey").alias("v"), key("l_orderkey").alias("pmid"), F.col("l_returnflag").alias("relation"),
-        F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("evidence"),
-    )
-    e = edges.graph_edges(evidence)
-    return e.select("u", "v", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.map_values("relations")))), ",").alias("relations"), "num_relations")
+    evidence = table(spark, d, "lineitem").select(key("l_partkey").alias("u"), key("l_suppkey").alias("v"), F.col("l_orderkey").alias("pmid"), F.col("l_returnflag").alias("relation"))
+    return edges.edge_relations(evidence).select("u", "v", F.array_join("relations", ",").alias("relations"), "num_relations")
 
 
 @query("""WITH m AS (SELECT l_suppkey u, l_partkey v, l_returnflag r, ROUND(AVG(l_discount), 6) c FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY c DESC, r) k FROM m)
@@ -210,15 +207,17 @@ def neighbourhood(spark, d):
     return paths.neighbourhood(strong(spark, d), spark.createDataFrame([("Brand#12",), ("Brand#34",)], "node_id string"))
 
 
-# after k rounds of joining the distances with themselves, all paths of up to 2**k hops are in; 25 brands need no more than 24
-DOUBLED = ", ".join(f"d{k + 1} AS (SELECT a, b, MIN(c) c FROM (SELECT * FROM d{k} UNION ALL SELECT x.a, y.b, x.c + y.c FROM d{k} x JOIN d{k} y ON x.b = y.a) GROUP BY a, b)" for k in range(5))
+#: Suppliers whose orders meet, and the paths between those of ten: an edge is dearer the fewer orders it has.
+SUPPLIERS = "s AS (SELECT DISTINCT l_orderkey a, l_suppkey n FROM lineitem), k AS (SELECT x.n u, y.n v, 1::DOUBLE / GREATEST(COUNT(*)::DOUBLE, 0.1::DOUBLE) c FROM s x JOIN s y ON x.a = y.a AND x.n < y.n GROUP BY 1, 2), h AS (SELECT u, v, c FROM k UNION ALL SELECT v, u, c FROM k), g AS (SELECT s_suppkey n FROM supplier ORDER BY s_suppkey LIMIT 10)"
+# one more hop in each round, from ten suppliers; more than 12 hops do not get cheaper at the tested sizes
+HOPS = ", ".join(f"d{k + 1} AS MATERIALIZED (SELECT a, b, MIN(c) c FROM (SELECT * FROM d{k} UNION ALL SELECT d.a, h.v, d.c + h.c FROM d{k} d JOIN h ON d.b = h.u) GROUP BY a, b)" for k in range(12))
 
 
-@query(f"""WITH {STRONG}, d0 AS (SELECT u a, v b, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) c FROM k UNION ALL SELECT v, u, 1::DOUBLE / GREATEST(edge_weight, 0.1::DOUBLE) FROM k),
-{DOUBLED} SELECT a, b, ROUND(c, 6) AS cost FROM d5 WHERE a < b""")
+@query(f"""WITH {SUPPLIERS}, d0 AS (SELECT n a, n b, 0::DOUBLE c FROM g), {HOPS} SELECT a, b, ROUND(c, 6) AS cost FROM d12 WHERE a < b AND b IN (SELECT n FROM g)""")
 def shortest_path_cost(spark, d):
-    e = strong(spark, d).withColumn("cost", paths.edge_cost(F.col("edge_weight")))
-    return paths.shortest_paths(e, prune.endpoints(e).distinct()).select("a", "b", F.round("cost", 6).alias("cost"))
+    e = supplier_edges(spark, d).withColumn("cost", paths.edge_cost(F.col("edge_weight")))
+    anchors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id")).orderBy("node_id").limit(10)
+    return paths.shortest_paths(e, anchors).select("a", "b", F.round("cost", 6).alias("cost"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT v.vec_id a, v.vec_id + 3 b FROM embeddings v), h AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM h UNION SELECT h.b, r.m FROM r JOIN h ON r.n = h.a)
@@ -425,23 +424,51 @@ def search_nodes(spark, d):
     return search.search(n, "@Economy, ivory, @Promo:red")
 
 
-CONFIDENCES = [(1, "78%"), (2, "0.4"), (3, "12"), (4, ""), (5, None), (6, "high"), (7, "250"), (8, "-1")]
-RELATION_WORDS = [(1, "inhibition"), (2, "INHIBITS"), (3, "interacts with"), (4, " Treatment "), (5, "co-mention"), (6, "upregulation"), (7, "binds to"), (8, "unheard of")]
+#: Confidences as texts of several kinds, made of lineitem.
+SAID = "CASE l_linenumber % 6 WHEN 0 THEN (l_partkey % 101)::VARCHAR || '%' WHEN 1 THEN ' 0.' || (l_suppkey % 10)::VARCHAR WHEN 2 THEN '' WHEN 3 THEN (l_orderkey % 300)::VARCHAR WHEN 4 THEN 'high' ELSE '-' || (l_partkey % 3)::VARCHAR END"
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join(f"({k}, {'NULL' if v is None else repr(v)})" for k, v in rows)
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, {SAID} raw FROM lineitem), x AS (SELECT *, TRY_CAST(replace(trim(raw), '%', '') AS DOUBLE) c FROM v)
+SELECT l_orderkey, l_linenumber, LEAST(GREATEST(CASE WHEN c IS NULL THEN 0.5::DOUBLE WHEN c > 1 AND c <= 100 THEN c / 100 ELSE c END, 0::DOUBLE), 1::DOUBLE) AS confidence FROM x""")
+def confidence_norm(spark, d):
+    said = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(SAID.replace("::VARCHAR", "::STRING")).alias("raw"))
+    return said.select("l_orderkey", "l_linenumber", rel.confidence(F.col("raw")).alias("confidence"))
 
 
-@query(f"""WITH v(id, raw) AS (VALUES {_values(CONFIDENCES)}), x AS (SELECT id, TRY_CAST(replace(trim(raw), '%', '') AS DOUBLE) c FROM v)
-SELECT id, LEAST(GREATEST(CASE WHEN c IS NULL THEN 0.5::DOUBLE WHEN c > 1 AND c <= 100 THEN c / 100 ELSE c END, 0::DOUBLE), 1::DOUBLE) AS confidence FROM x""")
-def confidence_norm(spark, d):
-    return spark.createDataFrame(CONFIDENCES, "id int, raw string").select("id", rel.confidence(F.col("raw")).alias("confidence"))
+#: Relations as models write them: a stem by part, an ending by line, now and then in capitals or with blanks around.
+STEMS, ENDINGS = ["inhibit", "activat", "interact", "bind", "upregulat", "treat", "associat", "press"], ["s", "e", "ion", " with", "ing", ""]
+WORDS = ", ".join(f"'{w}'" for w in STEMS)
+TAILS = ", ".join(f"'{w}'" for w in ENDINGS)
+RELATION = f"CASE l_suppkey % 3 WHEN 0 THEN upper({{at}}([{WORDS}], l_partkey % 8 + 1) || {{at}}([{TAILS}], l_linenumber % 6 + 1)) ELSE ' ' || {{at}}([{WORDS}], l_partkey % 8 + 1) || {{at}}([{TAILS}], l_linenumber % 6 + 1) || '  ' END"
+USUAL = ", ".join(f"('{k}', '{v}')" for k, v in rel.USUAL_FORM.items())
 
 
-@query("""WITH v(id, name, directional) AS (VALUES (1, 'inhibits', true), (2, 'inhibits', true), (3, 'interacts_with', false), (4, 'treats', true), (5, 'co-mention', false), (6, 'upregulates', true), (7, 'binds_to', false), (8, 'unheard_of', false)) SELECT * FROM v""")
+@query(f"""WITH u(k, v) AS (VALUES {USUAL}), w AS (SELECT {RELATION.format(at="list_extract")} raw FROM lineitem), n AS (SELECT raw, replace(trim(lower(raw), ' '), ' ', '_') s FROM w)
+SELECT raw, COALESCE(v, s) AS name, COALESCE(v, s) IN ({", ".join(f"'{x}'" for x in rel.DIRECTIONAL)}) AS directional, COALESCE(v, s) IN ({", ".join(f"'{x}'" for x in rel.SYMMETRIC)}) AS symmetric, COUNT(*)::BIGINT AS n FROM n LEFT JOIN u ON k = s GROUP BY 1, 2, 3, 4""")
 def relation_norm(spark, d):
-    return spark.createDataFrame(RELATION_WORDS, "id int, raw string").select("id", rel.relation_name(F.col("raw")).alias("name"), rel.is_directional(F.col("raw")).alias("directional"))
+    raw = F.expr(RELATION.format(at="element_at").replace("[", "array(").replace("]", ")")).alias("raw")
+    words = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("int"), F.col("l_partkey").cast("int"), F.col("l_linenumber").cast("int")).select(raw).groupBy("raw").agg(F.count("*").alias("n"))
+    return words.select("raw", rel.relation_name(F.col("raw")).alias("name"), rel.is_directional(F.col("raw")).alias("directional"), rel.is_symmetric(F.col("raw")).alias("symmetric"), "n")
+
+
+#: Mutations: a variant of each line, named by its part and supplier; odd lines ask for both attributes, even ones for one.
+VARIANT = "'tmVar:p' || l_partkey || ';RS#:' || (l_suppkey % 10) || '_L' || l_linenumber"
+ASKED = "CASE WHEN l_linenumber % 2 = 0 THEN 'RS#:' || (l_suppkey % 10) || ';CA#:' ELSE 'tmVar:p' || l_partkey || ';RS#:' || (l_suppkey % 10) END"
+
+
+@query(f"""WITH n AS (SELECT l_orderkey o, l_linenumber k, l_partkey p, l_suppkey % 10 r, {VARIANT} id FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) l_partkey, MIN(l_suppkey) l_suppkey FROM lineitem GROUP BY 1, 2))
+SELECT x.o AS article_seq, x.k AS rel_seq, CASE WHEN x.k % 2 = 0 THEN arg_min(y.id, y.k) ELSE arg_max(y.id, y.k) END AS node_id FROM n x JOIN n y ON x.o = y.o AND x.r = y.r AND (x.k % 2 = 0 OR x.p = y.p) GROUP BY x.o, x.k""")
+def mutation_match(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    nodes = li.select(F.col("l_orderkey").alias("article_seq"), F.expr(VARIANT).alias("node_id"), F.col("l_linenumber").alias("node_ord"), F.lit(True).alias("is_mesh"))
+    asked = li.select(F.col("l_orderkey").alias("article_seq"), F.col("l_linenumber").alias("rel_seq"), F.expr(ASKED).alias("id1"))
+    return edges.resolve_ids(asked, nodes, "id1")
+
+
+@query("""WITH n AS (SELECT item_id, LOWER(text[1:14]) k FROM benchmark WHERE text IS NOT NULL) SELECT DISTINCT doc_id, item_id AS node_id FROM documents JOIN n ON k <> '' AND (contains(LOWER(text), k) OR contains(LOWER(text), item_id::VARCHAR))""")
+def names_in_texts(spark, d):
+    names = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("node_id"), F.substring("text", 1, 14).alias("name"))
+    return retrieval.names_in_texts(table(spark, d, "documents").select("doc_id", "text"), names)
 
 
 @query("""SELECT DISTINCT p_brand AS brand, '("' || p_brand || '") NOT "Editorial" NOT "Letter" NOT "Published Erratum" NOT "Congress" NOT "News" NOT "Comment" NOT "Retraction of Publication"' AS query FROM part""")
@@ -461,6 +488,16 @@ def events_incremental(spark, d):
     return daily_pairs(table(spark, d, "events")).withColumn("day", F.col("day").cast("string"))
 
 
+@query(ORACLE_SQL["events_incremental"])
+def events_streamed(spark, d):
+    """The events table as a stream of files, through state and batches, to the counts of events_incremental."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    files = materialize(table(spark, d, "events").select("ts", "user_id", "event_type"), "events")  # a folder, as streams read no single file
+    run = pairs_stream(event_stream(spark, files._written, ", ".join(f"{c} {t}" for c, t in files.dtypes)), at).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return read_pairs(spark, at).withColumn("day", F.col("day").cast("string"))
+
+
 @query("""WITH i AS (SELECT doc_id, UNNEST(string_split(array_to_string([doc_id::VARCHAR, lang, ' ' || (doc_id % 10)::VARCHAR, ''], ','), ',')) x FROM documents)
 SELECT DISTINCT TRIM(x) AS pmid FROM i WHERE TRY_CAST(TRIM(x) AS BIGINT) IS NOT NULL""")
 def id_list(spark, d):
