@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from weftgraph.operators import edges, extract, paths, retrieval, search
+from weftgraph.operators import edges, extract, paths, resolve, retrieval, search
 from weftgraph.operators.components import connected_components, smallest_reachable
 from weftgraph.streaming import daily_pairs, event_stream, pairs_stream, read_pairs, windowed_counts
 
@@ -172,3 +172,20 @@ def test_boolean_queries_keep_quoted_words():
     assert search.valid_boolean('"foot drop" AND "nerve"') and search.valid_boolean('"select a [group]" OR x') and search.valid_boolean("drop AND delete")
     assert not search.valid_boolean("SELECT x FROM y") and not search.valid_boolean('"a" ORDER BY b') and not search.valid_boolean("a [b]") and not search.valid_boolean('("a"')
     assert search.boolean_query("foot drop and nerves", '"foot drop" AND "nerve"') == '"foot drop" AND "nerve"'
+
+
+@pytest.mark.parametrize("part_rows,most_pivots", [(2000, 2048), (20, 2048), (20, 3), (7, 1)])
+def test_similar_pairs_by_pivots(spark, part_rows, most_pivots):
+    g = np.random.default_rng(3)
+    centre = g.standard_normal((6, 5))
+    rows = [(k, f"t{k % 2}", (centre[g.integers(0, 6)] + 0.15 * g.standard_normal(5)).tolist()) for k in range(160)]
+    rows += [(200 + k, "t0", rows[0][2]) for k in range(30)] + [(300, "t0", None), (301, "t0", []), (302, "t0", [0.0] * 5), (303, None, rows[0][2]), (304, "t0", [1.0, 2.0]), (305, "t0", [2.0, 4.0]), (306, "t1", [1.0, None, 0.0, 0.0, 0.0])]
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    good = [(i, t, v) for i, t, v in rows if t and v and None not in v and any(v)]
+    want = {(a, b): cos(x, y) for (a, s, x), (b, t, y) in itertools.combinations(good, 2) if s == t and len(x) == len(y) and cos(x, y) > 0.95}
+    df = spark.createDataFrame(rows, "node_id long, kind string, embedding array<double>")
+    watch = Observation("sent")
+    got = {(r["a"], r["b"]): r["cosine"] for r in resolve.similar_pairs(df, 0.95, "kind", part_rows=part_rows, most_pivots=most_pivots, watch=watch).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    if part_rows == 20 and most_pivots > 100:  # dealt by a hash alone, each of some 110 rows of a kind goes to 6 parts
+        assert watch.get["sent"] < 0.75 * (len(good) - 2) * 5.5

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.session import materialize
 
 PROTECTED = ["Gene", "ProteinMutation", "DNAMutation", "SNP"]  # fixed values
 #: Rows of a part whose pairs are compared; types of nodes, a short closed list.
-PART_ROWS, MOST_TYPES = 2000, 100
+PART_ROWS, MOST_PIVOTS, MOST_TYPES = 2000, 2048, 100
 
 
 def _known(mesh: Column) -> Column:
@@ -44,25 +44,104 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: str, id_col: str = "node_id", vector: str = "embedding") -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block: str, id_col: str = "node_id", vector: str = "embedding", part_rows: int = PART_ROWS, most_pivots: int = MOST_PIVOTS, watch: Observation | None = None) -> DataFrame:
     """(a, b, cosine) with a < b within a block (such as a type) and cosine above threshold, in double precision.
 
-    A block is dealt into parts of some PART_ROWS rows, and each pair of parts is a task and one matrix product, so that no task
-    holds a whole block. Null, empty and zero vectors and null blocks have no pairs; vectors of other lengths meet only their like.
+    A block of more than part_rows rows is dealt into parts around pivots, vectors of its own of smallest hash. Angles obey the triangle
+    inequality: a vector can only have partners in parts whose pivot is within their radius and the threshold's angle of it, and it is sent
+    to those alone. A pair of parts is a task and one matrix product; a part of more than part_rows rows is cut by a hash first, so no
+    task holds a whole block. The largest blocks get pivots, most_pivots in all; the rest are cut by the hash alone. Null, empty and zero vectors and
+    null blocks have no pairs; vectors of other lengths meet only their like. watch: gets `sent`, the rows that tasks receive in all.
     """
-    kind = dict(vectors.dtypes)[id_col]
-    v = vectors.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    kind, spark = dict(vectors.dtypes)[id_col], vectors.sparkSession
+    v = vectors.select(F.col(block).cast("string").alias("block"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     v = v.where("block is not null and id is not null and x is not null and exists(x, e -> e <> 0) and forall(x, e -> e is not null)").withColumn("n", F.size("x"))
-    parts = v.groupBy("block", "n").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))  # a row for each block
-    v = v.join(parts, ["block", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
-    v = v.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    v = v.select("block", "n", "id", "x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    sizes = v.groupBy("block", "n").agg(F.ceil(F.count("*") / part_rows).alias("parts")).where("parts > 1").orderBy(F.desc("parts"), "block", "n").limit(most_pivots)
+    wanted, left = {}, most_pivots
+    for r in sizes.collect():  # at most most_pivots rows
+        wanted[r["block"], r["n"]] = min(r["parts"], left)
+        left -= wanted[r["block"], r["n"]]
+        if left <= 0:
+            break
+    pivots = {}
+    if wanted:
+        keys = spark.createDataFrame([(*k, int(m)) for k, m in wanted.items()], "block string, n int, m int")
+        h = F.struct(F.xxhash64("id").alias("h"), "id", "x")
+        chosen = v.join(F.broadcast(keys), ["block", "n"])  # at most most_pivots rows
+        cut = F.pmod(F.xxhash64("id", F.lit(3)), F.col("m"))  # the smallest hash of each of m shares
+        for r in chosen.groupBy("block", "n", cut.alias("k")).agg(F.min(h).alias("p")).collect():  # most_pivots rows
+            pivots.setdefault((r["block"], r["n"]), []).append((r["k"], r["p"]["x"]))
+        pivots = {k: _unit(np.array([x for _, x in sorted(p)])) for k, p in pivots.items()}
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def angles(t, at):
+        """Of rows of one block and length: their angles to its pivots, one of 0 where there is none."""
+        p = shared.value.get((t.column("block")[at[0]].as_py(), t.column("n")[at[0]].as_py()))
+        if p is None:
+            return np.zeros((len(at), 1))
+        x = _unit(np.array(t.column("x").take(pa.array(at)).to_pylist()))
+        return np.arccos(np.clip(x @ p.T, -1, 1))
+
+    def groups(b):
+        seen: dict = {}
+        for i, k in enumerate(zip(b.column("block").to_pylist(), b.column("n").to_pylist())):
+            seen.setdefault(k, []).append(i)
+        return seen.values()
+
+    def nearest(batches):
+        for b in batches:
+            own, far = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for at in groups(b):
+                d = angles(b, at)
+                own[at], far[at] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(far)], [*b.schema.names, "own", "far"])
+
+    if pivots:
+        v = materialize(v.mapInArrow(nearest, f"block string, id {kind}, x array<double>, n int, own long, far double"), "nearest")
+    else:
+        v = v.withColumn("own", F.lit(0).cast("long")).withColumn("far", F.lit(0.0))
+    parts = v.groupBy("block", "n", "own").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / part_rows).cast("long").alias("subs"))
+    v = v.join(parts.select("block", "n", "own", "subs"), ["block", "n", "own"])
+    mine = {}
+    if pivots:  # a row for each pivot
+        for r in parts.join(F.broadcast(keys.select("block", "n")), ["block", "n"]).collect():
+            mine.setdefault((r["block"], r["n"]), {})[r["own"]] = (r["radius"], r["subs"])
+    known, reach = spark.sparkContext.broadcast(mine), float(np.arccos(max(-1.0, min(1.0, threshold)))) + 1e-9
+
+    def sent(batches):
+        """Each row once for every part, and piece of it, that may hold a partner."""
+        for b in batches:
+            rows, to, piece = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            subs = b.column("subs").to_numpy()
+            for at in groups(b):
+                at = np.array(at)
+                info = known.value.get((b.column("block")[int(at[0])].as_py(), b.column("n")[int(at[0])].as_py()))
+                if info is None:
+                    where = [(0, at, int(subs[at[0]]))]
+                else:
+                    d = angles(b, at)
+                    where = [(k, at[d[:, k] <= radius + reach], pieces) for k, (radius, pieces) in info.items()]
+                for k, who, pieces in where:
+                    for p in range(pieces):
+                        rows.append(who)
+                        to.append(np.full(len(who), k))
+                        piece.append(np.full(len(who), p))
+            pick = np.concatenate(rows)
+            out = b.take(pa.array(pick))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(to)), pa.array(np.concatenate(piece))], [*b.schema.names, "to", "piece"])
+
+    # a row's own place is (own, cut); it meets the rows of (to, piece), and of the two places the smaller comes first
+    v = v.select("block", "id", "x", "n", "own", "subs").mapInArrow(sent, f"block string, id {kind}, x array<double>, n int, own long, subs long, to long, piece long")
+    here, there = F.struct("own", F.pmod(F.xxhash64("id"), F.col("subs")).alias("cut")), F.struct(F.col("to").alias("own"), F.col("piece").alias("cut"))
+    v = v.select("block", "n", "id", "x", F.least(here, there).alias("i"), F.greatest(here, there).alias("j"), (here > there).alias("second"))
+    if watch is not None:
+        v = v.observe(watch, F.count("*").alias("sent"))
 
     def run(t: pa.Table) -> pa.Table:
         ids, second = np.array(t.column("id").to_pylist(), object), t.column("second").to_numpy()
         x = np.asarray(t.column("x").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
-        u = x / np.sqrt((x * x).sum(1))[:, None]
-        across = bool(second.any())
+        u = _unit(x)
+        across = t.column("i")[0] != t.column("j")[0]
         rows, cols = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(ids)),) * 2
         a, b = np.nonzero(u[rows] @ u[cols].T > threshold - 1e-9)
         a, b = rows[a], cols[b]
@@ -77,6 +156,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: str, id_col: str
     return v.groupBy("block", "n", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def compatible(a: Column, b: Column) -> Column:
     unknown = F.lower(a).isin("unknown") | F.lower(b).isin("unknown")
     return (a == b) | unknown | (a.isin(PROTECTED) & b.isin(PROTECTED))
