@@ -1,6 +1,7 @@
 """Operators that cut hot groups, follow waves or run over streams, against plain recomputation."""
 
 import itertools
+import json
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import edges, extract, paths, resolve, retrieval, search
 from weftgraph.operators.components import connected_components, smallest_reachable
+from weftgraph.sources.json_objects import read_objects
 from weftgraph.streaming import daily_pairs, event_stream, pairs_stream, read_pairs, windowed_counts
 
 
@@ -189,3 +191,20 @@ def test_similar_pairs_by_pivots(spark, part_rows, most_pivots):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     if part_rows == 20 and most_pivots > 100:  # dealt by a hash alone, each of some 110 rows of a kind goes to 6 parts
         assert watch.get["sent"] < 0.75 * (len(good) - 2) * 5.5
+
+
+@pytest.mark.parametrize("chunk,fan,indent", [(30, 2, None), (7, 3, 2), (1_000_000, 256, None)])
+def test_objects_of_one_large_file(spark, tmp_path, chunk, fan, indent):
+    r = random.Random(chunk)
+    odd = ["}", "{", '"', "\\", '\\"', "é", "]", "\n", "a"]
+    made = [[{"id": f"{f}-{k}", "text": "".join(r.choice(odd) for _ in range(r.randrange(60))), "more": [{"x": {}}] * r.randrange(3)} for k in range(n)] for f, n in enumerate((40, 0, 1, 25))]
+    for f, docs in enumerate(made):
+        (tmp_path / f"f{f}.json").write_text(json.dumps({"about": "}{", "PubTator3": docs}, ensure_ascii=f % 2 == 0, indent=indent) + "\n" * (f % 2), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        assert spark.read.text(str(tmp_path / "f0.json"), lineSep="}").rdd.getNumPartitions() > 5
+        got = read_objects(spark, str(tmp_path), chunk=chunk, fan=fan).orderBy("number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [json.loads(x["text"]) for x in got] == [d for docs in made for d in docs] and [x["number"] for x in got] == list(range(66))

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.sources.json_objects import read_objects
 from weftgraph.sources.tagged_text import Tables
 
 INFONS = "struct<type:string,section_type:string,journal:string,year:string,authors:string,`article-id_doi`:string,volume:string,issue:string,pages:string>"
 ANNOTATION = "struct<infons:struct<identifier:string,type:string,subtype:string,name:string,database:string>,text:string,locations:array<struct<offset:int,length:int>>>"
 ROLE = "struct<identifier:string,name:string>"
-SCHEMA = (
-    "PubTator3 array<struct<pmid:string,date:string,journal:string,authors:string,"
-    f"passages:array<struct<infons:{INFONS},text:string,annotations:array<{ANNOTATION}>>>,"
-    f"relations:array<struct<infons:struct<type:string,role1:{ROLE},role2:{ROLE}>>>>>"
-)
+DOCUMENT = f"struct<pmid:string,date:string,journal:string,authors:string,passages:array<struct<infons:{INFONS},text:string,annotations:array<{ANNOTATION}>>>,relations:array<struct<infons:struct<type:string,role1:{ROLE},role2:{ROLE}>>>>"
+SCHEMA = f"PubTator3 array<{DOCUMENT}>"
 # How a journal line holds its parts.
 DOI = r"(?i)doi:\s?(10\.\d{4,}/\S+)\."
 REFERENCE = r";(\d+)(?:\(([^)]+)\))?:([^.\s;]+)"
@@ -38,9 +36,9 @@ def article_date(date: Column, year: Column) -> Column:
 
 
 def read_bioc(spark: SparkSession, path: str, full_text: bool = False) -> Tables:
-    """Articles that have a title and an abstract, with the annotations of these passages, or of all with full_text."""
-    files = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    return bioc_tables(files.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("part"), "PubTator3"), full_text)
+    """Articles that have a title and an abstract, with the annotations of these passages, or of all with full_text. A file of any size is read by many tasks."""
+    docs = read_objects(spark, path)
+    return _tables(docs.select(F.col("number").alias("article_seq"), F.from_json("text", DOCUMENT).alias("a")).where("a is not null").select("article_seq", "a.*"), full_text)
 
 
 def bioc_tables(files: DataFrame, full_text: bool = False) -> Tables:
@@ -50,6 +48,10 @@ def bioc_tables(files: DataFrame, full_text: bool = False) -> Tables:
     base = counts.select(F.col("path").alias("p"), (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("base"))
     place = F.row_number().over(Window.partitionBy("path").orderBy("part", "pos")) - 1
     d = docs.withColumn("place", place).join(base, F.col("path") == F.col("p")).withColumn("article_seq", F.col("base") + F.col("place")).select("article_seq", "a.*")
+    return _tables(d, full_text)
+
+
+def _tables(d: DataFrame, full_text: bool) -> Tables:
     has = lambda p, upper: (F.upper(F.coalesce(p["infons"]["section_type"], F.lit(""))) == upper) | (F.lower(F.coalesce(p["infons"]["type"], F.lit(""))) == upper.lower())
     titles, abstracts = F.filter("passages", lambda p: has(p, "TITLE")), F.filter("passages", lambda p: has(p, "ABSTRACT"))
     d = d.withColumn("titles", titles).withColumn("abstracts", abstracts).where((F.size("titles") > 0) & (F.size("abstracts") > 0))
