@@ -208,3 +208,9 @@ def test_objects_of_one_large_file(spark, tmp_path, chunk, fan, indent):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [json.loads(x["text"]) for x in got] == [d for docs in made for d in docs] and [x["number"] for x in got] == list(range(66))
+
+
+def test_any_directional(spark):
+    rows = spark.createDataFrame([(True,), (False,)], "is_directional boolean")
+    got = lambda df: paths.any_directional(df).collect()[0][0]
+    assert got(rows) and not got(rows.where("not is_directional")) and not got(rows.limit(0))

@@ -81,6 +81,11 @@ def path_records(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return out.withColumn("text", line).drop("path").orderBy(F.desc("score"), "text")
 
 
+def any_directional(records: DataFrame) -> DataFrame:
+    """One row (is_directional): whether any of path_records has a directional hop; false without paths."""
+    return records.agg(F.coalesce(F.max("is_directional"), F.lit(False)).alias("is_directional"))
+
+
 def bridges(paths: DataFrame) -> DataFrame:
     """(node_id, role): middle nodes of two-hop paths are bridges, all others endpoints."""
     two = paths.where("c is not null")

@@ -71,7 +71,7 @@ def document_context(docs: DataFrame, lines: DataFrame, most: int = 15) -> DataF
     found = lines.groupBy("pmid").agg(F.slice(F.array_sort(F.collect_set(line)), 1, most).alias("found"))
     d = docs.join(found, "pmid", "left")
     head = F.concat(F.lit("PMID: "), "pmid", F.lit(" (Relevance: "), F.format_number("score", 2), F.lit(")"))
-    parts = [head, F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.when(F.size("found") > 0, F.concat(F.lit("Structural Relationships (Extracted):\n"), F.array_join("found", "\n")))]
+    parts = [head, F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit(""))), F.when(F.size("found") > 0, F.concat(F.lit("Relations in this article:\n"), F.array_join("found", "\n")))]
     return d.select("pmid", "score", F.concat_ws("\n", *parts).alias("context"))
 
 

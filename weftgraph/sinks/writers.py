@@ -79,7 +79,16 @@ def _script(element: str) -> str:
 
 
 HTML_HEAD = '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title></head><body><div id="graph"></div><script>const elements = ['
-HTML_END = "];</script></body></html>"
+#: Draws the elements as SVG: nodes around a circle in their order, edges as lines with their label as a tip.
+HTML_END = """];
+const made = (tag, at, text) => { const e = document.createElementNS("http://www.w3.org/2000/svg", tag); for (const k in at) e.setAttribute(k, at[k]); if (text) e.textContent = text; return e; };
+const data = elements.map(e => e.data), nodes = data.filter(d => d.source === undefined), links = data.filter(d => d.source !== undefined);
+const r = 80 + 9 * nodes.length, place = new Map(nodes.map((d, i) => [d.id, [r * Math.cos(2 * Math.PI * i / nodes.length), r * Math.sin(2 * Math.PI * i / nodes.length)]]));
+const svg = made("svg", { viewBox: [-r - 160, -r - 60, 2 * r + 320, 2 * r + 120].join(" "), width: "100%" });
+for (const d of links) { const a = place.get(d.source), b = place.get(d.target); if (a && b) svg.appendChild(made("line", { x1: a[0], y1: a[1], x2: b[0], y2: b[1], stroke: "#999", "stroke-width": Math.max(1, Number(d.weight) || 1) / 2 })).appendChild(made("title", {}, d.label)); }
+for (const d of nodes) { const [x, y] = place.get(d.id); svg.appendChild(made("circle", { cx: x, cy: y, r: (d.size || 25) / 4, fill: d.color || "#888" })).appendChild(made("title", {}, d.node_type)); svg.appendChild(made("text", { x: x + (x < 0 ? -16 : 16), y: y + 3, "font-size": 10, "text-anchor": x < 0 ? "end" : "start" }, d.label)); }
+document.getElementById("graph").appendChild(svg);
+</script></body></html>"""
 
 
 def html_page(nodes: DataFrame, edges: DataFrame, most: int = 3000) -> str:
