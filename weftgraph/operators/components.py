@@ -57,7 +57,8 @@ def _lowest(edges: DataFrame, end: str, other: str) -> DataFrame:
     low = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     low = low.select("node", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     salted = edges.withColumn("own", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    met = salted.join(low, (F.col(end) == F.col("node")) & (F.col("own") == F.col("salt")), "left")
+    # no broadcast: planned by the size of what is on disk, the salted lookup would be many times that
+    met = salted.join(low.hint("merge"), (F.col(end) == F.col("node")) & (F.col("own") == F.col("salt")), "left")
     return met.select("a", "b", "m")
 
 
