@@ -17,7 +17,8 @@ similarity reaches the threshold.
 Buckets and components above a bounded size are compared block by block, so no task holds an unbounded group. A large
 component is first compared inside its blocks; of the classes found there one row each meets those of other blocks; and
 only where a component still holds several classes do the rows outside its largest class meet all others. A group of
-near copies, however large, is one class by then, so the work on it grows with its rows, not with their square.
+near copies, however large, is one class by then, so the work of verification on it grows with its rows, not with their square. A band
+that more than BUCKET_ROWS sets share is still bounded by all pairs of blocks, and gathered in one task: that grows with the square.
 """
 
 from __future__ import annotations
@@ -381,7 +382,8 @@ def _classes(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
         # dealt by class and a salt made of the row, so that the rows of a large class are spread
         known = links.select(F.col("u").alias("class"), F.col("v").alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        return salted.join(known, ["class", "salt"], "left").withColumn("class", F.coalesce("whole", "class")).drop("whole", "salt")
+        # no broadcast: planned by the size of what is on disk, the salted lookup would be many times that
+        return salted.join(known.hint("merge"), ["class", "salt"], "left").withColumn("class", F.coalesce("whole", "class")).drop("whole", "salt")
 
     def joined(links: DataFrame) -> DataFrame:
         return links if links.isEmpty() else connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("v"))
