@@ -170,7 +170,7 @@ def _exact(threshold: float):
     return run
 
 
-def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, recall: float = 0.99, rounds: int = 3, descents: int = 8) -> DataFrame:
+def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, recall: float = 0.99, rounds: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id long, embedding array, label int).
 
     Rows link when their labels are equal and their cosine, in double precision, reaches the threshold. A null id, a
@@ -191,7 +191,7 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, slack: float = 0.01, reca
     for attempt in range(rounds):
         dealt = signed.mapInArrow(_tables(31 + attempt, times, max(1, dims), threshold), "key long, label long, place double, vec_id long, v " + dict(rows.dtypes)["v"])
         met = dealt.repartition("key", "label").sortWithinPartitions("key", "label", "place", "vec_id").mapInArrow(_neighbours(floor, threshold), "u long, v long, s double")
-        for step in range(descents + 1):
+        for step in itertools.count():  # lists only get better, so descents settle
             if step:
                 lists = found.select(F.col("u").alias("mid"), F.col("v").alias("vec_id"))
                 mids = lists.join(points.select("vec_id", "v"), "vec_id").repartition("mid").sortWithinPartitions("mid", "vec_id")
