@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from weftgraph.operators import edges, extract, paths, resolve, retrieval, search
+from weftgraph.operators import chatlog, edges, extract, paths, resolve, retrieval, search
 from weftgraph.operators.components import connected_components, smallest_reachable
+from weftgraph.sinks import writers
+from weftgraph.sources import ids
 from weftgraph.sources.json_objects import read_objects
 from weftgraph.streaming import daily_pairs, event_stream, pairs_stream, read_pairs, windowed_counts
 
@@ -214,3 +216,22 @@ def test_any_directional(spark):
     rows = spark.createDataFrame([(True,), (False,)], "is_directional boolean")
     got = lambda df: paths.any_directional(df).collect()[0][0]
     assert got(rows) and not got(rows.where("not is_directional")) and not got(rows.limit(0))
+
+
+def test_small_sources(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("12, 1.5\n 13 ,2\n14,none\n,3\n15\n")
+    assert {(r["pmid"], r["weight"]) for r in ids.read_weights(spark, str(tmp_path / "w.csv")).collect()} == {("12", 1.5), ("13", 2.0)}
+    lines = spark.createDataFrame([("# head",), ("  ",), ("77\tx",), (" 78 ",), (None,)], "line string")
+    assert [r[0] for r in lines.select(ids.response_ids(F.col("line"))).collect()] == [None, None, "77", "78", None]
+    a = spark.createDataFrame([(k, str(k)) for k in (3, 1, 2)], "article_seq long, pmid string")
+    assert [r["pmid"] for r in ids.take_articles(a, 2).collect()] == ["1", "2"]
+    seen = [[("Mouse", "Species"), ("Rat", "Species"), ("Mouse", "Species"), ("Dog", "Species")], [("Humans", "Species"), ("TP53", "Gene")], []]
+    docs = spark.createDataFrame([(e,) for e in seen], "entities array<struct<name:string,type:string>>")
+    assert [r[0] for r in docs.select(chatlog.study_type(F.col("entities"))).collect()] == ["animal/in vitro (Mouse, Rat)", None, None]
+
+
+def test_node_sizes_span_the_degrees(spark):
+    nodes = spark.createDataFrame([(k, k, "Gene", "c", "s", "-", ["1"]) for k in "abcd"], "node_id string, name string, type string, color string, shape string, mesh string, pmids array<string>")
+    e = spark.createDataFrame([("a", "b"), ("a", "c")], "u string, v string")
+    made = {r["id"]: json.loads(r["element"])["data"]["size"] for r in writers.node_elements(nodes, e).collect()}
+    assert made == {"a": 65.0, "b": 45.0, "c": 45.0, "d": 25.0}

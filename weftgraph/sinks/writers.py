@@ -39,8 +39,8 @@ def write_tagged_text(articles: DataFrame, mentions: DataFrame, relations: DataF
 def node_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, element): nodes with an id as JSON, sized 25 to 65 by degree; of repeated ids one."""
     d = nodes.where("coalesce(node_id, '') <> ''").dropDuplicates(["node_id"]).join(degrees(edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    low, high = F.min("degree").over(Window.partitionBy()), F.max("degree").over(Window.partitionBy())
-    size = F.round(25 + 40 * F.coalesce(F.try_divide(F.col("degree") - low, high - low), F.lit(0.0)), 2)
+    d = d.crossJoin(F.broadcast(d.agg(F.min("degree").alias("low"), F.max("degree").alias("high"))))  # one row
+    size = F.round(25 + 40 * F.coalesce(F.try_divide(F.col("degree") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)), 2)
     parent = F.col("community") if "community" in nodes.columns else F.lit(None).cast("string")
     data = F.struct(stable_id("node", F.col("node_id")).alias("id"), F.col("name").alias("label"), parent.alias("parent"), "color", "shape", F.col("type").alias("node_type"), "mesh", "pmids", F.size("pmids").alias("num_articles"), "degree", size.alias("size"))
     return d.select(F.col("node_id").alias("id"), F.to_json(F.struct(data.alias("data"))).alias("element"))
