@@ -58,8 +58,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, ratio:
     ways = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n")
     ways = ways.unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
     out = ways.groupBy("kind", "a").agg(F.sum("n").alias("all"))
-    ways = materialize(ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share")), "ways")
+    ways = ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share"))
     start = seeds.select(F.lit(0).alias("kind"), "host", F.col("good").alias("n")).unionByName(seeds.select(F.lit(1).alias("kind"), "host", F.col("bad").alias("n"))).where("n > 0")
+    # a way of no share from each host to itself takes along what the host has, so that a round reads the one before once
+    own = ways.select("kind", "a").unionByName(ways.select("kind", F.col("b").alias("a"))).unionByName(start.select("kind", F.col("host").alias("a"))).distinct()
+    ways = materialize(ways.unionByName(own.select("kind", "a", F.col("a").alias("b"), F.lit(None).cast("double").alias("share"))), "ways")
     total = start.groupBy("kind").agg(F.sum("n").alias("all"))
     start = start.join(total, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("moving"))
     rank = materialize(start.select("kind", "host", (F.col("moving") * (1 - damping)).alias("r"), "moving"), "rank")
@@ -68,9 +71,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, ratio:
     while reached:
         step = rank
         for _ in range(CHECK):
-            sent = step.select("kind", F.col("host").alias("a"), "moving").join(ways, ["kind", "a"])
-            sent = sent.select("kind", F.col("b").alias("host"), F.lit(0.0).alias("r"), (F.col("moving") * F.col("share") * damping).alias("moving"))
-            step = step.withColumn("moving", F.lit(0.0)).unionByName(sent).groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("moving").alias("moving"))
+            sent = step.withColumnRenamed("host", "a").join(ways, ["kind", "a"])
+            held, moved = F.when(F.col("share").isNull(), F.col("r")).otherwise(0.0), F.coalesce(F.col("moving") * F.col("share") * damping, F.lit(0.0))
+            step = sent.select("kind", F.col("b").alias("host"), held.alias("r"), moved.alias("moving")).groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("moving").alias("moving"))
             step = step.withColumn("r", F.col("r") + F.col("moving") * (1 - damping))
         rank, before = materialize(step, "rank", replaces=rank), reached
         # bounded: one row for each of the two kinds
