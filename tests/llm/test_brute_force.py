@@ -311,16 +311,25 @@ def test_recall_must_hold(spark, monkeypatch):
 
 def test_groups_beyond_a_task(spark, monkeypatch):
     """Buckets and components that are cut into blocks lose no link."""
-    n = ngram_join.BUCKET_ROWS + 500
-    doc = np.arange(n, dtype=np.int64)
-    b = ngram_join._rows(np.full(n, 7, np.int64), doc)
-    met = defaultdict(set)
-    for out in ngram_join._buckets(iter([b, ngram_join._rows(np.array([8, 8]), np.array([1, 2]))])):
-        for k, d in zip(out.column("bucket").to_pylist(), out.column("doc").to_pylist()):
-            met[k].add(d)
-    assert max(map(len, met.values())) <= ngram_join.BUCKET_ROWS and {1, 2} in met.values()
-    for x, y in ((0, n - 1), (5, 6), (100, 4400)):
-        assert any({x, y} <= g for g in met.values())
+    most, total = ngram_join.BUCKET_ROWS, {}
+    for n in (most + 500, 4 * most, 16 * most):
+        doc = np.arange(n, dtype=np.int64)
+        parts = [ngram_join._rows(np.full(len(d), 7, np.int64), d) for d in np.array_split(doc, 9)]
+        met, band = defaultdict(list), []
+        for out in ngram_join._buckets(most)(iter([*parts, ngram_join._rows(np.array([8, 8]), np.array([1, 2]))])):
+            for k, d, h in zip(*(out.column(c).to_pylist() for c in ("bucket", "doc", "hot"))):
+                if h is None:
+                    met[k].append(d)
+                else:
+                    assert h == 7
+                    band.append(k)
+        assert max(map(len, met.values())) <= most and [1, 2] in met.values()
+        assert sorted(d for k in band for d in met[k]) == doc.tolist() and len(met) == len(band) + 1
+        total[n] = sum(map(len, met.values())) + len(band)
+    assert total[16 * most] < 4.1 * total[4 * most]
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 6)  # nearly all bands of the chain below are hot
+    steps, inner = [], ngram_join.block_pairs
+    monkeypatch.setattr(ngram_join, "block_pairs", lambda m, *a: steps.append(m.columns) or inner(m, *a))
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
     monkeypatch.setattr(ngram_join, "PAIR_ROWS", 11)
     r = random.Random(6)
@@ -347,6 +356,14 @@ def test_groups_beyond_a_task(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in ngram_join.join(d).collect()}
     assert got == {k: find(k) for k in sets}
+    # a passage that all share fills some bands; pairs that differ by a word, and copies of one text among them
+    shared = [f"same{j}" for j in range(55)]
+    mixed = [(k, [*shared, *(f"{k // 2 if k < 60 else 99}y{j}" for j in range(25))]) for k in range(90)]
+    mixed = [(k, " ".join([*w[:79], f"end{k}"])) for k, w in mixed]
+    steps.clear()
+    got = {x.doc_id: x.component_id for x in ngram_join.join(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 if k < 60 else 60 for k, _ in mixed}
+    assert ["component", "class", "node", "bytes"] in steps  # a row of each class of a hot band
     # one candidate component of all: chains, a group of near copies, and rows like none
     same = [(k, " ".join([*base[:79], f"end{k}"])) for k in range(100, 140)]
     alone = [(k, " ".join(f"{k}x{j}" for j in range(80))) for k in range(200, 230)]

@@ -18,7 +18,10 @@ Buckets and components above a bounded size are compared block by block, so no t
 component is first compared inside its blocks; of the classes found there one row each meets those of other blocks; and
 only where a component still holds several classes do the rows outside its largest class meet all others. A group of
 near copies, however large, is one class by then, so the work of verification on it grows with its rows, not with their square. A band
-that more than BUCKET_ROWS sets share is still bounded by all pairs of blocks, and gathered in one task: that grows with the square.
+that more than BUCKET_ROWS sets share goes the same way before: it is cut into blocks while it is read, each a bucket; then one row of
+each class in which these and all other buckets have put its sets meets the others; and only in bands where classes are left do
+the rows outside the largest meet all others. Sets that are near each other cost in proportion to their number; what is left
+to compare by pairs of blocks are sets that share a band and have no chain between them.
 """
 
 from __future__ import annotations
@@ -187,48 +190,67 @@ def _vector(s: np.ndarray) -> bytes:
     return (c if c.max() < 65535 else np.full(len(c), 65535)).astype("<u2").tobytes()
 
 
-def _buckets(batches):
-    """Of rows sorted by key: band rows become (bucket, doc) for every band with several documents; all others pass.
+def _starts(doc: np.ndarray, most: int) -> np.ndarray:
+    """Where the blocks of a hot band begin: at rows picked by their id's hash, so that bands of the same sets have the same blocks, and after `most` rows."""
+    at = np.unique(np.concatenate([[0], np.flatnonzero(mix64(doc.astype(U64)) % U64(max(most // 2, 1)) == 0)]))
+    return np.concatenate([np.arange(s, e, most) for s, e in zip(at, np.append(at[1:], len(doc)))])
 
-    The bucket's number is made of its members. A bucket of more than BUCKET_ROWS members is cut into blocks, and each
-    pair of blocks is a bucket.
+
+def _buckets(most: int):
+    """Of rows sorted by key and doc: band rows become (bucket, doc) for every band with several documents; all others pass.
+
+    The bucket's number is made of its members. A band of more than `most` members becomes a bucket for each of its blocks, with a
+    row (bucket, hot) that says which band it is of; no more than some blocks of it are held at a time.
     """
-    names = ["bucket", "doc", "other", "n", "vec"]
-    key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names = ["bucket", "doc", "other", "n", "vec", "hot"]
+
+    def batch(bucket, doc=None, hot=None):
+        cols = [pa.array(bucket), *(pa.nulls(len(bucket), pa.int64()) if x is None else pa.array(x) for x in (doc, None, None)), pa.nulls(len(bucket), pa.binary())]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(bucket), pa.int64()) if hot is None else pa.array(hot)], names)
+
+    def numbers(doc, at, size):
+        return as_long(mix64(np.add.reduceat(mix64(doc.astype(U64)), at) + size.astype(U64)))
 
-    def made(k, d):
+    def cut(key, doc):
+        at = _starts(doc, most)
+        size = np.diff(np.append(at, len(doc)))
+        number = numbers(doc, at, size)
+        yield batch(np.repeat(number, size), doc)
+        yield batch(number, hot=np.full(len(at), key))
+
+    def made(k, d, begun):
         at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(k)))
-        if not (size > 1).any():
-            return
-        number = as_long(mix64(np.add.reduceat(mix64(d.astype(U64)), at) + size.astype(U64)))
-        small = np.repeat((size > 1) & (size <= BUCKET_ROWS), size)
-        out = [(np.repeat(number, size)[small], d[small])]
-        for g in np.flatnonzero(size > BUCKET_ROWS):
-            members = d[at[g] : at[g] + size[g]]
-            block = (mix64(members.astype(U64)) % U64(-(-2 * size[g] // BUCKET_ROWS))).astype(np.int64)
-            for i in range(block.max() + 1):
-                for j in range(i, block.max() + 1):
-                    part = members[(block == i) | (block == j)]
-                    out.append((np.full(len(part), hash((int(number[g]), i, j)) >> 1), part))
-        k, d = (np.concatenate(c) for c in zip(*out))
-        n = len(k)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
-
-    for b in batches:
-        other, n = column(b, "other"), column(b, "n")
-        band = np.asarray(other.is_null()) & np.asarray(n.is_null())
-        p = b.filter(pa.array(~band))
-        if p.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(p.num_rows, pa.int64()), *(column(p, c) for c in names[1:])], names)
-        key = np.concatenate([key, column(b, "key").to_numpy()[band]])
-        doc = np.concatenate([doc, column(b, "doc").filter(pa.array(band)).to_numpy()])
-        if len(key) and key[0] != key[-1]:
-            last = np.searchsorted(key, key[-1])
-            yield from made(key[:last], doc[:last])
-            key, doc = key[last:], doc[last:]
-    yield from made(key, doc)
+        large = size > most
+        large[:1] |= begun
+        if (small := (size > 1) & ~large).any():
+            pick = np.repeat(small, size)
+            yield batch(np.repeat(numbers(d, at, size), size)[pick], d[pick])
+        for g in np.flatnonzero(large):
+            yield from cut(k[at[g]], d[at[g] : at[g] + size[g]])
+
+    def run(batches):
+        key, doc, begun = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for b in batches:
+            other, n = column(b, "other"), column(b, "n")
+            band = np.asarray(other.is_null()) & np.asarray(n.is_null())
+            p = b.filter(pa.array(~band))
+            if p.num_rows:
+                none = pa.nulls(p.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *(column(p, c) for c in names[1:5]), none], names)
+            key = np.concatenate([key, column(b, "key").to_numpy()[band]])
+            doc = np.concatenate([doc, column(b, "doc").filter(pa.array(band)).to_numpy()])
+            if len(key) and key[0] != key[-1]:
+                last = np.searchsorted(key, key[-1])
+                yield from made(key[:last], doc[:last], begun)
+                key, doc, begun = key[last:], doc[last:], False
+            if len(key) > 2 * most:  # a single band
+                last = _starts(doc, most)[-1]
+                yield from cut(key[0], doc[:last])
+                key, doc, begun = key[last:], doc[last:], True
+        yield from made(key, doc, begun)
+
+    return run
 
 
 def _matrix(vectors: list[bytes], groups: int) -> np.ndarray:
@@ -412,6 +434,44 @@ def _classes(sized: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
     return found.join(whole, "node", "left_anti").unionByName(whole)
 
 
+def _with_hot(members: DataFrame, blocks: DataFrame, vectors: DataFrame, chains: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, component) of what chains (u, v) connect, and of chains between the blocks (bucket, hot) of hot bands.
+
+    members (bucket, doc) are those of all buckets, chains those found inside them.
+    """
+    found = connected_components(chains)
+    if blocks.isEmpty():
+        return found
+    # bands of the same blocks count once
+    sign = blocks.groupBy("hot").agg(F.bit_xor("bucket").alias("x"), F.sum(F.pmod(F.xxhash64("bucket"), F.lit(1 << 40))).alias("s"), F.count("*").alias("k"))
+    bands = blocks.join(sign.groupBy("x", "s", "k").agg(F.min("hot").alias("hot")), "hot").select("hot", "bucket")
+    rows = materialize(members.join(bands, "bucket").select("hot", F.col("doc").alias("node")).distinct(), "hot")
+
+    def several() -> DataFrame:
+        """The rows of bands that hold more than one class, with their class."""
+        placed = rows.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+        open_ = placed.groupBy("hot").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+        # dealt by band and a salt made of the row, so that the rows of a hot band are spread
+        open_ = open_.select("hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        return materialize(placed.join(open_.hint("merge"), ["hot", "salt"]).select("node", F.col("hot").alias("component"), "class", F.lit(1).alias("bytes")), "open")
+
+    def bounded(tasks: DataFrame) -> DataFrame:
+        met = tasks.select(F.xxhash64("component", "i", "j").alias("bucket"), F.col("node").alias("doc")).join(vectors, "doc")
+        made = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
+        return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(made))
+
+    left = several()
+    if not left.isEmpty():
+        found = bounded(block_pairs(left.groupBy("component", "class").agg(F.min("node").alias("node"), F.min("bytes").alias("bytes")), PAIR_ROWS, BLOCK_BYTES))
+        left = several()
+        if not left.isEmpty():
+            sizes = left.groupBy("component", "class").count().groupBy("component").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+            beside = left.join(sizes, "component").withColumn("main", F.col("class") == F.col("largest")).select("node", "component", "bytes", "main")
+            found = bounded(block_pairs_beside(beside, PAIR_ROWS, BLOCK_BYTES))
+    return found
+
+
 def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
 
@@ -422,15 +482,16 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands = rows.mapInArrow(lean(_bands_of(words, threshold)), BAND_ROWS)
-    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "bucket long, doc long, other long, n long, vec binary")
+    met = bands.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(lean(_buckets(BUCKET_ROWS)), "bucket long, doc long, other long, n long, vec binary, hot long")
     met = materialize(met, "buckets")
     vectors = met.where("vec is not null").groupBy("doc").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"), F.min(F.xxhash64("n", "vec")).alias("a"), F.max(F.xxhash64("n", "vec")).alias("b"))
     # an id with several sets: a size below 0 says that nothing is known of it, so that it is bounded out nowhere
     vectors = vectors.select("doc", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(-1).alias("n"), "vec")
-    members = met.where("bucket is not null").select("bucket", "doc").distinct().join(vectors, "doc")
-    chains = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
+    members = met.where("bucket is not null and hot is null").select("bucket", "doc").distinct()
+    chains = members.join(vectors, "doc").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
-    candidates = connected_components(chains.unionByName(same))
+    blocks = met.where("hot is not null").select("bucket", "hot").distinct()
+    candidates = _with_hot(members, blocks, vectors, chains.unionByName(same), threshold)
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
     found = _classes(sized, rows, words, threshold)
     counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
