@@ -96,6 +96,33 @@ def test_texts(spark):
     assert one(spark, rel.is_directional(F.lit("leads to"))) and len(rel.USUAL_FORM) == 36
 
 
+def test_follow_ups(spark):
+    assert one(spark, tx.follow_ups(F.lit("Body\n[Q1: What is it?]\n[Q2: Why so?]"))) == ["What is it", "Why so"]
+    assert one(spark, tx.follow_ups(F.lit("Q10 is no marker"))) == tx.DEFAULT_QUESTIONS and one(spark, tx.follow_ups(F.lit("基因"), 2)) == tx.DEFAULT_QUESTIONS_HAN[:2]
+    assert one(spark, tx.follow_ups(F.lit("Q1: ??"))) == [] and one(spark, tx.follow_ups(F.lit(""))) == [] and one(spark, tx.follow_ups(F.lit(None).cast("string"))) == []
+
+
+def test_boolean_queries_of_models():
+    clean, valid = search.clean_boolean, search.valid_boolean
+    assert clean('Sure:\n```text\nQuery: "a" AND\n "b"\n```\nbye') == '"a" AND "b"' and clean('**Output:** `"foot drop"`') == "foot drop"
+    assert clean('The query that I would use for this question is "COLORECTAL" or rather "lung AND @GENE_TP53" I think') == "lung AND @GENE_TP53"
+    assert valid('"foot drop" AND "nerve"') and valid('"select" AND @GENE_TP53')
+    for bad in ("", " ()", '"a" AND', "a @", "a @ ", "a AND (", "select x", "[a]", '"a'):
+        assert not valid(bad), bad
+
+
+def test_summaries(spark):
+    told = []
+    c = answer.Conversation(spark, None, None, lambda q: [], lambda m: told.append(m) or "short", system="be brief")
+    rows = [(str(k), f"{k} " + "x" * 5000) for k in range(1, 5)] + [("0", None)]
+    assert c.summarize(spark.createDataFrame(rows, "pmid string, abstract string"), "Sum up.") == "short"
+    whole = "\n\n".join(t for _, t in rows[:4])
+    assert told == [[{"role": "system", "content": "be brief"}, {"role": "user", "content": "Sum up.\n\n" + whole[: answer.SUMMARY_CHARS] + answer.CUT_NOTE}]]
+    few = spark.createDataFrame([("2", "b"), ("1", "a")], "pmid string, abstract string")
+    assert answer.joined_abstracts(few) == "a\n\nb" and answer.joined_abstracts(few, limit=4) == "a\n\nb" and answer.joined_abstracts(few, limit=3) == "a\n\n" + answer.CUT_NOTE
+    assert answer.joined_abstracts(few.limit(0)) == "" and c.summarize(few.limit(0), "x") == ""
+
+
 def test_histories(spark, tmp_path):
     turns = spark.createDataFrame([(1, 2 * k + i, role, f"{role} says number {k} in a long line.") for k in range(5) for i, role in enumerate(("user", "assistant"))] + [(2, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
     kept, old = chatlog.compress_history(turns, 3)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.engine import Graph
@@ -18,6 +18,22 @@ from weftgraph.operators import chatlog, retrieval
 
 TURNS = "conv_id long, turn long, role string, text string"
 
+SUMMARY_CHARS, CUT_NOTE = 12000, "\n...(truncated)..."  # fixed values
+
+
+def joined_abstracts(rows: DataFrame, key: str = "pmid", abstract: str = "abstract", limit: int = SUMMARY_CHARS) -> str:
+    """Abstracts in the order of their keys, an empty line between two, cut at `limit` characters with a note that says so.
+
+    Each row brings at least the two characters between it and the next, so more than limit rows are never needed, nor more than limit
+    characters of one: what reaches the driver is what a prompt can hold, whatever the number of rows.
+    """
+    a = rows.where(F.col(abstract).isNotNull()).select(F.col(key).alias("k"), F.left(abstract, F.lit(limit + 1)).alias("a"), F.length(abstract).alias("n"))
+    first = a.orderBy("k", "a").limit(limit // 2 + 2)
+    before = F.sum(F.col("n") + 2).over(Window.orderBy("k", "a").rowsBetween(Window.unboundedPreceding, -1))
+    kept = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= limit).orderBy("k", "a").collect()
+    text = "\n\n".join(r["a"] for r in kept)
+    return text[:limit] + CUT_NOTE if len(text) > limit else text
+
 
 @dataclass
 class Conversation:
@@ -100,6 +116,12 @@ class Conversation:
         now = f"{context}\n\n{question}" if context else question
         return [*([{"role": "system", "content": head}] if head else []), *kept, {"role": "user", "content": now}]
 
+    def summarize(self, abstracts: DataFrame, instruction: str, pmid: str = "pmid", abstract: str = "abstract") -> str:
+        """The client's summary of a selection's abstracts, in the order of their ids, cut at SUMMARY_CHARS characters; empty for none."""
+        text = joined_abstracts(abstracts, pmid, abstract)
+        head = [{"role": "system", "content": self.system}] if self.system else []
+        return self.client([*head, {"role": "user", "content": f"{instruction}\n\n{text}"}]) if text else ""
+
     def statistics(self) -> dict[str, int]:
         roles = [r for _, _, r, _ in self.turns]
         return {"messages": len(roles), "questions": roles.count("user"), "answers": roles.count("assistant"), "documents": self.documents.select("pmid").distinct().count()}

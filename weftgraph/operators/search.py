@@ -68,16 +68,18 @@ def without_publication_types(query: Column) -> Column:
 
 
 def valid_boolean(query: str) -> bool:
-    """Balanced quotes and brackets, no trailing operator, and outside of quotes no words of SQL and no square brackets."""
+    """Balanced quotes and brackets, a letter or digit, no trailing operator or `@`, and outside of quotes no words of SQL and no square brackets."""
     depth, bare = 0, re.sub(r'"[^"]*"', '""', query)
     for c in bare:
         depth += (c == "(") - (c == ")")
         if depth < 0:
             return False
-    bad = re.search(r"\b(select|from|where|limit|order by)\b|[\[\]]|\b(AND|OR|NOT)\s*$", bare, re.IGNORECASE)
-    return bool(query.strip()) and depth == 0 and query.count('"') % 2 == 0 and not bad
+    bad = re.search(r"\b(select|from|where|limit|order by)\b|[\[\]]|\b(AND|OR|NOT)\s*$|@\s*$", bare, re.IGNORECASE)
+    return bool(re.search("[A-Za-z0-9]", query)) and depth == 0 and query.count('"') % 2 == 0 and not bad
 
 
+SENTENCE = 10  # fixed value
+
 #: Words that name no entity.
 PLAIN_WORDS = {"the", "and", "among", "with", "for", "about", "relationship", "of", "genes", "related", "to"}  # fixed values
 
@@ -103,7 +105,14 @@ def boolean_query(question: str, answer: str | None) -> str:
 
 
 def clean_boolean(text: str) -> str:
-    """A query as a model returns it, without fences, a leading label and outer quotes."""
-    t = re.sub(r"^```\w*\s*|\s*```$", "", text.strip())
-    t = re.sub(r"^(query|boolean query|search query)\s*:\s*", "", t.strip(), flags=re.IGNORECASE).strip()
-    return t[1:-1] if len(t) > 1 and t[0] == t[-1] == '"' and t.count('"') == 2 else t
+    """A query as a model returns it: the inside of a fence if there is one, without a leading label, marks of bold and code, and outer quotes.
+
+    Of a sentence (more than SENTENCE words) that quotes a query, one with an operator or a type, that query is taken.
+    """
+    _, fenced, inside = text.partition("```")
+    t = re.sub(r"^\w*\s", "", inside.partition("```")[0]) if fenced else text
+    t = " ".join(re.sub(r"\*\*|__|`", "", t).split())
+    t = re.sub(r"^((boolean|search) )?(query|boolean|result|output)\s*:\s*", "", t, flags=re.IGNORECASE)
+    if len(t.split()) > SENTENCE:
+        t = next((q for q in t.split('"')[1::2] if "@" in q or re.search(r"\b(AND|OR|NOT)\b", q, re.IGNORECASE)), t)
+    return t[1:-1].strip() if len(t) > 1 and t[0] == t[-1] == '"' and t.count('"') == 2 else t
