@@ -118,7 +118,8 @@ def edges_of_articles(edges: DataFrame) -> DataFrame:
 def primary_relation(rows: DataFrame) -> DataFrame:
     """(u, v, relation, confidence): of (u, v, relation, confidence) rows the relation of highest mean confidence, ties by name.
 
-    Without confidences another relation than co-mention counts 0.5; with none of these it is interacts_with at 0.
+    Without confidences another relation than co-mention counts 0.5; with none of these it is interacts_with at 0. Rows that are
+    already dealt by u and v stay where they are.
     """
     c = rows.groupBy("u", "v", "relation").agg(F.avg("confidence").alias("m"))
     score = F.coalesce("m", F.when(F.col("relation") != "co-mention", F.lit(0.5)))

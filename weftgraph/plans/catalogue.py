@@ -16,7 +16,7 @@ from weftgraph.functions import relations as rel
 from weftgraph.functions import text as tx
 from weftgraph.operators import chatlog, communities, edges, mentions, paths, prune, resolve, retrieval, search, weights
 from weftgraph.operators.components import connected_components
-from weftgraph.session import materialize, numbered, shared_dir, table
+from weftgraph.session import materialize, numbered, shared_dir, table, tasks
 from weftgraph.streaming import daily_pairs, event_stream, pairs_stream, read_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +108,8 @@ def relation_edges(spark, d):
 @query("""WITH m AS (SELECT l_suppkey u, l_partkey v, l_returnflag r, ROUND(AVG(l_discount), 6) c FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY c DESC, r) k FROM m)
 SELECT u, v, r AS relation, c AS confidence FROM k WHERE k = 1""")
 def primary_relation(spark, d):
-    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_returnflag").alias("relation")).agg(F.round(F.avg("l_discount"), 6).alias("confidence"))
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_returnflag").alias("relation"), "l_discount")
+    li = li.repartition(tasks(li, li.count()), "u", "v").groupBy("u", "v", "relation").agg(F.round(F.avg("l_discount"), 6).alias("confidence"))
     return edges.primary_relation(li)
 
 
