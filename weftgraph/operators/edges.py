@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.mentions import weighted_count
+from weftgraph.session import tasks
 
 # Attributes of a mutation id.
 MUTATION_PARTS = ["tmVar:", "HGVS:", "RS#:", "VariantGroup:", "CorrespondingGene:", "CorrespondingSpecies:", "CA#:"]
@@ -13,29 +14,46 @@ MUTATION_PARTS = ["tmVar:", "HGVS:", "RS#:", "VariantGroup:", "CorrespondingGene
 
 #: Nodes of a group in one block; a larger group is cut into blocks, and each pair of blocks is a task.
 BLOCK = 1000
+SALTS = 8
 
 
-def pairs_within(rows: DataFrame, group: str, node: str, distinct: bool = True, block: int = BLOCK, most: int | None = None) -> DataFrame:
+def pairs_within(rows: DataFrame, group: str, node: str, distinct: bool = True, block: int = BLOCK, most: int | None = None, size: int | None = None) -> DataFrame:
     """(group, u, v) with u < v for the nodes of each group; an equi-join on the group, and on pairs of blocks where it has more than `block` nodes.
 
     A group of n nodes has some n * n / 2 pairs; most leaves out groups of more nodes than that, if given. Null groups and nodes have no pairs.
+    The rows are dealt into tasks by their number: size, or a count of rows.
     """
-    n = rows.select(F.col(group).alias("g"), F.col(node).alias("n")).where("g is not null and n is not null")
-    n = n.distinct() if distinct else n
+    n, dealt = rows.select(F.col(group).alias("g"), F.col(node).alias("n")).where("g is not null and n is not null"), tasks(rows, rows.count() if size is None else size)
+    n = n.repartition(dealt, "g", "n").distinct() if distinct else n
     large = n.groupBy("g").count().where(F.col("count") > (block if most is None else min(block, most))).select(F.col("g").alias("lg"), F.col("count").alias("size"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     n = n.join(large, F.col("g") == F.col("lg"), "left")
     if most is not None:
         n = n.where(F.coalesce("size", F.lit(0)) <= most)
     own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")
     # one block: 0 with 0; else its own block with itself and every other, smaller number first
-    tasks = F.when(F.coalesce("blocks", F.lit(1)) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    n = n.select("g", "n", F.coalesce(F.when(F.col("blocks") > 1, own), F.lit(0)).alias("own"), F.explode(tasks).alias("other"))
+    meets = F.when(F.coalesce("blocks", F.lit(1)) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    n = n.select("g", "n", F.coalesce(F.when(F.col("blocks") > 1, own), F.lit(0)).alias("own"), F.explode(meets).alias("other"))
     a = n.where("own <= other").select("g", F.col("n").alias("x"), F.col("own").alias("i"), F.col("other").alias("j"))
     b = n.where("own >= other").select(F.col("g").alias("h"), F.col("n").alias("y"), F.col("other").alias("k"), F.col("own").alias("l"))
+    a, b = a.repartition(dealt, "g", "i", "j"), b.repartition(dealt, "h", "k", "l").hint("shuffle_hash")
     met = a.join(b, (F.col("g") == F.col("h")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")))
     return met.select(F.col("g").alias(group), F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
+def pair_total(rows: DataFrame, group: str, node: str) -> int:
+    """How many pairs pairs_within makes."""
+    sizes = rows.where(F.col(group).isNotNull() & F.col(node).isNotNull()).select(group, node).distinct().groupBy(group).agg(F.count("*").alias("size"))
+    return sizes.agg(F.sum(F.expr("size * (size - 1) div 2"))).first()[0] or 0
+
+
+def pair_counts(rows: DataFrame, group: str, node: str, name: str = "num_relations") -> DataFrame:
+    """(u, v, name): the groups that hold both, for nodes of which most pairs meet in few groups. Dealt into tasks by the number of pairs; a pair of many groups first lies in SALTS of them."""
+    n = tasks(rows, pair_total(rows, group, node))
+    p = pairs_within(rows, group, node).select("u", "v", F.pmod(F.xxhash64(group), F.lit(SALTS)).alias("salt"))
+    part = p.repartition(n, "u", "v", "salt").groupBy("u", "v", "salt").agg(F.count("*").alias("part"))
+    return part.repartition(n, "u", "v").groupBy("u", "v").agg(F.sum("part").alias(name))
+
+
 def comention_evidence(nodes: DataFrame) -> DataFrame:
     ids = nodes.select("article_seq", "pmid").distinct()
     none = F.lit(None).cast("string")

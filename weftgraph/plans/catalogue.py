@@ -163,7 +163,7 @@ SELECT x.n AS u, y.n AS v, COUNT(*)::BIGINT AS num_relations FROM s x JOIN s y O
 def type_visibility(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("type"))
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_partkey").alias("node_id"))
-    e = edges.pairs_within(rows, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+    e = edges.pair_counts(rows, "article_seq", "node_id")
     return prune.visible_types(nodes, e, ["ECONOMY", "PROMO"])[1].select("u", "v", "num_relations")
 
 
@@ -233,7 +233,7 @@ q AS (SELECT LEAST(a.s_nationkey, b.s_nationkey) c1, GREATEST(a.s_nationkey, b.s
 
 def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_seq"), F.col("l_suppkey").alias("node_id"))
-    return edges.pairs_within(rows, "article_seq", "node_id").groupBy("u", "v").agg(F.count("*").cast("double").alias("edge_weight"))
+    return edges.pair_counts(rows, "article_seq", "node_id", "edge_weight").withColumn("edge_weight", F.col("edge_weight").cast("double"))
 
 
 @query(f"WITH {NATIONS} SELECT c1, c2, SUM(w) AS total, ROUND(GREATEST(0, LN(SUM(w)) * 5), 6) AS edge_weight FROM q GROUP BY c1, c2")
