@@ -44,11 +44,15 @@ WEIGHTS = "wt AS (SELECT o_orderkey a, ROUND(o_totalprice / 100000, 2) weight FR
 def brands(spark: SparkSession, d: str) -> DataFrame:
     """(article_seq, node_id): the brands of each order."""
     li, p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "part").select("p_partkey", "p_brand")
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("article_seq"), F.col("p_brand").alias("node_id")).distinct()
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("article_seq"), F.col("p_brand").alias("node_id")).repartition(tasks(li, li.count()), "article_seq", "node_id").distinct()
+
+
+def written_brands(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(brands(spark, d), "brands")
 
 
 def brand_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False).groupBy("u", "v").agg(F.count("*").alias("num_relations"))
+    return edges.pairs_within(written_brands(spark, d), "article_seq", "node_id", distinct=False).groupBy("u", "v").agg(F.count("*").alias("num_relations"))
 
 
 def weighted_edges_(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +119,7 @@ def primary_relation(spark, d):
 
 @query(f"WITH {PAIRS} SELECT a AS pmid, STRING_AGG(u || '-' || v, ';' ORDER BY u, v) AS edges FROM pairs GROUP BY a")
 def edges_by_article(spark, d):
-    p = edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False)
+    p = edges.pairs_within(written_brands(spark, d), "article_seq", "node_id", distinct=False)
     e = edges.article_edges(p.select(F.col("article_seq").alias("pmid"), "u", "v", F.lit("co-mention").alias("relation")))
     return e.select("pmid", F.concat_ws(";", F.transform("edges", lambda x: F.concat_ws("-", x["source"], x["target"]))).alias("edges"))
 
@@ -154,7 +158,7 @@ def node_topn_degree(spark, d):
 
 @query(f"WITH {PAIRS} SELECT (SELECT COUNT(DISTINCT n) FROM brands)::BIGINT AS nodes, (SELECT COUNT(*) FROM e)::BIGINT AS edges, (SELECT COUNT(DISTINCT a) FROM brands)::BIGINT AS articles")
 def network_stats(spark, d):
-    b = brands(spark, d)
+    b = written_brands(spark, d)
     return prune.article_statistics(b, edges.pairs_within(b, "article_seq", "node_id", distinct=False))
 
 
