@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import standard_name
 from weftgraph.schema import ANNOTATION_TYPES, COLORS, DEFAULT_COLOR, DEFAULT_SHAPE, SHAPES
+from weftgraph.session import tasks
 
 
 def known_types(mentions: DataFrame, types: list[str] = ANNOTATION_TYPES) -> DataFrame:
@@ -68,9 +69,16 @@ def graph_nodes(nodes: DataFrame, weights: DataFrame | None = None) -> DataFrame
     return g.join(w, "node_id")
 
 
-def weighted_count(rows: DataFrame, by: list[str], weights: DataFrame | None = None, pmid: str = "pmid") -> DataFrame:
-    """by and `weighted`, the rounded sum of the weights of the group's distinct articles; 1 for one without a weight."""
-    d = rows.select(*by, pmid).distinct()
+def weighted_count(rows: DataFrame, by: list[str], weights: DataFrame | None = None, pmid: str = "pmid", size: int | None = None) -> DataFrame:
+    """by and `weighted`, the rounded sum of the weights of the group's distinct articles; 1 for one without a weight.
+
+    With size, the number of rows, they are dealt into tasks by it, by article.
+    """
+    d = rows.select(*by, pmid)
+    if size is not None:
+        d = d.repartition(tasks(d, size), pmid)
+        weights = weights if weights is None else weights.repartition(tasks(d, size), "pmid").hint("shuffle_hash")
+    d = d.distinct()
     d = d.join(weights.select(F.col("pmid").alias(pmid), "weight"), pmid, "left") if weights is not None else d.withColumn("weight", F.lit(1.0))
     return d.groupBy(*by).agg(F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 2).alias("weighted"))
 

@@ -93,8 +93,9 @@ def weighted_node_articles(spark, d):
 
 @query(f"WITH {PAIRS}, {WEIGHTS} SELECT u, v, ROUND(SUM(COALESCE(weight, 1)), 2) AS weighted FROM (SELECT DISTINCT u, v, a FROM pairs) LEFT JOIN wt USING (a) GROUP BY u, v")
 def weighted_edges(spark, d):
-    p = edges.pairs_within(brands(spark, d), "article_seq", "node_id", distinct=False).withColumnRenamed("article_seq", "pmid")
-    return mentions.weighted_count(p, ["u", "v"], price_weights(spark, d))
+    b = written_brands(spark, d)
+    p = edges.pairs_within(b, "article_seq", "node_id", distinct=False).withColumnRenamed("article_seq", "pmid")
+    return mentions.weighted_count(p, ["u", "v"], price_weights(spark, d), size=edges.pair_total(b, "article_seq", "node_id"))
 
 
 @query("SELECT o_orderkey, ROUND(LOG10(o_orderkey % 500 / GREATEST(2026 - YEAR(o_orderdate) + 1, 1)::DOUBLE + 1.1::DOUBLE) + 1, 3) AS weight FROM orders")
