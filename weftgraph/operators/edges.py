@@ -64,18 +64,22 @@ def resolve_ids(relations: DataFrame, nodes: DataFrame, id_col: str) -> DataFram
     """(article_seq, rel_seq, node_id): the article's node of a relation's id.
 
     By the node id up to its first `_`, later nodes first; else, for mutations, the first node with `;` in its id that
-    has every attribute the relation's id names. An id that names no attribute matches no mutation.
+    has every attribute the relation's id names. An id that names no attribute matches no mutation. Rows are dealt into tasks
+    by their number, three for each relation and node, as some attributes of each meet.
     """
+    dealt = tasks(nodes, 3 * max(relations.count(), nodes.count()))
     n = nodes.where("is_mesh").withColumn("key", F.substring_index("node_id", "_", 1))
-    plain = n.groupBy("article_seq", "key").agg(F.max_by("node_id", "node_ord").alias("plain"))
+    plain = n.repartition(dealt, "article_seq", "key").groupBy("article_seq", "key").agg(F.max_by("node_id", "node_ord").alias("plain"))
     r = relations.select("article_seq", "rel_seq", F.col(id_col).alias("rid"))
-    direct = r.join(plain, (r["article_seq"] == plain["article_seq"]) & (F.col("rid") == F.col("key")), "left").select(r["article_seq"], "rel_seq", "rid", "plain")
+    plain = plain.withColumnRenamed("article_seq", "art")
+    direct = r.repartition(dealt, "article_seq", "rid").join(plain, (F.col("article_seq") == F.col("art")) & (F.col("rid") == F.col("key")), "left").select("article_seq", "rel_seq", "rid", "plain")
     # an inverted index of attributes: a variant fits if as many of its attributes are found as the relation's id names
     listed = lambda c: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.nullif(F.regexp_extract(c, f"({p}[^;]+)", 1), F.lit("")).alias("val")) for k, p in enumerate(MUTATION_PARTS)]), lambda x: x["val"].isNotNull())
-    has = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", F.explode(listed(F.substring_index("node_id", "_", 1))).alias("x")).select("art", "node_id", "node_ord", "x.*").distinct()
+    has = n.where("contains(node_id, ';')").select(F.col("article_seq").alias("art"), "node_id", "node_ord", F.explode(listed(F.substring_index("node_id", "_", 1))).alias("x")).select("art", "node_id", "node_ord", "x.*")
     want = direct.where("plain is null").withColumn("want", listed(F.col("rid"))).select("article_seq", "rel_seq", F.size("want").alias("asked"), F.explode("want").alias("x")).select("article_seq", "rel_seq", "asked", F.col("x.k").alias("wk"), F.col("x.val").alias("wv"))
+    want, has = want.repartition(dealt, "article_seq", "wk", "wv"), has.repartition(dealt, "art", "k", "val").distinct()
     found = want.join(has, (F.col("article_seq") == F.col("art")) & (F.col("wk") == F.col("k")) & (F.col("wv") == F.col("val")))
-    found = found.groupBy("article_seq", "rel_seq", "asked", "node_id", "node_ord").count().where("`count` = asked")
+    found = found.repartition(dealt, "article_seq", "rel_seq").groupBy("article_seq", "rel_seq", "asked", "node_id", "node_ord").count().where("`count` = asked")
     matched = found.groupBy("article_seq", "rel_seq").agg(F.min_by("node_id", "node_ord").alias("node_id"))
     return direct.where("plain is not null").select("article_seq", "rel_seq", F.col("plain").alias("node_id")).unionByName(matched)
 

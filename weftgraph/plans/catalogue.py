@@ -465,7 +465,9 @@ ASKED = "CASE WHEN l_linenumber % 2 = 0 THEN 'RS#:' || (l_suppkey % 10) || ';CA#
 @query(f"""WITH n AS (SELECT l_orderkey o, l_linenumber k, l_partkey p, l_suppkey % 10 r, {VARIANT} id FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) l_partkey, MIN(l_suppkey) l_suppkey FROM lineitem GROUP BY 1, 2))
 SELECT x.o AS article_seq, x.k AS rel_seq, CASE WHEN x.k % 2 = 0 THEN arg_min(y.id, y.k) ELSE arg_max(y.id, y.k) END AS node_id FROM n x JOIN n y ON x.o = y.o AND x.r = y.r AND (x.k % 2 = 0 OR x.p = y.p) GROUP BY x.o, x.k""")
 def mutation_match(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = li.repartition(tasks(li, li.count()), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    li = materialize(li, "lines")  # counted and read twice
     nodes = li.select(F.col("l_orderkey").alias("article_seq"), F.expr(VARIANT).alias("node_id"), F.col("l_linenumber").alias("node_ord"), F.lit(True).alias("is_mesh"))
     asked = li.select(F.col("l_orderkey").alias("article_seq"), F.col("l_linenumber").alias("rel_seq"), F.expr(ASKED).alias("id1"))
     return edges.resolve_ids(asked, nodes, "id1")
