@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import append_columns, column, small_batches
 
 #: Distinct words kept by a Python worker before the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 #: Rows of an Arrow batch; their new words are merged together.
-BATCH = 500
+BATCH = 200
 #: Words of more bytes are merged through a heap and not cached.
 LONG_WORD = 64
 #: Words folded together.
-FOLD_ROWS = 8192
+FOLD_ROWS = 4096
 NONE = 1 << 62
 NO_RANK = np.iinfo(np.int32).max
 

@@ -459,6 +459,7 @@ def _with_hot(members: DataFrame, blocks: DataFrame, vectors: DataFrame, chains:
     def bounded(tasks: DataFrame) -> DataFrame:
         met = tasks.select(F.xxhash64("component", "i", "j").alias("bucket"), F.col("node").alias("doc")).join(vectors, "doc")
         made = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
+        made = materialize(made, "chains")
         return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(made))
 
     left = several()
@@ -491,7 +492,9 @@ def join(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5))
     chains = members.join(vectors, "doc").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bounded(threshold)), "u long, v long")
     same = met.where("other is not null").select(F.col("doc").alias("u"), F.col("other").alias("v"))
     blocks = met.where("hot is not null").select("bucket", "hot").distinct()
-    candidates = _with_hot(members, blocks, vectors, chains.unionByName(same), threshold)
+    # written first: components start in Python too, and a task would keep a worker for each of the two
+    chains = materialize(chains.unionByName(same), "chains")
+    candidates = _with_hot(members, blocks, vectors, chains, threshold)
     sized = candidates.join(rows.select("doc_id", F.octet_length("text").alias("bytes")), F.col("node") == F.col("doc_id")).groupBy("node", "component").agg(F.max("bytes").alias("bytes"))
     found = _classes(sized, rows, words, threshold)
     counts = met.where("n is not null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
