@@ -33,6 +33,21 @@ def test_pairs_are_dealt_by_their_number(spark, few):
     assert edges.pair_counts(df.limit(0), "g", "n").collect() == []
 
 
+@pytest.mark.parametrize("block", [4, 1000])
+def test_pairs_of_small_groups_are_counted_without_a_join(spark, few, monkeypatch, block):
+    monkeypatch.setattr(edges, "BLOCK", block)
+    r = random.Random(8)
+    rows = [(k // 6, f"n{r.randrange(9)}") for k in range(300)] + [(None, "n1"), (3, None), (900, "n1")]
+    counts = edges.pair_counts(spark.createDataFrame(rows, "g long, n string"), "g", "n")
+    groups = {}
+    for g, n in rows:
+        if g is not None and n is not None:
+            groups.setdefault(g, set()).add(n)
+    want = Counter((u, v) for x in groups.values() for u in x for v in x if u < v)
+    assert {(x["u"], x["v"]): x["num_relations"] for x in counts.collect()} == want
+    assert ("Join" in counts._jdf.queryExecution().optimizedPlan().toString()) == (block == 4)
+
+
 def test_weights_are_dealt_by_article(spark, few):
     rows = spark.createDataFrame([(k % 3, k // 2) for k in range(400)] * 2, "n long, pmid long")
     weights = spark.createDataFrame([(k, k / 4) for k in range(0, 200, 2)], "pmid long, weight double")
